@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracefold.plans import q_series  # noqa: F401
+from tracefold.plans import q_entities, q_series  # noqa: F401
 from tracefold.plans.registry import REGISTRY, Query
 
 

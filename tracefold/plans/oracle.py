@@ -17,7 +17,9 @@ v_jobs0 AS (
   SELECT o_custkey % 4 AS app_id, o_orderkey AS job_id, o_orderpriority AS job_group,
          concat(o_orderpriority, ' at line ', CAST(o_orderkey AS VARCHAR)) AS call_site,
          CASE o_orderstatus WHEN 'F' THEN 'SUCCEEDED' WHEN 'P' THEN 'FAILED' ELSE 'RUNNING' END AS status,
-         {MS('o_orderdate')} + (o_orderkey % 1000) * 1000 AS submission_ms
+         {MS('o_orderdate')} + (o_orderkey % 1000) * 1000 AS submission_ms,
+         CASE WHEN o_orderpriority = '5-LOW' THEN 'null'
+              ELSE concat(o_orderpriority, ' at line ', CAST(o_orderkey AS VARCHAR)) END AS name
   FROM orders),
 v_tasks0 AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey, l_partkey, l_shipdate,
@@ -48,12 +50,14 @@ v_tasks AS (
 v_jobs AS (
   SELECT j.*, CASE WHEN j.status <> 'RUNNING' THEN greatest(coalesce(m.last_ms, 0), j.submission_ms) + 1000 END AS completion_ms
   FROM v_jobs0 j LEFT JOIN (SELECT job_id, max(launch_ms + dur_ms) AS last_ms FROM v_tasks1 GROUP BY job_id) m ON j.job_id = m.job_id),
-v_planned AS (
+v_planned0 AS (
   SELECT app_id, job_id, job_id * 3 + k AS stage_id, 1 + (job_id + k) % 7 AS planned_tasks
   FROM v_jobs0 CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) x
   UNION ALL
   SELECT b.app_id, a.job_id, (a.job_id - 1) * 3 + 2, 1 + (a.job_id + 1) % 7
   FROM v_jobs0 a JOIN v_jobs0 b ON a.job_id = b.job_id + 1 AND a.app_id = b.app_id WHERE a.job_id % 5 < 3),
+v_planned AS (
+  SELECT *, concat('count at cell:', CAST(stage_id % 9 AS VARCHAR)) AS stage_name FROM v_planned0),
 v_stages AS (
   SELECT app_id, stage_id, 0 AS stage_attempt, concat('count at cell:', CAST(stage_id % 9 AS VARCHAR)) AS name,
          count(DISTINCT task_index) AS num_tasks, min(launch_ms) - 500 AS submission_ms,

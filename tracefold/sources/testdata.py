@@ -62,6 +62,10 @@ class TestdataTrace:
             .otherwise("RUNNING")
             .alias("status"),
             (epoch_ms("o_orderdate") + (F.col("o_orderkey") % 1000) * 1000).alias("submission_ms"),
+            # adapter extension: low-priority jobs carry the name "null" (exercises P5)
+            F.when(F.col("o_orderpriority") == "5-LOW", F.lit("null"))
+            .otherwise(F.concat(F.col("o_orderpriority"), F.lit(" at line "), F.col("o_orderkey").cast("string")))
+            .alias("name"),
         )
 
     @cached_property
@@ -74,7 +78,7 @@ class TestdataTrace:
         w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*order_cols)
         t0 = li.select(
             "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag",
-            (F.row_number().over(w) - 1).alias("attempt"),
+            (F.row_number().over(w) - 1).cast("long").alias("attempt"),
             (F.col("l_quantity").cast("long") * TASK_MS_PER_UNIT).alias("dur_ms"),
             F.round(F.col("l_discount") * 100).cast("long").alias("disc"),
             F.round(F.col("l_tax") * 100).cast("long").alias("tax"),
@@ -134,7 +138,7 @@ class TestdataTrace:
         j = self.jobs0
         out = j.join(last, "job_id", "left")
         return out.select(
-            "app_id", "job_id", "job_group", "call_site", "status", "submission_ms",
+            "app_id", "job_id", "job_group", "call_site", "name", "status", "submission_ms",
             F.when(
                 F.col("status") != "RUNNING",
                 F.greatest(F.coalesce(F.col("last_ms"), F.lit(0)), F.col("submission_ms")) + 1000,
@@ -162,7 +166,9 @@ class TestdataTrace:
                 (1 + (F.col("a.job_id") + 1) % 7).alias("planned_tasks"),
             )
         )
-        return own.unionByName(nb)
+        return own.unionByName(nb).withColumn(
+            "stage_name", F.concat(F.lit("count at cell:"), (F.col("stage_id") % 9).cast("string"))
+        )
 
     @cached_property
     def stages(self) -> DataFrame:
@@ -179,6 +185,10 @@ class TestdataTrace:
             "app_id", "stage_id", F.lit(0).alias("stage_attempt"),
             F.concat(F.lit("count at cell:"), (F.col("stage_id") % 9).cast("string")).alias("name"),
             "num_tasks", "submission_ms", "completion_ms", "status",
+            # adapter extension: stage k of a job depends on stage k-1
+            F.when(F.col("stage_id") % 3 > 0, F.array(F.col("stage_id") - 1))
+            .otherwise(F.array().cast("array<bigint>"))
+            .alias("parent_ids"),
         )
 
     # -- executors and kernel signals --------------------------------------
