@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracefold.plans import q_entities, q_phases, q_series  # noqa: F401
+from tracefold.plans import q_cells, q_entities, q_phases, q_series  # noqa: F401
 from tracefold.plans.registry import REGISTRY, Query
 
 

@@ -73,7 +73,12 @@ v_executors AS (
 v_signals AS (
   SELECT user_id AS kernel_id, event_id AS seq, event_id % 12 AS cell_id, {MS('ts')} AS ts_ms,
          CASE event_type WHEN 'click' THEN 'execute' ELSE 'idle' END AS signal
-  FROM events WHERE event_type IN ('click', 'purchase'))
+  FROM events WHERE event_type IN ('click', 'purchase')),
+v_kernel_jobs AS (
+  SELECT user_id AS kernel_id, event_id AS job_id, {MS('ts')} AS start_ms,
+         {MS('ts')} + CAST(floor(value * 60000) AS BIGINT) AS end_ms,
+         CASE event_type WHEN 'error' THEN 'FAILED' ELSE 'SUCCEEDED' END AS status
+  FROM events WHERE event_type IN ('view', 'error', 'signup'))
 """
 
 

@@ -216,6 +216,20 @@ class TestdataTrace:
             F.when(F.col("event_type") == "click", "execute").otherwise("idle").alias("signal"),
         )
 
+    @cached_property
+    def kernel_jobs(self) -> DataFrame:
+        """Adapter extension: view/error/signup events are Spark jobs started from that user's kernel,
+        lasting ``value`` minutes; error events are failed jobs."""
+        e = self.table("events").where(F.col("event_type").isin("view", "error", "signup"))
+        start = epoch_ms("ts")
+        return e.select(
+            F.col("user_id").alias("kernel_id"),
+            F.col("event_id").alias("job_id"),
+            start.alias("start_ms"),
+            (start + F.floor(F.col("value") * 60000).cast("long")).alias("end_ms"),
+            F.when(F.col("event_type") == "error", "FAILED").otherwise("SUCCEEDED").alias("status"),
+        )
+
 
 def load(spark: SparkSession, sf_dir: str) -> TestdataTrace:
     return TestdataTrace(spark, sf_dir)
