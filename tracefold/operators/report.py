@@ -21,7 +21,9 @@ def job_name_or_stage(jobs: DataFrame) -> DataFrame:
     last = job_stage_infos(jobs).groupBy("app_id", "job_id").agg(F.max_by("name", "stage_id").alias("_last_stage_name"))
     j = jobs.join(last, ["app_id", "job_id"], "left")
     sn = short_name(F.col("name"))
-    return j.withColumn("display_name", F.when(sn == "null", short_name(F.col("_last_stage_name"))).otherwise(sn)).drop(
+    # "null" on the wire and NULL after ingest (P1) both mean: no name
+    return j.withColumn("display_name", F.when(sn.isNull() | (sn == "null"), short_name(F.col("_last_stage_name")))
+                        .otherwise(sn)).drop(
         "_last_stage_name")
 
 
