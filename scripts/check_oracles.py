@@ -9,50 +9,21 @@ summary; exit code 1 if any query mismatches.
 
 from __future__ import annotations
 
-import hashlib
-import math
 import os
 import sys
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import duckdb  # noqa: E402
-
 from tracefold.plans.catalog import all_queries  # noqa: E402
 from tracefold.session import local_session  # noqa: E402
 from tracefold.sources.testdata import TABLES  # noqa: E402
 
-SPARK_TYPES = {
-    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
-    "smallint": "SMALLINT", "tinyint": "TINYINT", "float": "FLOAT",
-}
-
-
-def norm(v):
-    if v is None:
-        return None
-    if isinstance(v, float):
-        if math.isnan(v):
-            return None
-        return round(v, 6)
-    if hasattr(v, "item"):
-        return norm(v.item())
-    return v
-
-
-def digest(rows, cols):
-    lines = sorted(repr(tuple(norm(r[c]) for c in cols)) for r in rows)
-    return hashlib.sha256("\n".join(lines).encode()).hexdigest()[:16], lines
+from tracefold.plans.verify import SPARK_TYPES, digest, duck_connect  # noqa: E402
 
 
-def duck(sf_dir: str):
-    con = duckdb.connect()
-    for t in TABLES:
-        p = f"{sf_dir}/{t}.parquet"
-        if os.path.exists(p):
-            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
-    return con
+def duck(sf_dir):
+    return duck_connect(sf_dir, TABLES)
 
 
 def main(argv):

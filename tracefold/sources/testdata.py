@@ -42,6 +42,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class TestdataTrace:
     """Entity tables of the trace, built lazily from the raw tables."""
 
+    __test__ = False  # not a pytest class
+
     spark: SparkSession
     sf_dir: str
 
