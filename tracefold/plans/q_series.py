@@ -5,10 +5,9 @@ from __future__ import annotations
 from tracefold.operators import series
 from tracefold.plans.oracle import with_adapter
 from tracefold.plans.registry import register
-from tracefold.sources.testdata import load
+from tracefold.plans.context import Ctx
 
-# test data spans years: 30-day buckets keep bucket totals small and buckets many
-BUCKET_MS = 30 * 86_400_000
+from tracefold.plans.context import BUCKET_MS  # noqa: E402
 
 _POINTS = """
 pts AS (
@@ -20,7 +19,7 @@ pts AS (
 
 @register("U1_event_points", with_adapter("SELECT app_id, task_id, t, kind_rank, delta FROM pts", _POINTS))
 def q_event_points(spark, sf_dir):
-    return series.event_points(load(spark, sf_dir).tasks)
+    return series.event_points(Ctx(spark, sf_dir).tasks)
 
 
 @register(
@@ -32,7 +31,7 @@ def q_event_points(spark, sf_dir):
     ),
 )
 def q_active_tasks(spark, sf_dir):
-    return series.active_tasks_series(load(spark, sf_dir).tasks, "step", BUCKET_MS)
+    return series.active_tasks_series(Ctx(spark, sf_dir).tasks, "step", BUCKET_MS)
 
 
 @register(
@@ -47,7 +46,7 @@ def q_active_tasks(spark, sf_dir):
     ),
 )
 def q_active_chart(spark, sf_dir):
-    return series.active_tasks_series(load(spark, sf_dir).tasks, "chart", BUCKET_MS)
+    return series.active_tasks_series(Ctx(spark, sf_dir).tasks, "chart", BUCKET_MS)
 
 
 _CAP = """
@@ -69,7 +68,7 @@ cap AS (
     ),
 )
 def q_cores_series(spark, sf_dir):
-    return series.cores_series(load(spark, sf_dir).executors, BUCKET_MS)
+    return series.cores_series(Ctx(spark, sf_dir).executors, BUCKET_MS)
 
 
 @register(
@@ -90,7 +89,7 @@ def q_cores_series(spark, sf_dir):
     ),
 )
 def q_cores_asof(spark, sf_dir):
-    tr = load(spark, sf_dir)
+    tr = Ctx(spark, sf_dir)
     return series.cores_asof(tr.tasks, tr.executors, BUCKET_MS)
 
 
@@ -119,7 +118,7 @@ IDLE_SQL = with_adapter(
 
 @register("A15_idle_core_time", IDLE_SQL)
 def q_idle_core_time(spark, sf_dir):
-    tr = load(spark, sf_dir)
+    tr = Ctx(spark, sf_dir)
     return series.idle_core_time(tr.tasks, tr.executors, BUCKET_MS)
 
 
@@ -134,4 +133,4 @@ def q_idle_core_time(spark, sf_dir):
     ),
 )
 def q_job_markers(spark, sf_dir):
-    return series.job_markers(load(spark, sf_dir).jobs)
+    return series.job_markers(Ctx(spark, sf_dir).jobs)

@@ -70,6 +70,11 @@ class TestdataTrace:
             .alias("name"),
         )
 
+    def use_stored_tasks(self, tasks: DataFrame) -> None:
+        """Derive jobs and stages from an already written tasks table (ingest writes tasks first)."""
+        self.__dict__["_tasks1"] = tasks
+        self.__dict__["tasks"] = tasks
+
     @cached_property
     def _tasks1(self) -> DataFrame:
         li = self.table("lineitem").repartition("l_orderkey")
