@@ -178,3 +178,18 @@ def test_rewrite_links_html(spark):
     assert 'src="/root/http://h/i.png"' in out  # absolute URLs are not exempt
     assert "<a href='/no'>" in out  # script text is not markup
     assert '<a name="x">' in out
+
+
+def test_stream_dedup_and_late_events(spark, scratch):
+    src = os.path.join(scratch, "dups")
+    os.makedirs(src)
+    rows = [("a", 1, 1000), ("a", 1, 1000), ("a", 2, 2000), ("b", 1, 1500), ("a", 2, 2000)]
+    spark.createDataFrame(rows, "app_id string, task_id bigint, t bigint").write.mode("overwrite").parquet(src + "/p")
+    stream = spark.readStream.schema("app_id string, task_id bigint, t bigint").parquet(src + "/p")
+    d = live.dedup_events(stream, ["app_id", "task_id"], "t", "1 hour")
+    q = live.start(d, "dedup_test", mode="append", trigger={"availableNow": True}, checkpoint=os.path.join(scratch, "c3"))
+    q.awaitTermination(120)
+    got = sorted((r["app_id"], r["task_id"]) for r in spark.table("dedup_test").collect())
+    assert got == [("a", 1), ("a", 2), ("b", 1)]
+    late = live.late_events(spark.createDataFrame(rows, "app_id string, task_id bigint, t bigint"), 1600)
+    assert late.count() == 3

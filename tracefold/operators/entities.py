@@ -164,3 +164,19 @@ def stage_info_map(jobs: DataFrame) -> DataFrame:
         "app_id", "job_id",
         F.map_from_entries(F.transform("stage_infos", lambda i: F.struct(i["stage_id"], i))).alias("stage_info_map"),
     )
+
+
+# W6 ----------------------------------------------------------------------
+def first_last_stage_info(jobs: DataFrame, stages: DataFrame) -> DataFrame:
+    """Stage info as the listener keeps it: the first job start that plans a stage wins
+    (getOrElseUpdate), later submit/complete events overwrite (last write wins)."""
+    i = job_stage_infos(jobs)
+    first = i.groupBy("app_id", "stage_id").agg(
+        F.min_by("num_tasks", F.struct("submission_ms", "job_id")).alias("first_info_tasks"),
+        F.min_by("job_id", F.struct("submission_ms", "job_id")).alias("first_planner"),
+    )
+    last = stages.groupBy("app_id", "stage_id").agg(
+        F.max_by("name", F.struct(F.coalesce("completion_ms", "submission_ms"), "stage_attempt")).alias("last_name"),
+        F.max_by("status", F.struct(F.coalesce("completion_ms", "submission_ms"), "stage_attempt")).alias("last_status"),
+    )
+    return first.join(last, ["app_id", "stage_id"], "left")

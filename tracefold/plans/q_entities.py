@@ -330,3 +330,32 @@ def q_unattributed(spark, sf_dir):
        WHERE s.stage_id % 3 > 0"""))
 def q_stage_edges(spark, sf_dir):
     return attribution.stage_edges(Ctx(spark, sf_dir).stages)
+
+
+@register("P21_qualified_keys", with_adapter(
+    """SELECT concat('app', CAST(p.app_id AS VARCHAR)) AS app_key,
+              concat('app', CAST(p.app_id AS VARCHAR), 'job', CAST(p.job_id AS VARCHAR)) AS job_key,
+              concat('app', CAST(p.app_id AS VARCHAR), 'stage', CAST(p.stage_id AS VARCHAR)) AS stage_key
+       FROM v_planned p"""))
+def q_qualified_keys(spark, sf_dir):
+    from tracefold.functions.columns import qualified_key
+
+    i = entities.job_stage_infos(Ctx(spark, sf_dir).jobs)
+    return i.select(
+        F.concat(F.lit("app"), F.col("app_id").cast("string")).alias("app_key"),
+        qualified_key("job", "app_id", "job_id").alias("job_key"),
+        qualified_key("stage", "app_id", "stage_id").alias("stage_key"),
+    )
+
+
+@register("W6_first_last_info", with_adapter(
+    """SELECT f.app_id, f.stage_id, CAST(f.planned_tasks AS BIGINT) AS first_info_tasks, f.job_id AS first_planner,
+              s.name AS last_name, s.status AS last_status
+       FROM (SELECT p.app_id, p.stage_id, p.planned_tasks, p.job_id,
+                    row_number() OVER (PARTITION BY p.app_id, p.stage_id ORDER BY j.submission_ms, p.job_id) AS rn
+             FROM v_planned p JOIN v_jobs j ON p.app_id = j.app_id AND p.job_id = j.job_id) f
+       LEFT JOIN v_stages s ON s.app_id = f.app_id AND s.stage_id = f.stage_id
+       WHERE f.rn = 1"""))
+def q_first_last_info(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return entities.first_last_stage_info(c.jobs, c.stages)
