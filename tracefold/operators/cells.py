@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.operators.sweep import running_sums
+from tracefold.session import cut_lineage
 
 DEFAULT_BUCKET_MS = 86_400_000
 
@@ -52,13 +53,22 @@ def cell_runs(signals: DataFrame, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFra
     m = F.least(zero, F.col("S_min"))
     m_prev = F.least(zero, F.coalesce(F.col("S_min_prev"), zero))
     r = r.withColumn("eff", ((F.col("signal") == "idle") & (m == m_prev)).cast("int"))
+    # both the execute side and the idle numbering read this table: cut the lineage once
+    r = cut_lineage(r.select("kernel_id", "seq", "cell_id", "ts_ms", "signal", "exec_no", "eff"))
     idles = running_sums(r.where(F.col("eff") == 1), ["kernel_id"], "ts_ms", ["eff"], bucket_ms, tiebreak=["seq"])
-    idles = idles.select("kernel_id", F.col("eff_run").alias("run_no"), F.col("ts_ms").alias("end_ms"))
+    # the k-th effective idle ends run k and lets run k+1 start: one keyed aggregate, no self join
+    ends = idles.select(
+        "kernel_id",
+        F.explode(F.array(
+            F.struct(F.col("eff_run").alias("run_no"), F.col("ts_ms").alias("end_ms"), F.lit(None).cast("long").alias("prev")),
+            F.struct((F.col("eff_run") + 1).alias("run_no"), F.lit(None).cast("long").alias("end_ms"), F.col("ts_ms").alias("prev")),
+        )).alias("e"),
+    ).groupBy("kernel_id", F.col("e.run_no").alias("run_no")).agg(
+        F.max("e.end_ms").alias("end_ms"), F.max("e.prev").alias("prev_end_ms"))
     execs = r.where(F.col("signal") == "execute").select(
         "kernel_id", F.col("exec_no").alias("run_no"), "cell_id", F.col("ts_ms").alias("exec_ms"))
-    prev = idles.select("kernel_id", (F.col("run_no") + 1).alias("run_no"), F.col("end_ms").alias("prev_end_ms"))
-    out = execs.join(idles, ["kernel_id", "run_no"], "left").join(prev, ["kernel_id", "run_no"], "left")
-    return out.select(
+    out = execs.join(ends, ["kernel_id", "run_no"], "left")
+    runs = out.select(
         "kernel_id", "run_no", "cell_id", "exec_ms",
         # run 1 starts at its execute; a later run only once the previous one ended
         F.when(F.col("run_no") == 1, F.col("exec_ms"))
@@ -66,6 +76,8 @@ def cell_runs(signals: DataFrame, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFra
         .alias("start_ms"),
         "end_ms",
     )
+    # runs feed several consumers (attribution, latest run, completion): hand them a shallow plan
+    return cut_lineage(runs)
 
 
 def latest_run_per_cell(runs: DataFrame) -> DataFrame:
