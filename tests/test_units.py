@@ -219,3 +219,15 @@ def test_active_series_never_negative(spark, sf001):
 ])
 def test_url_path_join_matches_python_rule(spark, pieces):
     assert _one(spark, url_path_join(*pieces)) == _py_join(*pieces)
+
+
+def test_lanes_greedy_and_split_at_idle_gaps(spark):
+    from tracefold.operators.timeline import assign_lanes
+
+    rows = [(1, "g", "a", 0, 10), (1, "g", "b", 1, 3), (1, "g", "c", 2, 12), (1, "g", "d", 4, 6),
+            (1, "g", "e", 12, 13), (1, "g", "f", 20, 25), (1, "g", "h", 21, None)]
+    items = spark.createDataFrame(rows, "app_id bigint, grp string, item_id string, start_ms bigint, end_ms bigint")
+    got = {r["item_id"]: (r["lane"], r["busy_period"]) for r in assign_lanes(items, bucket_ms=5).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"a": 0, "b": 1, "c": 2, "d": 1, "e": 0, "f": 0, "h": 1}
+    # c ends at 12 when e starts: e opens a new busy period
+    assert [got[k][1] for k in "abcdefh"] == [1, 1, 1, 1, 2, 3, 3]

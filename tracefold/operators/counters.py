@@ -191,13 +191,23 @@ def launch_per_stage(lc: Lifecycle) -> DataFrame:
 
 # A11 ---------------------------------------------------------------------
 def jobs_by_group(jobs: DataFrame) -> DataFrame:
-    """Jobs per job group; an absent group is a group of its own (NULL)."""
+    """Jobs per job group; an absent group is a group of its own (NULL).
+
+    The set itself is ``job_group_members`` (one row per member); a group may
+    hold any number of jobs, so it is summarised, never collected into one row.
+    """
     return jobs.groupBy("app_id", "job_group").agg(
         F.count(F.lit(1)).alias("num_jobs"),
-        F.array_join(F.sort_array(F.collect_set("job_id")).cast("array<string>"), ",").alias("job_ids"),
+        F.min("job_id").alias("first_job_id"),
+        F.max("job_id").alias("last_job_id"),
+        F.count_if(F.col("status") == "RUNNING").alias("running_jobs"),
     )
 
 
+def job_group_members(jobs: DataFrame) -> DataFrame:
+    return jobs.select("app_id", "job_group", "job_id")
+
+
 # A12 ---------------------------------------------------------------------
 def killed_by_reason(lc: Lifecycle, jobs: DataFrame) -> DataFrame:
     """Killed task ends per (job, reason), jobs by the planned rule; pre-aggregated per stage first."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tracefold.operators.series import K_JOB_END, K_STAGE_COMPLETED
 from tracefold.operators.sweep import running_sums
+from tracefold.session import broadcast_if_small
 
 DEFAULT_BUCKET_MS = 60_000
 
@@ -54,7 +55,9 @@ def retain_recent(items: DataFrame, limit: int = 1000, bucket_ms: int = DEFAULT_
     k = max(1, limit // 10)
     evicted = F.when(F.col("n") <= limit, F.lit(0)).otherwise(
         F.lit(k) * (F.lit(1) + F.expr(f"(n - {limit} - 1) div {k}")))
-    return a.join(n, ["app_id", "list"]).where(F.col("arrival_no") > evicted).select(
+    # (app, list) has few values: a shuffle join on it would put a whole list in one task, so the
+    # per-list totals (one row per app and list) are broadcast behind a row-count check
+    return a.join(broadcast_if_small(n), ["app_id", "list"]).where(F.col("arrival_no") > evicted).select(
         "app_id", "list", "item_key", "arrival_no")
 
 

@@ -255,7 +255,8 @@ def q_launch_per_stage(spark, sf_dir):
 
 
 @register("A11_jobs_by_group", with_adapter(
-    """SELECT app_id, job_group, count(*) AS num_jobs, string_agg(CAST(job_id AS VARCHAR), ',' ORDER BY job_id) AS job_ids
+    """SELECT app_id, job_group, count(*) AS num_jobs, min(job_id) AS first_job_id, max(job_id) AS last_job_id,
+              count(*) FILTER (WHERE status = 'RUNNING') AS running_jobs
        FROM v_jobs GROUP BY app_id, job_group"""))
 def q_jobs_by_group(spark, sf_dir):
     return counters.jobs_by_group(Ctx(spark, sf_dir).jobs)
