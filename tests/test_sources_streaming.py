@@ -240,3 +240,15 @@ def test_stream_completion_signal_equals_batch(spark, sf001, scratch):
     want = batch_cells.completion_signal(runs, jc, tr.kernel_jobs).where(F.col("completed_ms").isNotNull())
     cols = ["kernel_id", "run_no", "cell_id", "end_ms", "num_jobs", "completed_ms"]
     assert _rows(got, cols) == _rows(want, cols)
+
+
+def test_write_and_open_trace_store(spark, sf001, scratch):
+    from tracefold.sources import store
+
+    lc = from_trace(TestdataTrace(spark, sf001))
+    path = os.path.join(scratch, "store")
+    store.write_trace(lc, path, partition_by_app=True)
+    ent = store.open_entities(spark, path)
+    assert glob.glob(os.path.join(path, "entities", "jobs", "app_id=*"))
+    assert ent.jobs.count() == entities.pair_jobs(lc).count()
+    assert store.open_events(spark, path).task_end.count() == lc.task_end.count()

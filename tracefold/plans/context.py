@@ -14,48 +14,25 @@ import hashlib
 import os
 import threading
 import time
-from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.operators import entities
 from tracefold.session import checkpoint_dir
-from tracefold.sources.lifecycle import Lifecycle, from_trace
+from tracefold.sources.lifecycle import from_trace
+from tracefold.sources.store import LazyTables, open_entities, open_events, write_trace
 from tracefold.sources.testdata import TestdataTrace
 
 # test data spans years: 30-day buckets keep bucket totals small and buckets many
 BUCKET_MS = 30 * 86_400_000
 
 TRACE_TABLES = ["jobs", "tasks", "stages", "planned", "executors", "signals", "kernel_jobs"]
-ENTITY_TABLES = ["jobs", "stages", "tasks", "executors"]
 
 _LOCK = threading.Lock()
 _STORE: dict[tuple[str, str], str] = {}
 LAST_INGEST_SEC: dict[tuple[str, str], float] = {}
 
 
-class _Tables:
-    """Lazily opened Parquet tables (a footer read happens only for tables a query uses)."""
-
-    def __init__(self, spark: SparkSession, base: str, names: list[str]):
-        self._spark, self._base, self._names, self._dfs = spark, base, set(names), {}
-
-    def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name not in self._names:
-            raise AttributeError(name)
-        if name not in self._dfs:
-            self._dfs[name] = self._spark.read.parquet(f"{self._base}/{name}")
-        return self._dfs[name]
-
-
-class _LazyLifecycle:
-    def __init__(self, t: _Tables):
-        self._t = t
-
-    def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_"):
-            raise AttributeError(name)
-        return getattr(self._t, name)
+_Tables = LazyTables
 
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
@@ -78,18 +55,7 @@ def ingest(spark: SparkSession, sf_dir: str, force: bool = False) -> str:
             if n != "tasks":
                 getattr(tr, n).write.mode("overwrite").parquet(f"{base}/trace/{n}")
         stored_tr = _Tables(spark, f"{base}/trace", TRACE_TABLES)
-        lc = from_trace(stored_tr)
-        for f in fields(Lifecycle):
-            getattr(lc, f.name).write.mode("overwrite").parquet(f"{base}/events/{f.name}")
-        stored_lc = Lifecycle(**{f.name: spark.read.parquet(f"{base}/events/{f.name}") for f in fields(Lifecycle)})
-        ent = {
-            "jobs": entities.pair_jobs(stored_lc),
-            "stages": entities.pair_stages(stored_lc),
-            "tasks": entities.pair_tasks(stored_lc),
-            "executors": entities.pair_executors(stored_lc),
-        }
-        for n, df in ent.items():
-            df.write.mode("overwrite").parquet(f"{base}/entities/{n}")
+        write_trace(from_trace(stored_tr), base)
         _STORE[key] = base
         LAST_INGEST_SEC[key] = time.perf_counter() - t0
         return base
@@ -112,8 +78,8 @@ class Ctx:
         if key not in _VIEWS:
             _VIEWS[key] = (
                 _Tables(spark, f"{base}/trace", TRACE_TABLES),
-                _LazyLifecycle(_Tables(spark, f"{base}/events", [f.name for f in fields(Lifecycle)])),
-                _Tables(spark, f"{base}/entities", ENTITY_TABLES),
+                open_events(spark, base),
+                open_entities(spark, base),
             )
         self.tr, self.lc, self._ent = _VIEWS[key]
 
