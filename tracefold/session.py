@@ -39,19 +39,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts, taken from the session.
 
     Only when the session names none (a local test) do we create one under the
-    system temp folder and register it; cluster sessions must name a shared
-    folder in ``spark.checkpoint.dir``.
+    system temp folder; cluster sessions must name a shared folder in
+    ``spark.checkpoint.dir``.
     """
-    current = spark.conf.get(CHECKPOINT_CONF, None)
+    sc = spark.sparkContext
+    current = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not current:
-        master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
+        if not (sc.master or "").startswith("local"):
             raise RuntimeError(
                 f"{CHECKPOINT_CONF} is not set; a cluster session must name a shared folder for checkpoints"
             )
         current = tempfile.mkdtemp(prefix="tracefold-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, current)
-    spark.sparkContext.setCheckpointDir(current)
+        try:
+            spark.conf.set(CHECKPOINT_CONF, current)
+        except Exception:  # core confs may be read-only at runtime; the context setting below suffices
+            pass
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
 
 
