@@ -231,3 +231,18 @@ def test_lanes_greedy_and_split_at_idle_gaps(spark):
     assert {k: v[0] for k, v in got.items()} == {"a": 0, "b": 1, "c": 2, "d": 1, "e": 0, "f": 0, "h": 1}
     # c ends at 12 when e starts: e opens a new busy period
     assert [got[k][1] for k in "abcdefh"] == [1, 1, 1, 1, 2, 3, 3]
+
+
+def test_skipped_replanned_rule(spark):
+    # job 1 plans stage 10, which runs; job 2 re-plans the finished stage later and ends without rerunning it
+    js = [("a", 1, 0, None, "one", None, [10], [_info(10)]), ("a", 2, 40, None, "two", None, [10], [_info(10)])]
+    je = [("a", 1, 30, "JobSucceeded"), ("a", 2, 50, "JobSucceeded")]
+    ss = [("a", 10, 0, 10, "stage 10", 2, [])]
+    sd = [("a", 10, 0, 20, 10, 2, None)]
+    lc = _lifecycle(spark, js, je, ss, sd, [], [])
+    jobs = entities.pair_jobs(lc)
+    listener = sorted((r["job_id"], r["stage_id"]) for r in attribution.skipped_stages(lc, jobs, "listener").collect())
+    replanned = sorted((r["job_id"], r["stage_id"]) for r in
+                       attribution.skipped_stages(lc, jobs, "replanned", bucket_ms=7).collect())
+    assert listener == []
+    assert replanned == [(2, 10)]

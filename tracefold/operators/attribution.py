@@ -23,6 +23,7 @@ from tracefold.operators.sweep import running_sums
 from tracefold.sources.lifecycle import Lifecycle
 
 DEFAULT_BUCKET_MS = 60_000
+END_OF_TIME = 9_000_000_000_000_000  # ms, later than any event
 TASK_COUNTS = ["n_started", "n_succeeded", "n_failed", "n_killed"]
 
 
@@ -80,8 +81,11 @@ def attribute_active(lc: Lifecycle, jobs: DataFrame, bucket_ms: int = DEFAULT_BU
         "app_id", "stage_id", F.col("submission_ms").alias("t"), F.lit(K_JOB_START).alias("kind_rank"),
         F.col("job_id").alias("eid"), *zero, F.col("job_id").alias("m_job"), F.lit("s").alias("m_kind"),
     )
-    m_end = pairs.where(F.col("end_t").isNotNull()).select(
-        "app_id", "stage_id", F.col("end_t").alias("t"), F.lit(K_JOB_END).alias("kind_rank"),
+    # a job still running counts everything after its start: its end marker sits after every event,
+    # so the same sweep yields the stage total and no second pass over the task events is needed
+    end_or_last = F.coalesce(F.col("end_t"), F.lit(END_OF_TIME))
+    m_end = pairs.select(
+        "app_id", "stage_id", end_or_last.alias("t"), F.lit(K_JOB_END).alias("kind_rank"),
         F.col("job_id").alias("eid"), *zero, F.col("job_id").alias("m_job"), F.lit("e").alias("m_kind"),
     )
     ev = task_deltas(lc).select(
@@ -93,14 +97,9 @@ def attribute_active(lc: Lifecycle, jobs: DataFrame, bucket_ms: int = DEFAULT_BU
         *[F.max(F.when(F.col("m_kind") == "s", F.col(f"{c}_run"))).alias(f"s_{c}") for c in TASK_COUNTS],
         *[F.max(F.when(F.col("m_kind") == "e", F.col(f"{c}_run"))).alias(f"e_{c}") for c in TASK_COUNTS],
     )
-    tot = stage_task_totals(lc)
-    j = marks.join(tot, ["app_id", "stage_id"], "left")
-    return j.select(
+    return marks.select(
         "app_id", "job_id", "stage_id",
-        *[
-            (F.coalesce(F.col(f"e_{c}"), F.col(c), F.lit(0)) - F.col(f"s_{c}")).cast("long").alias(c)
-            for c in TASK_COUNTS
-        ],
+        *[(F.col(f"e_{c}") - F.col(f"s_{c}")).cast("long").alias(c) for c in TASK_COUNTS],
     )
 
 
@@ -114,17 +113,22 @@ def job_task_counts(lc: Lifecycle, jobs: DataFrame, mode: str = "active", bucket
 
 
 # J8 ----------------------------------------------------------------------
-def skipped_stages(lc: Lifecycle, jobs: DataFrame, mode: str = "listener") -> DataFrame:
+def skipped_stages(lc: Lifecycle, jobs: DataFrame, mode: str = "listener", bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
     """Planned stages never submitted by the time the job ended.
 
     ``listener``: no submission of the stage id (by any job) before the job end.
-    ``replanned``: no submission after the latest planning of the stage by a
-    job start (at or before this job's start) and before this job's end.
+    ``replanned`` (frontend): every job start re-plans its stages as pending, so a
+    stage is skipped for a job when no submission follows the latest planning of
+    the stage (by any job) before this job's end. In set form, per (app, stage):
+    running counts of plannings and submissions over planning, submission and
+    job-end rows; the job end reads the index k of the latest planning and the
+    submissions counted there, an equi-join on (app, stage, k) fetches the
+    count at that planning, and the stage is skipped iff the two are equal.
     """
     pairs = job_stage_infos(jobs)
     ended = pairs.join(jobs.where(F.col("completion_ms").isNotNull()).select("app_id", "job_id", "completion_ms"),
                        ["app_id", "job_id"])
-    subs = lc.stage_submitted.select("app_id", "stage_id", F.col("t").alias("sub_t"))
+    subs = lc.stage_submitted.select("app_id", "stage_id", F.col("t").alias("sub_t"), "stage_attempt")
     # first stage info wins for the task count (first job start that planned it)
     first_info = pairs.groupBy("app_id", "stage_id").agg(
         F.min_by("num_tasks", F.struct("submission_ms", "job_id")).alias("info_tasks")
@@ -135,17 +139,25 @@ def skipped_stages(lc: Lifecycle, jobs: DataFrame, mode: str = "listener") -> Da
         # a submission (kind 3) at the same ms as the job end (kind 7) comes first
         sk = c.where(F.col("first_sub").isNull() | (F.col("first_sub") > F.col("completion_ms")))
     elif mode == "replanned":
-        plan_t = pairs.select("app_id", "stage_id", F.col("submission_ms").alias("plan_t"), F.col("job_id").alias("plan_job"))
-        latest = (
-            ended.join(plan_t, ["app_id", "stage_id"])
-            .where(F.col("plan_t") <= F.col("submission_ms"))
-            .groupBy("app_id", "job_id", "stage_id", "completion_ms", "submission_ms", "num_tasks")
-            .agg(F.max("plan_t").alias("replan_t"))
-        )
-        hit = latest.join(subs, ["app_id", "stage_id"]).where(
-            (F.col("sub_t") >= F.col("replan_t")) & (F.col("sub_t") <= F.col("completion_ms"))
-        ).select("app_id", "job_id", "stage_id").distinct()
-        sk = latest.join(hit, ["app_id", "job_id", "stage_id"], "left_anti")
+        none = F.lit(None).cast("long")
+        plans = pairs.where(F.col("submission_ms").isNotNull()).select(
+            "app_id", "stage_id", F.col("submission_ms").alias("t"), F.lit(K_JOB_START).alias("kind_rank"),
+            F.col("job_id").alias("eid"), F.lit(1).alias("d_plan"), F.lit(0).alias("d_sub"), none.alias("m_job"))
+        sb = subs.select("app_id", "stage_id", F.col("sub_t").alias("t"), F.lit(3).alias("kind_rank"),
+                         F.col("stage_attempt").cast("long").alias("eid"), F.lit(0).alias("d_plan"), F.lit(1).alias("d_sub"),
+                         none.alias("m_job"))
+        ends = ended.select("app_id", "stage_id", F.col("completion_ms").alias("t"), F.lit(K_JOB_END).alias("kind_rank"),
+                            F.col("job_id").alias("eid"), F.lit(0).alias("d_plan"), F.lit(0).alias("d_sub"),
+                            F.col("job_id").alias("m_job"))
+        r = running_sums(plans.unionByName(sb).unionByName(ends), ["app_id", "stage_id"], "t", ["d_plan", "d_sub"],
+                         bucket_ms, tiebreak=["kind_rank", "eid"])
+        at_plan = r.where(F.col("kind_rank") == K_JOB_START).select(
+            "app_id", "stage_id", F.col("d_plan_run").alias("k"), F.col("d_sub_run").alias("subs_at_plan"))
+        at_end = r.where(F.col("m_job").isNotNull()).select(
+            "app_id", "stage_id", F.col("m_job").alias("job_id"), F.col("d_plan_run").alias("k"),
+            F.col("d_sub_run").alias("subs_at_end"))
+        hit = at_end.join(at_plan, ["app_id", "stage_id", "k"]).where(F.col("subs_at_end") == F.col("subs_at_plan"))
+        sk = ended.join(hit.select("app_id", "stage_id", "job_id"), ["app_id", "stage_id", "job_id"], "left_semi")
     else:
         raise ValueError(mode)
     return sk.join(first_info, ["app_id", "stage_id"], "left").select(

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.functions.columns import duration_ms, format_duration, short_name
-from tracefold.operators.attribution import attribute_planned, skipped_stages
-from tracefold.operators.counters import job_skip_counters, job_stage_counters_naive
+from tracefold.operators.attribution import task_deltas
+from tracefold.operators.counters import _stage_events
 from tracefold.operators.entities import job_display_status, job_stage_infos
 from tracefold.sources.lifecycle import Lifecycle
 
@@ -51,39 +51,82 @@ def stage_summary_text(done: Column, total: Column, skipped: Column, active: Col
 
 
 def job_table(lc: Lifecycle, jobs: DataFrame, stages: DataFrame) -> DataFrame:
-    named = job_name_or_stage(jobs)
-    tasks = attribute_planned(lc, jobs).groupBy("app_id", "job_id").agg(
-        F.sum("n_succeeded").cast("long").alias("c"),
-        (F.sum("n_started") - F.sum("n_succeeded") - F.sum("n_failed")).cast("long").alias("a"),
-    )
-    skips = job_skip_counters(lc, jobs)
-    st = job_stage_counters_naive(lc, jobs)
-    # nested stage list: id:status, SKIPPED for skipped, PENDING when never submitted
-    sk = skipped_stages(lc, jobs).select("app_id", "job_id", "stage_id", F.lit(True).alias("_skipped"))
-    last_status = stages.groupBy("app_id", "stage_id").agg(F.max_by("status", "stage_attempt").alias("_st"))
-    sl = (
-        job_stage_infos(jobs).select("app_id", "job_id", "stage_id")
-        .join(sk, ["app_id", "job_id", "stage_id"], "left")
-        .join(last_status, ["app_id", "stage_id"], "left")
-        .select("app_id", "job_id", "stage_id",
-                F.when(F.col("_skipped"), "SKIPPED").otherwise(F.coalesce("_st", F.lit("PENDING"))).alias("st"))
-        .groupBy("app_id", "job_id")
-        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("stage_id", "st"))),
-                                      lambda x: F.concat(x["stage_id"].cast("string"), F.lit(":"), x["st"])), ",")
-             .alias("stage_list"))
-    )
-    k = ["app_id", "job_id"]
-    j = named.join(tasks, k, "left").join(skips, k, "left").join(st, k, "left").join(sl, k, "left")
+    """T1 in three shuffles.
+
+    1. One ``groupBy(app, stage)`` over the union of task deltas, stage events,
+       stage attempts and planned pairs gives every per-stage fact (task counts,
+       first submission, stage completions, last status, first-planned task count).
+    2. The (job, stage) pairs are exploded from the jobs table (jobs without
+       stages kept) and joined to those facts on (app, stage).
+    3. One ``groupBy(app, job)`` computes all counters, texts and the stage list.
+    """
+    td = task_deltas(lc).select(
+        "app_id", "stage_id", "n_started", "n_succeeded", "n_failed",
+        F.lit(None).cast("long").alias("sub_t"), F.lit(0).alias("subs"), F.lit(0).alias("oks"), F.lit(0).alias("fails"),
+        F.lit(None).cast("string").alias("st_status"), F.lit(None).cast("int").alias("st_attempt"),
+        F.lit(None).cast("long").alias("info_tasks"), F.lit(None).cast("struct<s:bigint,j:bigint>").alias("info_ord"))
+    se = _stage_events(lc).select(
+        "app_id", "stage_id", F.lit(0).alias("n_started"), F.lit(0).alias("n_succeeded"), F.lit(0).alias("n_failed"),
+        F.when(F.col("is_submit"), F.col("t")).alias("sub_t"), F.col("is_submit").cast("int").alias("subs"),
+        (~F.col("is_submit") & ~F.col("failed")).cast("int").alias("oks"), F.col("failed").cast("int").alias("fails"),
+        F.lit(None).cast("string").alias("st_status"), F.lit(None).cast("int").alias("st_attempt"),
+        F.lit(None).cast("long").alias("info_tasks"), F.lit(None).cast("struct<s:bigint,j:bigint>").alias("info_ord"))
+    sa = stages.select(
+        "app_id", "stage_id", F.lit(0).alias("n_started"), F.lit(0).alias("n_succeeded"), F.lit(0).alias("n_failed"),
+        F.lit(None).cast("long").alias("sub_t"), F.lit(0).alias("subs"), F.lit(0).alias("oks"), F.lit(0).alias("fails"),
+        F.col("status").alias("st_status"), F.col("stage_attempt").cast("int").alias("st_attempt"),
+        F.lit(None).cast("long").alias("info_tasks"), F.lit(None).cast("struct<s:bigint,j:bigint>").alias("info_ord"))
+    pairs = jobs.select(
+        "app_id", "job_id", "name", "status", "submission_ms", "completion_ms",
+        F.explode_outer("stage_infos").alias("i"))
+    pi = pairs.where(F.col("i").isNotNull()).select(
+        "app_id", F.col("i.stage_id").alias("stage_id"), F.lit(0).alias("n_started"), F.lit(0).alias("n_succeeded"),
+        F.lit(0).alias("n_failed"), F.lit(None).cast("long").alias("sub_t"), F.lit(0).alias("subs"), F.lit(0).alias("oks"),
+        F.lit(0).alias("fails"), F.lit(None).cast("string").alias("st_status"), F.lit(None).cast("int").alias("st_attempt"),
+        F.col("i.num_tasks").alias("info_tasks"),
+        F.struct(F.col("submission_ms").alias("s"), F.col("job_id").alias("j")).alias("info_ord"))
+    facts = td.unionByName(se).unionByName(sa).unionByName(pi).groupBy("app_id", "stage_id").agg(
+        F.sum("n_started").alias("n_started"), F.sum("n_succeeded").alias("n_succeeded"), F.sum("n_failed").alias("n_failed"),
+        F.min("sub_t").alias("first_sub"), F.sum("subs").alias("subs"), F.sum("oks").alias("oks"),
+        F.sum("fails").alias("fails"), F.max_by("st_status", "st_attempt").alias("last_status"),
+        F.min_by("info_tasks", "info_ord").alias("first_info_tasks"))
+    p = pairs.select("app_id", "job_id", "name", "status", "submission_ms", "completion_ms",
+                     F.col("i.stage_id").alias("stage_id"), F.col("i.num_tasks").alias("num_tasks"),
+                     F.col("i.name").alias("stage_name"), F.col("i.completion_ms").alias("known_ms"))
+    pj = p.join(facts, ["app_id", "stage_id"], "left")
+    has_stage = F.col("stage_id").isNotNull()
+    # J8 listener rule: no submission of the stage before the job end (a submission at the same ms comes first)
+    skipped = has_stage & F.col("completion_ms").isNotNull() & (
+        F.col("first_sub").isNull() | (F.col("first_sub") > F.col("completion_ms")))
+    st = F.when(skipped, "SKIPPED").otherwise(F.coalesce("last_status", F.lit("PENDING")))
     z = F.lit(0).cast("long")
-    c, a, n = F.coalesce("c", z), F.coalesce("a", z), F.coalesce("effective_tasks", z)
+    g = pj.groupBy("app_id", "job_id").agg(
+        F.any_value("name").alias("name"), F.any_value("status").alias("status"),
+        F.any_value("submission_ms").alias("submission_ms"), F.any_value("completion_ms").alias("completion_ms"),
+        F.coalesce(F.sum("n_succeeded"), z).cast("long").alias("c"),
+        F.coalesce(F.sum(F.col("n_started") - F.col("n_succeeded") - F.col("n_failed")), z).cast("long").alias("a"),
+        F.coalesce(F.sum(F.when(F.col("known_ms").isNull(), F.col("num_tasks"))), z).cast("long").alias("num_tasks"),
+        F.count_if(has_stage).alias("num_stages"),
+        F.count_if(skipped).alias("ss"),
+        F.coalesce(F.sum(F.when(skipped, F.coalesce("first_info_tasks", "num_tasks"))), z).cast("long").alias("stk"),
+        F.coalesce(F.sum(F.coalesce(F.col("subs") - F.col("oks") - F.col("fails"), F.lit(0))), z).cast("long").alias("act_st"),
+        F.coalesce(F.sum(F.coalesce("oks", F.lit(0))), z).cast("long").alias("done_st"),
+        F.max_by("stage_name", "stage_id").alias("last_stage_name"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(has_stage, F.struct("stage_id", st.alias("st"))))),
+                                 lambda x: F.concat(x["stage_id"].cast("string"), F.lit(":"), x["st"])), ",").alias("stage_list"),
+    )
+    sn = short_name(F.col("name"))
+    name = F.when(sn.isNull() | (sn == "null"), short_name(F.col("last_stage_name"))).otherwise(sn)
+    n = F.col("num_tasks") - F.col("stk")
+    c, a = F.col("c"), F.col("a")
     dur = F.when(F.col("status") != "RUNNING", duration_ms("submission_ms", "completion_ms"))
-    return j.select(
-        "app_id", "job_id", F.col("display_name").alias("name"),
+    return g.select(
+        "app_id", "job_id", name.alias("name"),
         job_display_status(F.col("status")).alias("status"),
         "submission_ms", dur.alias("duration_ms"), format_duration(dur).alias("duration_text"),
         progress_text(c, a, n).alias("progress_text"),
         progress_pct(c, n).alias("completed_pct"), progress_pct(a, n).alias("active_pct"),
-        stage_summary_text(F.coalesce("completed_stages", z), F.coalesce("effective_stages", z),
-                           F.coalesce("skipped_stages", z), F.coalesce("active_stages", z)).alias("stages_text"),
-        "stage_list",
+        stage_summary_text(F.col("done_st"), F.col("num_stages") - F.col("ss"), F.col("ss"), F.col("act_st"))
+        .alias("stages_text"),
+        F.when(F.col("num_stages") > 0, F.col("stage_list")).alias("stage_list"),
     )

@@ -360,3 +360,19 @@ def q_qualified_keys(spark, sf_dir):
 def q_first_last_info(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     return entities.first_last_stage_info(c.jobs, c.stages)
+
+
+@register("J8_skipped_stages_replanned", with_adapter(
+    """SELECT e.app_id, e.job_id, e.stage_id, CAST(e.planned_tasks AS BIGINT) AS num_tasks
+       FROM (SELECT p.app_id, p.job_id, p.stage_id, p.planned_tasks, j.completion_ms,
+                    (SELECT max(j2.submission_ms) FROM v_planned p2 JOIN v_jobs j2
+                       ON p2.app_id = j2.app_id AND p2.job_id = j2.job_id
+                     WHERE p2.app_id = p.app_id AND p2.stage_id = p.stage_id
+                       AND j2.submission_ms <= j.completion_ms) AS replan_t
+             FROM v_planned p JOIN v_jobs j ON p.app_id = j.app_id AND p.job_id = j.job_id
+             WHERE j.completion_ms IS NOT NULL) e
+       WHERE NOT EXISTS (SELECT 1 FROM v_stages s WHERE s.app_id = e.app_id AND s.stage_id = e.stage_id
+                           AND s.submission_ms >= e.replan_t AND s.submission_ms <= e.completion_ms)"""))
+def q_skipped_replanned(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return attribution.skipped_stages(c.lc, c.jobs, "replanned", BUCKET_MS)
