@@ -104,22 +104,51 @@ def _stage_events(lc: Lifecycle) -> DataFrame:
     return sub.unionByName(com)
 
 
-def job_stage_counters(lc: Lifecycle, jobs: DataFrame) -> DataFrame:
+def job_stage_counters(lc: Lifecycle, jobs: DataFrame, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
     """Listener rule: stage events inside the job's active interval; completed is a set
-    (a stage is in it iff its last attributed submit-or-complete is a successful completion)."""
-    pairs = job_stage_infos(jobs).join(jobs.select("app_id", "job_id", F.col("completion_ms").alias("end_t")),
-                                       ["app_id", "job_id"])
-    ev = _stage_events(lc)
-    after_start = (F.col("t") > F.col("submission_ms")) | (
-        (F.col("t") == F.col("submission_ms")) & (F.col("kind_rank") > K_JOB_START))
-    before_end = F.col("end_t").isNull() | (F.col("t") < F.col("end_t")) | (
-        (F.col("t") == F.col("end_t")) & (F.col("kind_rank") < K_JOB_END))
-    a = pairs.join(ev, ["app_id", "stage_id"]).where(after_start & before_end)
-    per_stage = a.groupBy("app_id", "job_id", "stage_id").agg(
-        F.count_if("is_submit").alias("subs"),
-        F.count_if(~F.col("is_submit")).alias("comps"),
-        F.count_if("failed").alias("fails"),
-        F.max_by(F.col("ok"), F.struct("t", "kind_rank", "stage_attempt")).alias("last_ok"),
+    (a stage is in it iff its last attributed submit-or-complete is a successful completion).
+
+    Sweep form (no job x event pairs): per (app, stage), running counts over the
+    stage events and the jobs' start/end markers; a job's counts are end minus
+    start, and the last event inside its interval is event number k read at the
+    end marker (fetched by an equi-join on (app, stage, k)) when k is above the
+    number read at the start marker.
+    """
+    from tracefold.operators.attribution import END_OF_TIME
+    from tracefold.operators.sweep import running_sums
+
+    pairs = job_stage_infos(jobs).join(
+        jobs.select("app_id", "job_id", F.col("completion_ms").alias("end_t"), "has_start"), ["app_id", "job_id"]
+    ).where(F.col("has_start") & F.col("submission_ms").isNotNull())
+    none = F.lit(None).cast("long")
+    ev = _stage_events(lc).select(
+        "app_id", "stage_id", "t", "kind_rank", F.col("stage_attempt").cast("long").alias("eid"),
+        F.lit(1).alias("n_ev"), F.col("is_submit").cast("int").alias("subs"), (~F.col("is_submit")).cast("int").alias("comps"),
+        F.col("failed").cast("int").alias("fails"), F.col("ok").alias("ok"), none.alias("m_job"),
+        F.lit(None).cast("string").alias("m_kind"))
+    marks_s = pairs.select(
+        "app_id", "stage_id", F.col("submission_ms").alias("t"), F.lit(K_JOB_START).alias("kind_rank"),
+        F.col("job_id").alias("eid"), F.lit(0).alias("n_ev"), F.lit(0).alias("subs"), F.lit(0).alias("comps"),
+        F.lit(0).alias("fails"), F.lit(None).cast("boolean").alias("ok"), F.col("job_id").alias("m_job"),
+        F.lit("s").alias("m_kind"))
+    marks_e = pairs.select(
+        "app_id", "stage_id", F.coalesce("end_t", F.lit(END_OF_TIME)).alias("t"), F.lit(K_JOB_END).alias("kind_rank"),
+        F.col("job_id").alias("eid"), F.lit(0).alias("n_ev"), F.lit(0).alias("subs"), F.lit(0).alias("comps"),
+        F.lit(0).alias("fails"), F.lit(None).cast("boolean").alias("ok"), F.col("job_id").alias("m_job"),
+        F.lit("e").alias("m_kind"))
+    vals = ["n_ev", "subs", "comps", "fails"]
+    r = running_sums(ev.unionByName(marks_s).unionByName(marks_e), ["app_id", "stage_id"], "t", vals, bucket_ms,
+                     tiebreak=["kind_rank", "eid"])
+    events = r.where(F.col("m_job").isNull()).select("app_id", "stage_id", F.col("n_ev_run").alias("k"), "ok")
+    m = r.where(F.col("m_job").isNotNull()).groupBy("app_id", "stage_id", F.col("m_job").alias("job_id")).agg(
+        *[F.max(F.when(F.col("m_kind") == "s", F.col(f"{v}_run"))).alias(f"s_{v}") for v in vals],
+        *[F.max(F.when(F.col("m_kind") == "e", F.col(f"{v}_run"))).alias(f"e_{v}") for v in vals],
+    )
+    per_stage = m.join(events.withColumnRenamed("k", "e_n_ev"), ["app_id", "stage_id", "e_n_ev"], "left").select(
+        "app_id", "job_id",
+        (F.col("e_subs") - F.col("s_subs")).alias("subs"), (F.col("e_comps") - F.col("s_comps")).alias("comps"),
+        (F.col("e_fails") - F.col("s_fails")).alias("fails"),
+        ((F.col("e_n_ev") > F.col("s_n_ev")) & F.coalesce(F.col("ok"), F.lit(False))).alias("last_ok"),
     )
     agg = per_stage.groupBy("app_id", "job_id").agg(
         (F.sum("subs") - F.sum("comps")).cast("long").alias("active_stages"),
