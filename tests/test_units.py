@@ -246,3 +246,20 @@ def test_skipped_replanned_rule(spark):
                        attribution.skipped_stages(lc, jobs, "replanned", bucket_ms=7).collect())
     assert listener == []
     assert replanned == [(2, 10)]
+
+
+def test_stage_retry_completed_set(spark):
+    # job 1 plans stages 10 and 11. Stage 10: attempt 0 fails, attempt 1 succeeds.
+    # Stage 11: attempt 0 succeeds, then a resubmit (attempt 1) fails: the resubmit removes it from the set.
+    js = [("a", 1, 0, None, "one", None, [10, 11], [_info(10), _info(11)])]
+    je = [("a", 1, 1000, "JobFailed")]
+    ss = [("a", 10, 0, 10, "s10", 2, []), ("a", 10, 1, 30, "s10", 2, []),
+          ("a", 11, 0, 40, "s11", 2, []), ("a", 11, 1, 60, "s11", 2, [])]
+    sd = [("a", 10, 0, 20, 10, 2, "fetch failed"), ("a", 10, 1, 35, 30, 2, None),
+          ("a", 11, 0, 50, 40, 2, None), ("a", 11, 1, 70, 60, 2, "lost")]
+    lc = _lifecycle(spark, js, je, ss, sd, [], [])
+    jobs = entities.pair_jobs(lc)
+    r = counters.job_stage_counters(lc, jobs, bucket_ms=7).collect()[0]
+    assert (r["completed_stages"], r["failed_stages"], r["active_stages"]) == (1, 2, 0)
+    naive = counters.job_stage_counters_naive(lc, jobs).collect()[0]
+    assert (naive["completed_stages"], naive["failed_stages"]) == (2, 2)
