@@ -73,9 +73,8 @@ def attribute_planned(lc: Lifecycle, jobs: DataFrame) -> DataFrame:
 
 def attribute_active(lc: Lifecycle, jobs: DataFrame, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
     """Per (job, stage) the task counts of events inside the job's active interval."""
-    pairs = job_stage_infos(jobs).join(
-        jobs.select("app_id", "job_id", F.col("completion_ms").alias("end_t"), "has_start"), ["app_id", "job_id"]
-    ).where(F.col("has_start") & F.col("submission_ms").isNotNull())
+    pairs = job_stage_infos(jobs, ("completion_ms", "has_start")).withColumnRenamed("completion_ms", "end_t").where(
+        F.col("has_start") & F.col("submission_ms").isNotNull())
     zero = [F.lit(0).alias(c) for c in TASK_COUNTS]
     m_start = pairs.select(
         "app_id", "stage_id", F.col("submission_ms").alias("t"), F.lit(K_JOB_START).alias("kind_rank"),
@@ -125,9 +124,8 @@ def skipped_stages(lc: Lifecycle, jobs: DataFrame, mode: str = "listener", bucke
     submissions counted there, an equi-join on (app, stage, k) fetches the
     count at that planning, and the stage is skipped iff the two are equal.
     """
-    pairs = job_stage_infos(jobs)
-    ended = pairs.join(jobs.where(F.col("completion_ms").isNotNull()).select("app_id", "job_id", "completion_ms"),
-                       ["app_id", "job_id"])
+    pairs = job_stage_infos(jobs, ("completion_ms",))
+    ended = pairs.where(F.col("completion_ms").isNotNull())
     subs = lc.stage_submitted.select("app_id", "stage_id", F.col("t").alias("sub_t"), "stage_attempt")
     # first stage info wins for the task count (first job start that planned it)
     first_info = pairs.groupBy("app_id", "stage_id").agg(

@@ -117,9 +117,8 @@ def job_stage_counters(lc: Lifecycle, jobs: DataFrame, bucket_ms: int = DEFAULT_
     from tracefold.operators.attribution import END_OF_TIME
     from tracefold.operators.sweep import running_sums
 
-    pairs = job_stage_infos(jobs).join(
-        jobs.select("app_id", "job_id", F.col("completion_ms").alias("end_t"), "has_start"), ["app_id", "job_id"]
-    ).where(F.col("has_start") & F.col("submission_ms").isNotNull())
+    pairs = job_stage_infos(jobs, ("completion_ms", "has_start")).withColumnRenamed("completion_ms", "end_t").where(
+        F.col("has_start") & F.col("submission_ms").isNotNull())
     none = F.lit(None).cast("long")
     ev = _stage_events(lc).select(
         "app_id", "stage_id", "t", "kind_rank", F.col("stage_attempt").cast("long").alias("eid"),

@@ -142,10 +142,13 @@ def pair_executors(lc: Lifecycle) -> DataFrame:
 
 
 # J7 / X1 -----------------------------------------------------------------
-def job_stage_infos(jobs: DataFrame) -> DataFrame:
-    """One row per (job, planned stage) from the stage infos of the job start."""
-    return jobs.select("app_id", "job_id", "submission_ms", F.explode("stage_infos").alias("i")).select(
-        "app_id", "job_id", "submission_ms",
+def job_stage_infos(jobs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per (job, planned stage) from the stage infos of the job start.
+
+    ``carry`` names job columns to keep on every row (saves a join back to the jobs).
+    """
+    return jobs.select("app_id", "job_id", "submission_ms", *carry, F.explode("stage_infos").alias("i")).select(
+        "app_id", "job_id", "submission_ms", *carry,
         F.col("i.stage_id").alias("stage_id"),
         F.col("i.num_tasks").alias("num_tasks"),
         F.col("i.name").alias("name"),
