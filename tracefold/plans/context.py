@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracefold.session import checkpoint_dir
 from tracefold.sources.lifecycle import from_trace
-from tracefold.sources.store import LazyTables, open_entities, open_events, write_trace
+from tracefold.sources.store import LazyTables, open_entities, open_events, run_parallel, write_trace
 from tracefold.sources.testdata import TestdataTrace
 
 # test data spans years: 30-day buckets keep bucket totals small and buckets many
@@ -51,9 +51,8 @@ def ingest(spark: SparkSession, sf_dir: str, force: bool = False) -> str:
         tr = TestdataTrace(spark, sf_dir)
         tr.tasks.write.mode("overwrite").parquet(f"{base}/trace/tasks")
         tr.use_stored_tasks(spark.read.parquet(f"{base}/trace/tasks"))
-        for n in TRACE_TABLES:
-            if n != "tasks":
-                getattr(tr, n).write.mode("overwrite").parquet(f"{base}/trace/{n}")
+        run_parallel([(lambda n=n: getattr(tr, n).write.mode("overwrite").parquet(f"{base}/trace/{n}"))
+                      for n in TRACE_TABLES if n != "tasks"])
         stored_tr = _Tables(spark, f"{base}/trace", TRACE_TABLES)
         write_trace(from_trace(stored_tr), base)
         _STORE[key] = base

@@ -28,13 +28,24 @@ def write_trace(lc: Lifecycle, path: str, partition_by_app: bool = False, mode:
             wr = wr.partitionBy("app_id")
         wr.parquet(f"{base}/{sub}")
 
-    for f in fields(Lifecycle):
-        w(getattr(lc, f.name), f"events/{f.name}")
+    # independent tables: submit their jobs concurrently (Spark schedules jobs from several threads)
+    run_parallel([(lambda n=f.name: w(getattr(lc, n), f"events/{n}")) for f in fields(Lifecycle)])
     stored = open_events(lc.job_start.sparkSession, base)
-    w(entities.pair_jobs(stored), "entities/jobs")
-    w(entities.pair_stages(stored), "entities/stages")
-    w(entities.pair_tasks(stored), "entities/tasks")
-    w(entities.pair_executors(stored), "entities/executors")
+    run_parallel([
+        lambda: w(entities.pair_jobs(stored), "entities/jobs"),
+        lambda: w(entities.pair_stages(stored), "entities/stages"),
+        lambda: w(entities.pair_tasks(stored), "entities/tasks"),
+        lambda: w(entities.pair_executors(stored), "entities/executors"),
+    ])
+
+
+def run_parallel(actions, workers: int = 4) -> None:
+    """Run independent Spark actions from a few driver threads; re-raise the first failure."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        for fut in [pool.submit(a) for a in actions]:
+            fut.result()
 
 
 class LazyTables:
