@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracefold.llm import q_quality  # noqa: F401
+from tracefold.llm import q_mixing, q_packing, q_pii, q_quality, q_simhash, q_toxicity  # noqa: F401
 from tracefold.llm.common import LLM_QUERIES
 from tracefold.plans.registry import Query
 
