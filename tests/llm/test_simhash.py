@@ -1,7 +1,6 @@
 import random
 
 import xxhash
-from conftest import documents  # noqa: F401  (tests/llm first on the path)
 from pyspark.sql import functions as F
 
 from tracefold.llm.components import components

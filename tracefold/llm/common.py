@@ -73,11 +73,11 @@ def prefix_sums(
     out: str,
     rows_per_bucket: int = 200_000,
 ) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over the earlier rows of the same ``keys``, in the order (bucket, *order).
+    """Add ``out``: the sum of ``value`` over the earlier rows of the same ``keys``, in the order (spread, *order).
 
     ``spread`` is a 64-bit hash of the row. Its top bits give the bucket, so a key that holds a third of
-    all rows is spread over as many tasks as it has buckets; the bucket count follows the row count and the
-    order inside a key is the hash order whatever the partitioning. Bucket totals are a small table of
+    all rows is spread over as many tasks as it has buckets; the bucket count follows the row count, and the
+    order inside a key is the hash order whatever the partitioning or the buckets. Bucket totals are a small table of
     ``keys`` times buckets.
     """
     from pyspark.sql import Window
@@ -85,14 +85,15 @@ def prefix_sums(
     keys = list(keys)
     bits = max(0, (df.count() // rows_per_bucket).bit_length())
     cols = df.columns
-    bucket = F.shiftrightunsigned(spread, 64 - bits).cast("long") if bits else F.lit(0).cast("long")
-    rows = df.withColumns({"_bucket": bucket, "_value": value})
+    ordered = spread.bitwiseXOR(F.lit(-(1 << 63)))  # signed order as unsigned order
+    bucket = F.shiftrightunsigned(ordered, 64 - bits).cast("long") if bits else F.lit(0).cast("long")
+    rows = df.withColumns({"_spread": spread, "_bucket": bucket, "_value": value})
     same = [F.col(f"_t.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in [*keys, "_bucket"]]
     sums = rows.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
     joined = rows.alias("_r").join(sums.alias("_t"), _all(same)).select("_r.*", "_t._base")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_spread", *order).rowsBetween(Window.unboundedPreceding, -1)
     return joined.select(*cols, (F.col("_base") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).alias(out))
 
 
