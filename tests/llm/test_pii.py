@@ -19,12 +19,12 @@ def plain_spans(text):
         for m in re.finditer(pattern, text):
             digits = re.sub("[^0-9]", "", m[0])
             good = {
-                "email": True,
-                "ip": all(int(x) <= 255 for x in m[0].split(".")),
-                "card": 14 <= len(digits) <= 19 and luhn(digits),
-                "phone": 10 <= len(digits) <= 15,
+                "email": lambda m, d: True,
+                "ip": lambda m, d: all(int(x) <= 255 for x in m[0].split(".")),
+                "card": lambda m, d: 14 <= len(d) <= 19 and luhn(d),
+                "phone": lambda m, d: 10 <= len(d) <= 15,
             }[kind]
-            if good:
+            if good(m, digits):
                 out.append((m.start(), rank, kind, m.end()))
     return [(k, a, b) for a, _, k, b in sorted(out)]
 
@@ -54,7 +54,7 @@ def test_documents_against_the_patterns(spark):
 
 def test_long_runs_are_linear():
     assert base_spans("a" * 300_000 + "1" * 300_000 + "." * 100_000) == []
-    assert base_spans("9." * 100_000) == [] or True
+    assert len(base_spans("9." * 40_000)) == 10_000
     assert len(base_spans("a@" * 50_000)) == 0
 
 

@@ -1,22 +1,22 @@
 import numpy as np
 
-from tracefold.llm.toxicity import Network, Settings, fit, fold, score_toxicity, train, window_table
+from tracefold.llm.toxicity import Network, Settings, Vocabulary, fit, fold, score_toxicity, train, window_table
 
 
 def test_gradients_are_right():
     s = Settings(window=5, stride=2, word_rows=11, char_rows=7, width=3, hidden=2)
     net = Network.fresh(s)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    words = ["aa", "bb", "cde", "f"]
+    words = Vocabulary.of(["aa", "bb", "cde", "f"], s)
     idx = np.array([[0, 1, 2, 3, 0], [3, 2, -1, -1, -1], [1, 1, 0, 2, -1]])
     y, weight = np.array([1.0, 0.0, 1.0]), np.array([0.5, 1.5, 1.0])
 
     def loss():
-        x, _ = net.inputs(words)
+        x = net.inputs(words)
         logit = net.forward(net.gates(x.astype(np.float64)), idx).astype(np.float64)
         return float((weight * (np.logaddexp(0, logit) - y * logit)).mean())
 
-    x, rows = net.inputs(words)
+    x = net.inputs(words)
     g, dx = net.gradients(x, net.gates(x), idx, y, weight)
     rng = np.random.default_rng(0)
     for name in ("wxf", "whf", "bf", "wxb", "whb", "bb", "att", "out", "bias"):
@@ -29,8 +29,8 @@ def test_gradients_are_right():
             down = loss()
             flat[k] = old
             assert abs((up - down) / (2 * eps) - g[name].reshape(-1)[k]) < 2e-3, name
-    r = rows[0][0]
-    got = sum(dx[i, :3] for i, (a, _) in enumerate(rows) if a == r)
+    r = words.word[0]
+    got = sum(dx[i, :3] for i, a in enumerate(words.word) if a == r)
     old = net.p["word"][r, 1]
     net.p["word"][r, 1] = old + 1e-2
     up = loss()
@@ -66,7 +66,7 @@ def test_words_anywhere_in_a_long_text():
             words[int(rng.integers(0, 60))] = "vilething"
         texts.append(" ".join(words))
         y.append(k % 2)
-    net = train(texts, y, Settings(passes=6))
+    net = train(texts, y, Settings(batch=16))
     long = rng.choice(vocab, 9000).tolist()
     bad = long.copy()
     bad[8777] = "VileThing!!"

@@ -42,15 +42,15 @@ class Bands:
 
     limits: tuple[tuple[float, float, float], ...] = (
         (512, 0.40, 1.00),
-        (1024, 0.36, 0.92),
-        (2048, 0.33, 0.88),
-        (4096, 0.32, 0.85),
-        (16384, 0.31, 0.82),
-        (float("inf"), 0.28, 0.80),
+        (1024, 0.36, 0.85),
+        (2048, 0.33, 0.80),
+        (4096, 0.32, 0.75),
+        (16384, 0.31, 0.72),
+        (float("inf"), 0.28, 0.70),
     )
     chunk_bytes: int = 2048
     chunk_low: float = 0.30
-    chunk_high: float = 0.90
+    chunk_high: float = 0.80
     max_bad_chunks: float = 0.5
     level: int = 3
 

@@ -8,7 +8,7 @@
 * Training takes labelled rows only, at most ``max_rows`` of them, chosen by the least hash of their id.
   It is the one bounded step; scoring reads every row and every window. A text is toxic if any of its
   windows is, so each pass trains on the windows that score highest in their text beside random windows of
-  clean texts. The word vectors' first component starts as the smoothed log-odds of the word in the sample.
+  clean texts. The vectors' first components start as the smoothed log-odds of the word or trigram in the sample.
 * Scoring is one pass over the documents in a pandas UDF: no shuffle. The model (under 1 MB, fixed by its
   parameters) goes to the executors with the UDF.
 
@@ -37,13 +37,13 @@ class Settings:
     window: int = 32
     stride: int = 16
     word_rows: int = 8192
-    char_rows: int = 1024
+    char_rows: int = 4096
     width: int = 8
     hidden: int = 8
-    passes: int = 10
+    passes: int = 5
     rate: float = 0.02
-    batch: int = 128
-    clean_windows: int = 4
+    batch: int = 64
+    clean_windows: int = 3
     max_rows: int = 2400
     seed: int = 11
     block: int = 4096
@@ -53,13 +53,33 @@ def fold(word: str) -> str:
     return word.lower().strip(EDGES)
 
 
-def rows_of(word: str, s: Settings) -> tuple[int, list[int]]:
-    """Hashed rows of a folded word and of its character trigrams."""
-    marked = f"^{word}$"
-    grams = [marked[i : i + 3] for i in range(max(1, len(marked) - 2))]
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % s.word_rows, [
-        zlib.crc32(g.encode("utf-8", "surrogatepass")) % s.char_rows for g in grams[:24]
-    ]
+@dataclass
+class Vocabulary:
+    """Hashed rows of a list of folded words; the trigram rows of all words stand in one array."""
+
+    word: np.ndarray
+    char: np.ndarray
+    starts: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def of(words: list[str], s: Settings) -> Vocabulary:
+        """Trigrams are those of the UTF-8 bytes of ``^word$``, hashed for all words at once."""
+        coded = [w.encode("utf-8", "surrogatepass") for w in words]
+        own = np.fromiter((zlib.crc32(w) for w in coded), np.int64, len(coded)) % s.word_rows
+        sizes = np.fromiter((len(w) or 1 for w in coded), np.int64, len(coded))
+        raw = np.frombuffer(b"".join(b"^%s$" % (w or b" ") for w in coded), np.uint8).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(sizes + 2)[:-1]])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        at = np.arange(int(sizes.sum())) + np.repeat(first - starts, sizes)
+        mixed = (raw[at] * 65_536 + raw[at + 1] * 256 + raw[at + 2]) * 0x9E3779B1
+        return Vocabulary(own, (mixed >> 15) % s.char_rows, starts, sizes)
+
+    def part(self, used: np.ndarray) -> Vocabulary:
+        counts = self.counts[used]
+        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        at = np.arange(int(counts.sum())) + np.repeat(self.starts[used] - starts, counts)
+        return Vocabulary(self.word[used], self.char[at], starts, counts)
 
 
 def window_table(n: int, s: Settings) -> np.ndarray:
@@ -92,15 +112,10 @@ class Network:
             p |= {f"wx{d}": g(2 * e, 3 * h, k=0.4), f"wh{d}": g(h, 3 * h), f"b{d}": np.zeros(3 * h, np.float32)}
         return Network(s, p)
 
-    def inputs(self, words: list[str]) -> tuple[np.ndarray, list]:
-        """Vectors of folded words and their rows."""
-        rows = [rows_of(w, self.s) for w in words]
-        first = self.p["word"][[a for a, _ in rows]]
-        counts = np.array([len(b) for _, b in rows])
-        flat = np.concatenate([np.asarray(b) for _, b in rows])
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        second = np.add.reduceat(self.p["char"][flat], starts, axis=0) / counts[:, None]
-        return np.concatenate([first, second], axis=1).astype(np.float32), rows
+    def inputs(self, words: Vocabulary) -> np.ndarray:
+        """Input vectors of words."""
+        second = np.add.reduceat(self.p["char"][words.char], words.starts, axis=0) / words.counts[:, None]
+        return np.concatenate([self.p["word"][words.word], second], axis=1).astype(np.float32)
 
     def gates(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """Input part of the gates, once per distinct word; the last row is the padding's."""
@@ -114,23 +129,28 @@ class Network:
         """Logits of windows; ``idx``: rows of ``gates``, -1 for padding."""
         h, (n, steps) = self.s.hidden, idx.shape
         mask = (idx >= 0).astype(np.float32)
-        states, tape = np.zeros((n, steps, 2 * h), np.float32), {"f": [None] * steps, "b": [None] * steps}
-        for d in "fb":
-            state, w = np.zeros((n, h), np.float32), self.p[f"wh{d}"]
+        whole = mask.all(0)  # steps without padding need no mask
+        kind = gates["f"].dtype
+        states, tape = np.zeros((steps, n, 2 * h), kind), {"f": [None] * steps, "b": [None] * steps}
+        for d, part in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
+            state, w = np.zeros((n, h), kind), self.p[f"wh{d}"]
             for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                x = gates[d][idx[:, t]]
+                x = gates[d].take(idx[:, t], axis=0)  # -1 is the padding's row
                 u = state @ w
-                rz = _sig(x[:, : 2 * h] + u[:, : 2 * h])
-                r, z = rz[:, :h], rz[:, h:]
-                new = np.tanh(x[:, 2 * h :] + r * u[:, 2 * h :])
-                nxt = ((1 - z) * new + z * state) * mask[:, t, None]
+                rz = x[:, : 2 * h] + u[:, : 2 * h]
+                rz *= 0.5
+                np.tanh(rz, out=rz)
+                rz *= 0.5
+                rz += 0.5  # the logistic function
+                r, z, un = rz[:, :h], rz[:, h:], u[:, 2 * h :]
+                new = np.tanh(x[:, 2 * h :] + r * un)
+                nxt = z * (state - new) + new
+                if not whole[t]:
+                    nxt *= mask[:, t, None]
                 if keep:
-                    tape[d][t] = (state, r, z, new, u[:, 2 * h :])
-                state = nxt
-                if d == "f":
-                    states[:, t, :h] = state
-                else:
-                    states[:, t, h:] = state
+                    tape[d][t] = (state, r, z, new, un)
+                states[t, :, part] = state = nxt
+        states = states.transpose(1, 0, 2)
         score = states @ self.p["att"] + (mask - 1) * 30
         score -= score.max(1, keepdims=True)
         a = np.exp(score)
@@ -204,10 +224,10 @@ class Network:
 
     def _cached_gates(self, cache: dict) -> dict[str, np.ndarray]:
         known, done = cache["raw"] if "raw" in cache else {}, cache.get("done", 0)
-        store = cache.setdefault("gates", {d: np.zeros((1024, 3 * self.s.hidden), np.float32) for d in "fb"})
+        store = cache.setdefault("gates", {d: np.zeros((8192, 3 * self.s.hidden), np.float32) for d in "fb"})
         if len(known) > done:
             forms = list(known)[done:]
-            fresh = self.gates(self.inputs([fold(w) for w in forms])[0])
+            fresh = self.gates(self.inputs(Vocabulary.of([fold(w) for w in forms], self.s)))
             for d in "fb":
                 if len(known) + 1 > len(store[d]):
                     store[d] = np.concatenate([store[d], np.zeros((len(known) + 1, store[d].shape[1]), np.float32)])
@@ -222,7 +242,7 @@ class Network:
 
 
 def train(texts: list[str | None], labels: list[int], s: Settings | None = None) -> Network:
-    """Network fitted to labelled texts (1: toxic)."""
+    """Network fitted to labelled texts (1: toxic). Every fourth text only helps to place the cut."""
     s = s or Settings()
     y = np.asarray(labels, np.float32)
     net = Network.fresh(s)
@@ -231,42 +251,51 @@ def train(texts: list[str | None], labels: list[int], s: Settings | None = None)
         return net
     known: dict[str, int] = {}
     codes = [np.fromiter((known.setdefault(fold(w), len(known)) for w in (t or "").split()), np.int64) for t in texts]
-    vocab = list(known) or [""]
-    _start_from_log_odds(net, vocab, codes, y)
+    vocab = Vocabulary.of(list(known) or [""], s)
     windows = [np.where((at := window_table(len(c), s)) >= 0, c[at] if len(c) else -1, -1) for c in codes]
+    fitted = np.arange(len(y)) % 4 != 3 if len(y) >= 40 else np.ones(len(y), bool)
+    if y[fitted].min() == y[fitted].max():
+        fitted[:] = True
+    own = [w for w, f in zip(windows, fitted, strict=True) if f]
+    _start_from_log_odds(net, vocab, [c for c, f in zip(codes, fitted, strict=True) if f], y[fitted])
     rng = np.random.default_rng(s.seed)
     moments: dict[str, list[np.ndarray]] = {}
     step = 0
     for turn in range(s.passes):
-        idx, target, weight = _chosen_windows(net, vocab, windows, y, rng, turn)
+        idx, target, weight = _chosen_windows(net, vocab, own, y[fitted], rng, turn)
         order = rng.permutation(len(idx))
         for a in range(0, len(order), s.batch):
             part = order[a : a + s.batch]
             step += 1
             _update(net, vocab, idx[part], target[part], weight[part], moments, step)
-    top = _tops(net, vocab, windows)[0]
-    net.shift = _threshold(top, y)
+    check = ~fitted if len(set(y[~fitted])) == 2 else fitted
+    top = _tops(net, vocab, [w for w, c in zip(windows, check, strict=True) if c])[0]
+    net.shift = _threshold(top, y[check])
     return net
 
 
-def _start_from_log_odds(net: Network, vocab: list[str], codes: list[np.ndarray], y: np.ndarray) -> None:
-    seen = np.zeros((2, len(vocab)))
+def _start_from_log_odds(net: Network, vocab: Vocabulary, codes: list[np.ndarray], y: np.ndarray) -> None:
+    seen = np.zeros((2, len(vocab.word)))
     for c, label in zip(codes, y, strict=True):
         seen[int(label), np.unique(c)] += 1
     rate = (seen + 0.5) / (np.array([(y == 0).sum(), (y == 1).sum()])[:, None] + 1)
-    enough = np.minimum(1, seen.sum(0) / 4)
+    enough = np.minimum(1, seen.sum(0) / 8)
     odds = np.clip(np.log(rate[1] / rate[0]), -3, 3) * enough
-    total = np.zeros(net.s.word_rows)
-    hits = np.zeros(net.s.word_rows)
-    rows = np.array([rows_of(w, net.s)[0] for w in vocab])
-    np.add.at(total, rows, odds * seen.sum(0))
-    np.add.at(hits, rows, seen.sum(0))
+    total, hits = np.zeros(net.s.word_rows), np.zeros(net.s.word_rows)
+    np.add.at(total, vocab.word, odds * seen.sum(0))
+    np.add.at(hits, vocab.word, seen.sum(0))
     net.p["word"][:, 0] = total / np.maximum(hits, 1)
+    grams = np.zeros((2, net.s.char_rows))
+    for c, label in zip(codes, y, strict=True):
+        if len(c):
+            grams[int(label), np.unique(vocab.part(np.unique(c)).char)] += 1
+    rate = (grams + 0.5) / (np.array([(y == 0).sum(), (y == 1).sum()])[:, None] + 1)
+    net.p["char"][:, 0] = np.clip(np.log(rate[1] / rate[0]), -3, 3) * np.minimum(1, grams.sum(0) / 8)
 
 
-def _tops(net: Network, vocab: list[str], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _tops(net: Network, vocab: Vocabulary, windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Largest logit of each text and the window that has it."""
-    gates = net.gates(net.inputs(vocab)[0])
+    gates = net.gates(net.inputs(vocab))
     sizes = np.array([len(w) for w in windows])
     flat = np.concatenate(windows)
     logit = np.concatenate([net.forward(gates, flat[a : a + 8192]) for a in range(0, len(flat), 8192)])
@@ -276,36 +305,45 @@ def _tops(net: Network, vocab: list[str], windows: list[np.ndarray]) -> tuple[np
 
 
 def _chosen_windows(net, vocab, windows, y, rng, turn):
-    """The best window of each text, and random windows of clean texts; the classes weigh the same."""
+    """The best window of each text, and random windows of clean texts; the classes weigh the same.
+
+    After the first pass a toxic text weighs as much as its best window convinces: a label without a trace
+    in the text would otherwise be learnt by heart.
+    """
     top, best = _tops(net, vocab, windows)
+    trust = np.clip(_sig(top), 0.05, 1) if turn else np.ones(len(y))
     if turn == 0:  # the untrained network knows nothing but the words' log-odds
-        odds = np.append(net.p["word"][[rows_of(w, net.s)[0] for w in vocab], 0], 0.0)
+        odds = np.append(net.p["word"][vocab.word, 0], 0.0)
         best = np.array([int(np.argmax(odds[w].max(1))) for w in windows])
-    picked, target = [], []
+    picked, target, weight = [], [], []
     for k, w in enumerate(windows):
         picked.append(w[best[k]][None])
         target.append([y[k]])
+        weight.append([trust[k] if y[k] else 1.0])
         if not y[k]:
             more = rng.integers(0, len(w), min(len(w), net.s.clean_windows))
             picked.append(w[more])
             target.append([0.0] * len(more))
-    target = np.concatenate(target).astype(np.float32)
-    share = max(target.mean(), 1e-6)
-    return np.concatenate(picked), target, np.where(target > 0, 0.5 / share, 0.5 / max(1 - share, 1e-6)).astype(np.float32)
+            weight.append([1.0] * len(more))
+    target, weight = np.concatenate(target).astype(np.float32), np.concatenate(weight)
+    for label in (0.0, 1.0):
+        weight[target == label] /= 2 * max(float(weight[target == label].sum()), 1e-6) / len(target)
+    return np.concatenate(picked), target, weight.astype(np.float32)
 
 
 def _update(net, vocab, idx, target, weight, moments, step) -> None:
-    """One Adam step; only the word and trigram rows of this batch move."""
+    """One Adam step."""
     used = np.unique(idx[idx >= 0])
-    words = [vocab[k] for k in used] or [""]
+    if not len(used):
+        return
     local = np.where(idx >= 0, np.searchsorted(used, idx), -1)
-    x, rows = net.inputs(words)
+    words = vocab.part(used)
+    x = net.inputs(words)
     g, dx = net.gradients(x, net.gates(x), local, target, weight)
     e = net.s.width
     g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-    np.add.at(g["word"], [a for a, _ in rows], dx[:, :e])
-    counts = np.array([len(b) for _, b in rows])
-    np.add.at(g["char"], np.concatenate([np.asarray(b) for _, b in rows]), np.repeat(dx[:, e:] / counts[:, None], counts, axis=0))
+    np.add.at(g["word"], words.word, dx[:, :e])
+    np.add.at(g["char"], words.char, np.repeat(dx[:, e:] / words.counts[:, None], words.counts, axis=0))
     for k, grad in g.items():
         m, v = moments.setdefault(k, [np.zeros_like(net.p[k]), np.zeros_like(net.p[k])])
         m += 0.1 * (grad - m)
@@ -314,11 +352,14 @@ def _update(net, vocab, idx, target, weight, moments, step) -> None:
 
 
 def _threshold(top: np.ndarray, y: np.ndarray) -> float:
-    """Logit cut with the best F1 on the training texts; midway between the two texts around it."""
+    """Logit cut with the best F0.5 (a wrong alarm costs more than a miss); of cuts about as good, the highest.
+
+    The cut lies midway between the texts around it.
+    """
     order = np.argsort(-top)
     hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
-    k = int(np.argmax(f1))
+    score = 1.25 * hit / (np.arange(1, len(y) + 1) + 0.25 * y.sum())
+    k = int(np.flatnonzero(score >= score.max() - 0.01)[0])
     below = top[order[k + 1]] if k + 1 < len(top) else top[order[k]] - 1
     return float((top[order[k]] + below) / 2)
 
