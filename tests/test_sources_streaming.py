@@ -144,7 +144,7 @@ def test_notebook_workload_goldens(spark):
 
 
 def test_side_channel_sum_and_foreach(spark):
-    df, obs = workload.side_channel_sum(workload.from_values(spark, list(range(10))), "value")
+    df, obs = workload.observed_sum(workload.from_values(spark, list(range(10))), "value")
     df.collect()
     assert obs.get["sum"] == 45
     workload.for_each(spark.range(3), lambda it: [None for _ in it])

@@ -272,8 +272,18 @@ def executor_load(tasks: DataFrame) -> DataFrame:
 
 
 # A21 ---------------------------------------------------------------------
-def rollup_counters(tasks: DataFrame) -> DataFrame:
-    """The same task counters at app, job and stage level in one rollup."""
+def rollup_counters(tasks: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+    """The same task counters at app, job and stage level in one rollup.
+
+    Paired tasks carry no job; they get the smallest id among the jobs that plan their stage (NULL if none
+    does), so each task is counted once.
+    """
+    if "job_id" not in tasks.columns:
+        if jobs is None:
+            raise ValueError("tasks without job_id need the jobs table")
+        owner = jobs.select("app_id", "job_id", F.explode("stage_ids").alias("stage_id"))
+        owner = owner.groupBy("app_id", "stage_id").agg(F.min("job_id").alias("job_id"))
+        tasks = tasks.join(owner, ["app_id", "stage_id"], "left")
     return tasks.rollup("app_id", "job_id", "stage_id").agg(
         F.grouping_id().alias("level"),
         F.count(F.lit(1)).alias("num_tasks"),

@@ -3,8 +3,10 @@
 Pairing is a union of the start and end projections followed by one
 ``groupBy`` on the entity key (one shuffle, map-side partial aggregation):
 the start side is first-write-wins (``min_by`` on time), the end side
-last-write-wins (``max_by``). An end without a start still gives a row
-(placeholder: start fields NULL), a start without an end is still running.
+last-write-wins (``max_by``). An event whose time is missing still counts; one
+with a time goes before it, and equal times are told apart by a hash of the
+event. An end without a start still gives a row (placeholder: start fields
+NULL), a start without an end is still running.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ def _typed_null(df: DataFrame, struct_col: Column) -> Column:
 def _pair(start: DataFrame, end: DataFrame, keys: list[str], start_fields: list, end_fields: list) -> DataFrame:
     s_struct = F.struct(*start_fields)
     e_struct = F.struct(*end_fields)
-    s = start.select(*keys, s_struct.alias("s"), _typed_null(end, e_struct).alias("e"), F.col("t").alias("_ord"))
-    e = end.select(*keys, _typed_null(start, s_struct).alias("s"), e_struct.alias("e"), F.col("t").alias("_ord"))
+    s = start.select(*keys, s_struct.alias("s"), _typed_null(end, e_struct).alias("e"), F.col("t").alias("_t"))
+    e = end.select(*keys, _typed_null(start, s_struct).alias("s"), e_struct.alias("e"), F.col("t").alias("_t"))
     u = s.unionByName(e)
+    first = F.struct(F.col("_t").isNull(), F.col("_t"), F.xxhash64("s"))
+    last = F.struct(F.col("_t").isNotNull(), F.col("_t"), F.xxhash64("e"))
     return u.groupBy(*keys).agg(
-        F.min_by("s", F.when(F.col("s").isNotNull(), F.col("_ord"))).alias("s"),
-        F.max_by("e", F.when(F.col("e").isNotNull(), F.col("_ord"))).alias("e"),
+        F.min_by("s", F.when(F.col("s").isNotNull(), first)).alias("s"),
+        F.max_by("e", F.when(F.col("e").isNotNull(), last)).alias("e"),
     )
 
 

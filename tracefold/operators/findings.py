@@ -26,21 +26,21 @@ def stage_median_duration(tasks: DataFrame, approx: bool = False, accuracy: int
         F.percentile("d", F.lit(0.5), F.col("freq")).alias("median_ms"), F.sum("freq").alias("n_finished"))
 
 
-def stragglers(tasks: DataFrame, factor: float = 1.5, min_tasks: int = 3, approx: bool = False) -> DataFrame:
-    """Finished tasks slower than ``factor`` x the median of their stage attempt."""
-    med = stage_median_duration(tasks, approx).where(F.col("n_finished") >= min_tasks)
+def stragglers(tasks: DataFrame, factor: float = 1.5, approx: bool = False) -> DataFrame:
+    """Finished tasks slower than ``factor`` x the median of their stage attempt, whatever its size."""
+    med = stage_median_duration(tasks, approx)
     d = tasks.where(F.col("finish_ms").isNotNull()).select(
         *STAGE_KEY, "task_id", (F.col("finish_ms") - F.col("launch_ms")).alias("duration_ms"))
     j = d.join(med, STAGE_KEY)
     return j.where(F.col("duration_ms") > F.lit(factor) * F.col("median_ms")).select(
         *STAGE_KEY, "task_id", "duration_ms", "median_ms",
-        (F.col("duration_ms") / F.col("median_ms")).alias("ratio"),
+        (F.col("duration_ms") / F.col("median_ms")).alias("ratio"), "n_finished",
     )
 
 
-def straggler_stages(tasks: DataFrame, factor: float = 1.5, min_tasks: int = 3) -> DataFrame:
+def straggler_stages(tasks: DataFrame, factor: float = 1.5) -> DataFrame:
     """Stages held up by stragglers: count and worst ratio."""
-    return stragglers(tasks, factor, min_tasks).groupBy(*STAGE_KEY).agg(
+    return stragglers(tasks, factor).groupBy(*STAGE_KEY).agg(
         F.count(F.lit(1)).alias("num_stragglers"), F.max("ratio").alias("max_ratio"))
 
 

@@ -82,9 +82,11 @@ def process_and_merge(df: DataFrame, fill, merge: str = "sum",
     return partial.groupBy("hist", "bin").applyInPandas(_merge, schema)
 
 
-def read_partitioned(spark: SparkSession, paths: list[str], n: int) -> DataFrame:
-    """Many files as one dataset in (at most / about) n partitions; no shuffle when narrowing."""
+def read_partitioned(spark: SparkSession, paths: list[str], n: int | None = None) -> DataFrame:
+    """Many files as one dataset, in the input's own splits or in (at most / about) n partitions."""
     df = spark.read.parquet(*paths)
+    if n is None:
+        return df
     have = df.rdd.getNumPartitions()
     return df.coalesce(n) if have > n else df.repartition(n)
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tracefold.operators.series import K_JOB_END, K_STAGE_COMPLETED
 from tracefold.operators.sweep import running_sums
-from tracefold.session import broadcast_if_small
 
 DEFAULT_BUCKET_MS = 60_000
 
@@ -25,39 +24,41 @@ def finished_lists(jobs: DataFrame, stages: DataFrame, skipped: DataFrame | None
     j = jobs.where(F.col("completion_ms").isNotNull()).select(
         "app_id", F.when(F.col("status") == "SUCCEEDED", "completedJobs").otherwise("failedJobs").alias("list"),
         F.col("job_id").cast("string").alias("item_key"), F.col("completion_ms").alias("t"),
-        F.lit(K_JOB_END).alias("kind_rank"), F.col("job_id").alias("tiebreak"))
+        F.lit(K_JOB_END).alias("kind_rank"),
+        F.struct(F.col("job_id").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("tiebreak"))
     s = stages.where(F.col("completion_ms").isNotNull()).select(
         "app_id", F.when(F.col("status") == "COMPLETED", "completedStages").otherwise("failedStages").alias("list"),
         F.concat(F.col("stage_id").cast("string"), F.lit("."), F.col("stage_attempt").cast("string")).alias("item_key"),
         F.col("completion_ms").alias("t"), F.lit(K_STAGE_COMPLETED).alias("kind_rank"),
-        (F.col("stage_id") * 1000 + F.col("stage_attempt")).alias("tiebreak"))
+        F.struct(F.col("stage_id").cast("long").alias("a"), F.col("stage_attempt").cast("long").alias("b")).alias("tiebreak"))
     out = j.unionByName(s)
     if skipped is not None:
         k = skipped.select(
             "app_id", F.lit("skippedStages").alias("list"), F.col("stage_id").cast("string").alias("item_key"),
             F.col("completion_ms").alias("t"), F.lit(K_JOB_END).alias("kind_rank"),
-            (F.col("job_id") * 1000000 + F.col("stage_id")).alias("tiebreak"))
+            F.struct(F.col("job_id").cast("long").alias("a"), F.col("stage_id").cast("long").alias("b")).alias("tiebreak"))
         out = out.unionByName(k)
     return out
 
 
+def _arrivals(items: DataFrame, bucket_ms: int) -> DataFrame:
+    r = running_sums(items.withColumn("one", F.lit(1)), ["app_id", "list"], "t", ["one"], bucket_ms,
+                     tiebreak=["kind_rank", "tiebreak"], total_suffix="_total")
+    return r.select("app_id", "list", "item_key", "t", F.col("one_run").alias("arrival_no"), F.col("one_total").alias("n"))
+
+
 def arrival_order(items: DataFrame, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
     """Arrival number per (app, list) in canonical order."""
-    r = running_sums(items.withColumn("one", F.lit(1)), ["app_id", "list"], "t", ["one"], bucket_ms,
-                     tiebreak=["kind_rank", "tiebreak"])
-    return r.select("app_id", "list", "item_key", "t", F.col("one_run").alias("arrival_no"))
+    return _arrivals(items, bucket_ms).drop("n")
 
 
 def retain_recent(items: DataFrame, limit: int = 1000, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
     """Rows still retained after all appends, per (app, list)."""
-    a = arrival_order(items, bucket_ms)
-    n = items.groupBy("app_id", "list").agg(F.count(F.lit(1)).alias("n"))
+    a = _arrivals(items, bucket_ms)
     k = max(1, limit // 10)
     evicted = F.when(F.col("n") <= limit, F.lit(0)).otherwise(
         F.lit(k) * (F.lit(1) + F.expr(f"(n - {limit} - 1) div {k}")))
-    # (app, list) has few values: a shuffle join on it would put a whole list in one task, so the
-    # per-list totals (one row per app and list) are broadcast behind a row-count check
-    return a.join(broadcast_if_small(n), ["app_id", "list"]).where(F.col("arrival_no") > evicted).select(
+    return a.where(F.col("arrival_no") > evicted).select(
         "app_id", "list", "item_key", "arrival_no")
 
 

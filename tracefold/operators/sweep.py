@@ -35,18 +35,20 @@ def running_sums(
     tiebreak: Sequence[str] = (),
     next_time: str | None = None,
     suffix: str = "_run",
+    total_suffix: str | None = None,
 ) -> DataFrame:
     """Add ``<v><suffix>`` = running sum of ``v`` over ``(time_col, *tiebreak)`` per ``keys``.
 
     Rows with equal order keys get distinct running values in the order of
     ``tiebreak``; callers that need one value per time pre-aggregate by time
     first. If ``next_time`` is given, adds the next row's time within the key
-    (crossing bucket borders), NULL for the last row.
+    (crossing bucket borders), NULL for the last row. If ``total_suffix`` is
+    given, adds each value's total over the key (from the bucket totals).
     """
     keys = list(keys)
-    # one exchange on (key, bucket): the totals aggregate, the join and the
-    # in-bucket window all reuse it, so the upstream plan is computed once
-    b = df.withColumn(BUCKET, F.floor(F.col(time_col) / F.lit(bucket_ms)).cast("long")).repartition(*keys, BUCKET)
+    # the totals are combined before their small exchange; the rows move once, for
+    # the join and the in-bucket window
+    b = df.withColumn(BUCKET, F.floor(F.col(time_col) / F.lit(bucket_ms)).cast("long"))
     aggs = [F.sum(v).alias(f"_tot_{v}") for v in values] + [F.min(time_col).alias("_first_t")]
     totals = b.groupBy(*keys, BUCKET).agg(*aggs)
     wb = Window.partitionBy(*keys).orderBy(BUCKET)
@@ -55,12 +57,15 @@ def running_sums(
         *keys,
         BUCKET,
         *[F.coalesce(F.sum(f"_tot_{v}").over(before), F.lit(0)).alias(f"_base_{v}") for v in values],
+        *[F.sum(f"_tot_{v}").over(Window.partitionBy(*keys)).alias(f"_all_{v}") for v in (values if total_suffix else ())],
         F.lead("_first_t").over(wb).alias("_next_bucket_t"),
     )
     j = b.join(totals, [*keys, BUCKET])
     w = Window.partitionBy(*keys, BUCKET).orderBy(time_col, *tiebreak)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cols = [(F.col(f"_base_{v}") + F.sum(v).over(upto)).alias(f"{v}{suffix}") for v in values]
+    if total_suffix:
+        cols += [F.col(f"_all_{v}").alias(f"{v}{total_suffix}") for v in values]
     if next_time:
         cols.append(F.coalesce(F.lead(time_col).over(w), F.col("_next_bucket_t")).alias(next_time))
     out = j.select(*[c for c in df.columns], *cols)

@@ -98,14 +98,19 @@ def sample_workload(left: DataFrame, right: DataFrame, col: str = "value") -> Da
     )
 
 
-def side_channel_sum(df: DataFrame, col: str, name: str = "acc"):
-    """An accumulator-like sum across tasks, exact once per action (``observe``)."""
+def observed_sum(df: DataFrame, col: str, name: str = "acc"):
+    """An accumulator-like sum beside an action's own result, exact once per action (``observe``)."""
     from pyspark.sql import Observation
 
     obs = Observation(name)
     return df.observe(obs, F.sum(col).alias("sum"), F.count(F.lit(1)).alias("count")), obs
 
 
+def side_channel_sum(df: DataFrame, col: str) -> DataFrame:
+    """The sum that the accumulator ends with, and how many rows added to it."""
+    return df.agg(F.sum(col).alias("acc_sum"), F.count(col).alias("n_added"))
+
+
 def pairs_to_rows(df: DataFrame, a: str, b: str) -> DataFrame:
     """Flatten each pair into two rows."""
     return df.select(F.explode(F.array(F.col(a), F.col(b))).alias("value"))
@@ -122,8 +127,6 @@ def for_each(df: DataFrame, fn) -> None:
     df.foreachPartition(fn)
 
 
-def broadcast_lookup(fact: DataFrame, dim: DataFrame, on, max_rows: int = 100_000) -> DataFrame:
-    """Join a small dimension broadcast to all tasks; broadcast only below a checked row bound,
-    otherwise let the planner pick a shuffle join."""
-    n = dim.limit(max_rows + 1).count()
-    return fact.join(F.broadcast(dim) if n <= max_rows else dim, on)
+def broadcast_lookup(fact: DataFrame, dim: DataFrame, on) -> DataFrame:
+    """Look a small dimension up. The planner broadcasts it by its measured size, or shuffles both sides."""
+    return fact.join(dim, on)

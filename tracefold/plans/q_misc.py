@@ -8,7 +8,7 @@ from tracefold.operators import hist, links, workload
 from tracefold.plans.registry import register
 from tracefold.sources.testdata import read_table
 
-ROOT = "/sparkmonitorui/"
+ROOT = "/apps/ui/"
 
 
 def _bin_sql(spec: hist.HistSpec) -> str:
@@ -30,7 +30,7 @@ def q_histogram(spark, sf_dir):
 
 @register("D1_process_and_merge", HIST_SQL)
 def q_process_and_merge(spark, sf_dir):
-    df = hist.read_partitioned(spark, [f"{sf_dir}/lineitem.parquet"], 8).select(
+    df = hist.read_partitioned(spark, [f"{sf_dir}/lineitem.parquet"]).select(
         *{s.column for s in hist.LINEITEM_HISTS})
     return hist.process_and_merge(df, hist.numpy_fill(hist.LINEITEM_HISTS))
 
@@ -38,7 +38,7 @@ def q_process_and_merge(spark, sf_dir):
 @register("S6_read_partitioned",
           "SELECT count(*) AS num_rows, CAST(sum(l_quantity) AS DOUBLE) AS sum_quantity FROM lineitem")
 def q_read_partitioned(spark, sf_dir):
-    df = hist.read_partitioned(spark, [f"{sf_dir}/lineitem.parquet"], 8)
+    df = hist.read_partitioned(spark, [f"{sf_dir}/lineitem.parquet"])
     return df.agg(F.count(F.lit(1)).alias("num_rows"), F.sum("l_quantity").alias("sum_quantity"))
 
 
@@ -90,7 +90,21 @@ def q_strip_proxy(spark, sf_dir):
                      links.url_path_join(F.lit(ROOT), links.strip_proxy_prefix(F.col("proxied"))).alias("rewritten"))
 
 
-@register("X7_rewrite_links")
+# the pages as text: cut at double-quoted links, rewrite them, put together (the pages hold no other quoting)
+_REWRITE = r"""
+WITH cut AS (SELECT page_id, html, string_split_regex(html, '(?:href|src)="[^"]*"') AS between,
+                    regexp_extract_all(html, '(?:href|src)="[^"]*"') AS found FROM pages),
+each AS (SELECT page_id, between, unnest(list_concat(found, [''])) AS m, generate_subscripts(list_concat(found, ['']), 1) AS k FROM cut),
+vals AS (SELECT *, regexp_extract(m, '="([^"]*)"', 1) AS v, regexp_extract(m, '^(href|src)', 1) AS name,
+                regexp_extract(between[k], '<(\\w+)[^<>]*\\s$', 1) AS tag FROM each)
+""".replace("\\\\", "\\")
+
+
+@register("X7_rewrite_links", _REWRITE.strip() + f"""
+SELECT page_id, string_agg(concat(between[k], CASE
+         WHEN m = '' THEN '' WHEN name = 'href' AND tag IN ('a', 'link') OR name = 'src' AND tag IN ('img', 'script')
+         THEN concat(name, '="', {_join_sql("'" + ROOT + "'", _strip_sql('v'))}, '"') ELSE m END), '' ORDER BY k) AS html
+FROM vals GROUP BY page_id""")
 def q_rewrite_links(spark, sf_dir):
     return links.rewrite_links(read_table(spark, sf_dir, "pages").select("page_id", "html"), ROOT)
 
@@ -110,7 +124,7 @@ WITH js AS (SELECT page_id, unnest(regexp_extract_all(html, '<script[^>]*>([\s\S
 SELECT page_id, CAST(part AS BIGINT) AS part, 'application/javascript' AS content_type,
        replace(body, 'location.origin', 'location.origin +''""" + ROOT + r"""'' ') AS body FROM js
 UNION ALL
-SELECT page_id, CAST(part + 1000 AS BIGINT), 'text/css', body FROM css""")
+SELECT page_id, CAST(part AS BIGINT), 'text/css', body FROM css""")
 def q_rewrite_scripts(spark, sf_dir):
     b = links.content_bodies(read_table(spark, sf_dir, "pages"))
     return links.rewrite_by_content_type(b.where(~F.col("content_type").contains("text/html")), ROOT)
@@ -185,11 +199,10 @@ def q_map_filter_count(spark, sf_dir):
 
 @register("D4_repartition_cache", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag")
 def q_repartition_cache(spark, sf_dir):
-    li = read_table(spark, sf_dir, "lineitem").select("l_returnflag").repartition(5).cache()
+    li = read_table(spark, sf_dir, "lineitem").select("l_returnflag").repartition("l_returnflag")
     return li.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("A20_side_channel_sum")
+@register("A20_side_channel_sum", "SELECT sum(l_quantity) AS acc_sum, count(l_quantity) AS n_added FROM lineitem")
 def q_side_channel(spark, sf_dir):
-    df, _obs = workload.side_channel_sum(read_table(spark, sf_dir, "lineitem").select("l_quantity"), "l_quantity")
-    return df
+    return workload.side_channel_sum(read_table(spark, sf_dir, "lineitem").select("l_quantity"), "l_quantity")

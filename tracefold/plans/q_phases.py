@@ -105,20 +105,20 @@ med AS (SELECT app_id, stage_id, stage_attempt, quantile_cont(duration_ms, 0.5)
 
 @register("A16_stragglers", with_adapter(
     """SELECT d.app_id, d.stage_id, d.stage_attempt, d.task_id, d.duration_ms, m.median_ms,
-              d.duration_ms / m.median_ms AS ratio
+              d.duration_ms / m.median_ms AS ratio, m.n AS n_finished
        FROM dd d JOIN med m ON d.app_id = m.app_id AND d.stage_id = m.stage_id AND d.stage_attempt = m.stage_attempt
-       WHERE m.n >= 3 AND d.duration_ms > 1.5 * m.median_ms""", _DUR))
+       WHERE d.duration_ms > 1.5 * m.median_ms""", _DUR))
 def q_stragglers(spark, sf_dir):
-    return findings.stragglers(Ctx(spark, sf_dir).tasks, 1.5, 3)
+    return findings.stragglers(Ctx(spark, sf_dir).tasks, 1.5)
 
 
 @register("A16_straggler_stages", with_adapter(
     """SELECT d.app_id, d.stage_id, d.stage_attempt, count(*) AS num_stragglers, max(d.duration_ms / m.median_ms) AS max_ratio
        FROM dd d JOIN med m ON d.app_id = m.app_id AND d.stage_id = m.stage_id AND d.stage_attempt = m.stage_attempt
-       WHERE m.n >= 3 AND d.duration_ms > 1.5 * m.median_ms
+       WHERE d.duration_ms > 1.5 * m.median_ms
        GROUP BY d.app_id, d.stage_id, d.stage_attempt""", _DUR))
 def q_straggler_stages(spark, sf_dir):
-    return findings.straggler_stages(Ctx(spark, sf_dir).tasks, 1.5, 3)
+    return findings.straggler_stages(Ctx(spark, sf_dir).tasks, 1.5)
 
 
 @register("T2_slowest_tasks", with_adapter(

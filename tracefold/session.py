@@ -64,10 +64,3 @@ def cut_lineage(df, eager: bool = True):
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
 
-
-def broadcast_if_small(df, max_rows: int = 1_000_000):
-    """Broadcast hint only when the side is proven small (row count checked); else left to the planner."""
-    from pyspark.sql import functions as F
-
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
