@@ -17,14 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.operators.sweep import running_sums
-from tracefold.session import cut_lineage
 
 DEFAULT_BUCKET_MS = 86_400_000
 
 
 def _running_min(df: DataFrame, key: str, t: str, tiebreak: str, v: str, bucket_ms: int) -> DataFrame:
     """Add ``<v>_min`` (running min incl. the row) and ``<v>_min_prev`` (before the row), bucketed."""
-    b = df.withColumn("_b", F.floor(F.col(t) / F.lit(bucket_ms)).cast("long")).repartition(key, "_b")
+    b = df.withColumn("_b", F.floor(F.col(t) / F.lit(bucket_ms)).cast("long"))
     bm = b.groupBy(key, "_b").agg(F.min(v).alias("_bmin"))
     wb = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bm = bm.select(key, "_b", F.min("_bmin").over(wb).alias("_prev_min"))
@@ -53,8 +52,7 @@ def cell_runs(signals: DataFrame, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFra
     m = F.least(zero, F.col("S_min"))
     m_prev = F.least(zero, F.coalesce(F.col("S_min_prev"), zero))
     r = r.withColumn("eff", ((F.col("signal") == "idle") & (m == m_prev)).cast("int"))
-    # both the execute side and the idle numbering read this table: cut the lineage once
-    r = cut_lineage(r.select("kernel_id", "seq", "cell_id", "ts_ms", "signal", "exec_no", "eff"))
+    r = r.select("kernel_id", "seq", "cell_id", "ts_ms", "signal", "exec_no", "eff")
     idles = running_sums(r.where(F.col("eff") == 1), ["kernel_id"], "ts_ms", ["eff"], bucket_ms, tiebreak=["seq"])
     # the k-th effective idle ends run k and lets run k+1 start: one keyed aggregate, no self join
     ends = idles.select(
@@ -68,7 +66,7 @@ def cell_runs(signals: DataFrame, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFra
     execs = r.where(F.col("signal") == "execute").select(
         "kernel_id", F.col("exec_no").alias("run_no"), "cell_id", F.col("ts_ms").alias("exec_ms"))
     out = execs.join(ends, ["kernel_id", "run_no"], "left")
-    runs = out.select(
+    return out.select(
         "kernel_id", "run_no", "cell_id", "exec_ms",
         # run 1 starts at its execute; a later run only once the previous one ended
         F.when(F.col("run_no") == 1, F.col("exec_ms"))
@@ -76,8 +74,6 @@ def cell_runs(signals: DataFrame, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFra
         .alias("start_ms"),
         "end_ms",
     )
-    # runs feed several consumers (attribution, latest run, completion): hand them a shallow plan
-    return cut_lineage(runs)
 
 
 def latest_run_per_cell(runs: DataFrame) -> DataFrame:

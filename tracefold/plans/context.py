@@ -17,6 +17,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracefold.operators import cells
 from tracefold.session import checkpoint_dir
 from tracefold.sources.lifecycle import from_trace
 from tracefold.sources.store import LazyTables, open_entities, open_events, run_parallel, write_trace
@@ -60,6 +61,7 @@ def ingest(spark: SparkSession, sf_dir: str, force: bool = False) -> str:
         return base
 
 
+_RUNS: set[str] = set()
 _VIEWS: dict[tuple[str, str], tuple] = {}
 
 
@@ -82,6 +84,16 @@ class Ctx:
             )
         self.tr, self.lc, self._ent = _VIEWS[key]
 
+    @property
+    def runs(self) -> DataFrame:
+        """Cell runs of the signals, computed once per session and read back by all that use them."""
+        path = f"{ingest(self.spark, self.sf_dir)}/cells/runs"
+        with _LOCK:
+            if path not in _RUNS:
+                cells.cell_runs(self.tr.signals).write.mode("overwrite").parquet(path)
+                _RUNS.add(path)
+        return self.spark.read.parquet(path)
+
     @property
     def jobs(self) -> DataFrame:
         return self._ent.jobs

@@ -108,7 +108,7 @@ jc AS (
 
 
 def _runs(c: Ctx):
-    return cells.cell_runs(c.tr.signals, cells.DEFAULT_BUCKET_MS)
+    return c.runs
 
 
 @register("W3_cell_runs", with_adapter("SELECT * FROM runs", _RUNS))
