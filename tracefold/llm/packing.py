@@ -5,8 +5,8 @@
 2. The rests' lengths, rounded up to ``grain``, give a histogram of at most ``capacity / grain`` rows. That
    bounded table is all that reaches the driver.
 3. Column generation: a linear program over patterns (how many rests of each length share a sequence). Its
-   duals price new patterns by an unbounded knapsack (dynamic programming over the capacity) until the bound
-   of Farley is within ``gap`` of the program's value. The patterns' use is rounded down, and what is left
+   duals price new patterns by an unbounded knapsack (dynamic programming over the capacity) until the program's
+   value is within ``gap`` of a lower bound (Farley's, or the sequences that the lengths fill at best). The patterns' use is rounded down, and what is left
    is packed greedily, largest first.
 4. Rests are ranked within their length by bucketed prefix sums (a hot length is spread over buckets). The
    patterns own consecutive ranks, so a rest's sequence and slot follow from its rank by a join with the
@@ -32,7 +32,7 @@ from tracefold.llm.common import prefix_sums, written
 
 CAPACITY = 4096
 END_ID = 2
-GRAIN = 8
+GRAIN = 16
 SEED = 3
 
 #: Letters and numbers below U+0250 (fixed by Unicode), where the tokenizer's rules need no tables.
@@ -143,7 +143,7 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), pattern
 
 
-def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0.0005, rounds: int = 20_000) -> list[tuple[np.ndarray, int]]:
+def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0.001, rounds: int = 20_000) -> list[tuple[np.ndarray, int]]:
     """Cutting stock: ``[(items of each size, times used)]`` that cover the demand exactly.
 
     Revised simplex on min sum(x), A x >= demand, from the patterns of one size each. ``rounds`` only ends the
@@ -153,7 +153,7 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float =
     if not m:
         return []
     columns = [np.eye(m, dtype=np.int64)[i] * (capacity // sizes[i]) for i in range(m)]
-    cost = np.ones(m)
+    cost, volume = np.ones(m), float(sizes @ demand) / capacity
     inverse = np.diag(1.0 / np.array([c.max() for c in columns]))
     x = inverse @ demand
     for turn in range(rounds):
@@ -164,7 +164,8 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float =
         else:
             value, column = best_pattern(y, sizes, capacity)
             price = 1.0
-            if value <= 1 + 1e-9 or float(y @ demand) / value >= float(cost @ x) * (1 - gap):
+            bound = max(volume, float(y @ demand) / max(value, 1.0))
+            if value <= 1 + 1e-9 or bound >= float(cost @ x) * (1 - gap):
                 break
         d = inverse @ column
         up = d > 1e-10
