@@ -81,3 +81,11 @@ def test_sweep_moves_its_rows_once(spark):
     assert out.where("v_all NOT IN (333, 334) OR v_run != t div 3 + 1").count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION" not in plan
+
+
+def test_sentinels_by_type(spark):
+    from tracefold.functions.columns import null_sentinel
+
+    row = spark.createDataFrame([(-1, "-1", "null"), (5, None, "x")], "n long, a string, b string")
+    got = row.select(null_sentinel("n"), null_sentinel("a", numeric=False), null_sentinel("b", numeric=False)).collect()
+    assert [tuple(r) for r in got] == [(None, "-1", None), (5, None, "x")]

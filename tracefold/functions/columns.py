@@ -22,10 +22,13 @@ def epoch_ms(ts: ColumnOrName) -> Column:
 
 
 # P1 ------------------------------------------------------------------------
-def null_sentinel(x: ColumnOrName) -> Column:
-    """-1 (numbers) and the string "null" mean absent; missing JSON keys already read as NULL."""
+def null_sentinel(x: ColumnOrName, numeric: bool = True) -> Column:
+    """-1 in a number, or "null" in a string, means absent; missing JSON keys already read as NULL.
+
+    A string "-1" is a value like any other.
+    """
     c = _c(x)
-    return F.when((c.cast("string") == F.lit("-1")) | (c.cast("string") == F.lit("null")), F.lit(None)).otherwise(c)
+    return F.when(c != (F.lit(-1) if numeric else F.lit("null")), c)
 
 
 def to_sentinel(x: ColumnOrName, numeric: bool = True) -> Column:

@@ -168,7 +168,10 @@ def job_stage_counters_naive(lc: Lifecycle, jobs: DataFrame) -> DataFrame:
         F.count_if(~F.col("is_submit") & ~F.col("failed")).alias("oks"),
         F.count_if("failed").alias("fails"),
     )
-    a = job_stage_infos(jobs).join(per_stage, ["app_id", "stage_id"], "left").groupBy("app_id", "job_id").agg(
+    none = [F.lit(0).cast("long").alias(c) for c in ("subs", "oks", "fails")]
+    planned = job_stage_infos(jobs).join(per_stage, ["app_id", "stage_id"], "left").select("app_id", "job_id", "subs", "oks", "fails")
+    # a row without events for each job, so that jobs without stages are kept
+    a = planned.unionByName(jobs.select("app_id", "job_id", *none)).groupBy("app_id", "job_id").agg(
         F.sum(F.coalesce(F.col("subs") - F.col("oks") - F.col("fails"), F.lit(0))).cast("long").alias("active_stages"),
         F.sum(F.coalesce("oks", F.lit(0))).cast("long").alias("completed_stages"),
         F.sum(F.coalesce("fails", F.lit(0))).cast("long").alias("failed_stages"),
