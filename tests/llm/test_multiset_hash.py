@@ -87,3 +87,9 @@ def test_awkward_rows(awkward, empty, spark):
     assert M.fingerprint_report(empty).count() == 0
     one = M.fingerprint_report(spark.createDataFrame([(5, "abcd")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest()
+
+
+def test_sums_over_rows_are_the_same(spark):
+    rows = spark.createDataFrame([(1, [f"p{k % 70}" for k in range(300)]), (2, []), (3, ["one"])], "k long, parts array<string>")
+    want = {r.k: r.h for r in rows.select("k", M.multiset_hash(F.col("parts")).alias("h")).collect()}
+    assert {r.k: r.fp for r in M.summed_hashes(rows, ["k"], "parts").collect()} == want

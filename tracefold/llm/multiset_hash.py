@@ -8,7 +8,7 @@ vector of +1 and -1; the fingerprint is the sum of the vectors, each component m
 * the scalar product of two fingerprints estimates how many paragraphs they share, which gives a likeness from
   0 to 1, 2 <a, b> / (<a, a> + <b, b>), that is exactly 1 for equal fingerprints.
 
-Four components lie in one long, 16 bits apart. Sums are taken on all four at once; the two bits above each
+In a fingerprint, four components lie in one long, 16 bits apart. Sums are taken on all four at once; the two bits above each
 component take the carry, so that nothing runs over (Spark's arithmetic is checked).
 
 ``fingerprint_report`` also compares each document with the next one in descending order of ids. Ids are
@@ -78,6 +78,29 @@ def without(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: _add(x, _negative(y)))
 
 
+def summed_hashes(rows: DataFrame, keys: list[str], parts: str) -> DataFrame:
+    """``keys`` and ``fp``: the fingerprints of the paragraph arrays in ``parts``, as ordinary sums.
+
+    The same vectors as ``multiset_hash`` gives, with the paragraphs as rows: the set bits are summed, two to
+    a long 32 bits apart, and a component is twice its sum less the number of paragraphs.
+    """
+    each = rows.select(*keys, F.explode_outer(parts).alias("_p"))
+    hashed = each.select(*keys, F.col("_p").isNotNull().cast("long").alias("_n"), *[F.when(F.col("_p").isNull(), 0).otherwise(F.xxhash64("_p", F.lit(s))).alias(f"_h{s}") for s in range(HASHES)])
+    bit = lambda s, j: F.shiftrightunsigned(f"_h{s}", j).bitwiseAND(F.lit(1 | 1 << 32))
+    sums = hashed.groupBy(*keys).agg(F.sum("_n").alias("_n"), *[F.sum(bit(s, j)).alias(f"_s{s}_{j}") for s in range(HASHES) for j in range(32)])
+
+    def packed(s: int, j: int) -> Column:
+        """Components j, j + 16, j + 32 and j + 48 of hash s in one long."""
+        out = None
+        for k in range(4):
+            total = F.shiftrightunsigned(f"_s{s}_{j + 16 * (k % 2)}", 32 * (k // 2)).bitwiseAND(F.lit((1 << 32) - 1))
+            cell = F.shiftleft((2 * total - F.col("_n")).bitwiseAND(F.lit((1 << BITS) - 1)), 16 * k)
+            out = cell if out is None else out.bitwiseOR(cell)
+        return out
+
+    return sums.select(*keys, F.array(*[packed(s, j) for s in range(HASHES) for j in range(16)]).alias("fp"))
+
+
 def as_text(v: Column) -> Column:
     return F.lower(F.array_join(F.transform(v, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
@@ -125,16 +148,24 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = written(followers(light), "links")
     needs = links.select(F.col("idk").alias("to_idk"), F.col("body").alias("to_body"), "n_chars", "times", F.col("nidk").alias("idk"), F.col("nbody").alias("body"))
     given = needs.join(rows.drop("id"), ["idk", "body"]).select(
-        F.col("to_idk").alias("idk"), F.col("to_body").alias("body"), "n_chars", "times",
-        F.expr("left(text, int(n_chars div 2))").alias("tail"), multiset_hash(paragraphs(F.col("text"))).alias("nfp"),
+        F.col("to_idk").alias("idk"), F.col("to_body").alias("body"), "n_chars", "times", F.expr("left(text, int(n_chars div 2))").alias("tail")
     )
-    met = rows.join(given, ["idk", "body"]).dropDuplicates(["idk", "body"])  # equal rows come back by `times`
+    met = rows.join(given, ["idk", "body"])
     met = met.withColumn("edited", F.concat(F.expr("left(text, int(n_chars - n_chars div 2))"), F.col("tail")))
-    met = met.withColumns({"fp": multiset_hash(paragraphs(F.col("text"))), "efp": multiset_hash(paragraphs(F.col("edited")))})
+    met = met.withColumn("sha", F.sha2(F.col("edited").cast("binary"), 256))
+    both = F.array(*[F.struct(F.lit(k).alias("kind"), paragraphs(F.col(c)).alias("parts")) for k, c in enumerate(("text", "edited"))])
+    keys = ["idk", "body", "id", "n_chars", "times", "sha"]
+    # equal rows meet several times here; one of each is kept before anything is summed
+    met = met.dropDuplicates(["idk", "body"]).select(*keys, F.explode(both).alias("v")).select(*keys, "v.kind", "v.parts")
+    prints = written(summed_hashes(met, [*keys, "kind"], "parts"), "prints")
+    own = prints.where("kind = 0").drop("kind")
+    edited = prints.where("kind = 1").select("idk", "body", F.col("fp").alias("efp"))
+    following = links.select("idk", "body", "nidk", "nbody").join(own.select(F.col("idk").alias("nidk"), F.col("body").alias("nbody"), F.col("fp").alias("nfp")), ["nidk", "nbody"])
+    met = own.join(edited, ["idk", "body"]).join(following.select("idk", "body", "nfp"), ["idk", "body"])
     out = met.select(
-        F.col("id").alias(id_col), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.col("id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"),
         as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("efp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_time"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_time"),  # equal rows come back
     )
     return out.drop("_time")
