@@ -143,12 +143,13 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     idk = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     body = F.xxhash64(F.col(id_col).isNull(), F.col(text_col).isNull(), text)
-    rows = docs.select(idk.alias("idk"), body.alias("body"), F.col(id_col).alias("id"), text.alias("text"))
-    light = rows.groupBy("idk", "body").agg(F.count("*").alias("times"), F.max(F.char_length("text")).cast("long").alias("n_chars"))
+    light = docs.select(idk.alias("idk"), body.alias("body"), F.col(id_col).alias("id"), F.char_length(text).cast("long").alias("n_chars"))
+    light = light.groupBy("idk", "body").agg(F.count("*").alias("times"), F.max("n_chars").alias("n_chars"), F.max("id").alias("id"))
+    rows = docs.select(idk.alias("idk"), body.alias("body"), text.alias("text"))  # the same for both joins: moved once
     links = written(followers(light), "links")
-    needs = links.select(F.col("idk").alias("to_idk"), F.col("body").alias("to_body"), "n_chars", "times", F.col("nidk").alias("idk"), F.col("nbody").alias("body"))
-    given = needs.join(rows.drop("id"), ["idk", "body"]).select(
-        F.col("to_idk").alias("idk"), F.col("to_body").alias("body"), "n_chars", "times", F.expr("left(text, int(n_chars div 2))").alias("tail")
+    needs = links.select(F.col("idk").alias("to_idk"), F.col("body").alias("to_body"), "id", "n_chars", "times", F.col("nidk").alias("idk"), F.col("nbody").alias("body"))
+    given = needs.join(rows, ["idk", "body"]).select(
+        F.col("to_idk").alias("idk"), F.col("to_body").alias("body"), "id", "n_chars", "times", F.expr("left(text, int(n_chars div 2))").alias("tail")
     )
     met = rows.join(given, ["idk", "body"])
     met = met.withColumn("edited", F.concat(F.expr("left(text, int(n_chars - n_chars div 2))"), F.col("tail")))
