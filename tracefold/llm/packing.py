@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -66,9 +67,9 @@ class WordTokenizer:
         self.used = 0
 
     def _learn(self, done: int) -> None:
-        fresh = list(self.known)[done:]
-        coded = self.full.encode_batch_fast(fresh, add_special_tokens=False)
-        sizes = np.fromiter((len(c.ids) for c in coded), np.int64, len(coded))
+        fresh = [*islice(reversed(self.known), len(self.known) - done)][::-1]  # the words added last
+        coded = self.full.encode(" ".join(fresh), add_special_tokens=False)  # a blank parts words and has no id
+        sizes = np.bincount(np.asarray(coded.word_ids, np.int64), minlength=len(fresh))
         n = len(self.known)
         if n > len(self.start):
             self.start = np.concatenate([self.start, np.zeros(n, np.int64)])
@@ -78,7 +79,7 @@ class WordTokenizer:
             self.flat = np.concatenate([self.flat, np.zeros(self.used + total, np.uint32)])
         self.size[done:n] = sizes
         self.start[done:n] = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.flat[self.used : self.used + total] = np.fromiter((i for c in coded for i in c.ids), np.uint32, total)
+        self.flat[self.used : self.used + total] = coded.ids
         self.used += total
 
     def ids(self, text: str) -> np.ndarray:
