@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tracefold.llm.pii import Rules, base_spans, find_pii, joined, luhn, pii_report, sanitise
+from tracefold.llm.pii import Rules, base_spans, contexts, find_pii, joined, luhn, pii_report, sanitise
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -93,3 +93,32 @@ def test_awkward_rows(awkward, empty):
     out = sanitise(awkward)
     assert out.columns == awkward.columns and out.count() == awkward.count()
     assert pii_report(empty).count() == 0 and sanitise(empty).count() == 0
+
+
+def test_one_document_of_support_counts(spark):
+    """Addresses that stand once or twice, and names that stand nowhere else; copies of a sentence are one case."""
+    fill = [f"common{k % 23} other{k % 7} more{k % 5} filler{k % 11} thing{k % 3} words{k % 13}" for k in range(900)]
+    rows = [(k, f"{fill[k]} and {fill[k + 1]}.") for k in range(800)]
+    rows += [(1000, f"{fill[5]}. Quillmark other1 more2 filler3 thing1 words4 common2 uses one@h.org there. Elsewhere {fill[6]}")]
+    rows += [(1001 + k, f"Tessaly and other2 wrote two@h.org more{k}. {fill[k]}") for k in range(2)]
+    rows += [(1100 + k, f"Plenty and other3 wrote many@h.org. {fill[k]}") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii_report(docs).collect()}
+    text = dict(rows)
+
+    def told(k):
+        return {text[k][int(a):int(b)].lower() for kind, a, b in (x.split(":") for x in spans[k].split(",")) if kind == "term"}
+
+    assert "quillmark" in told(1000) and not told(1000) & {"other1", "more2", "common2", "elsewhere"}
+    assert "tessaly" in told(1001) and "tessaly" in told(1002) and "other2" not in told(1001)
+    assert {r.text[:6] for r in sanitise(docs).where("doc_id >= 1100").collect()} == {"[TERM]"}
+    assert not any("term" in spans[k] for k in range(800))
+
+
+def test_sentences_of_long_texts():
+    text = "alpha beta. " + " ".join(f"w{k}" for k in range(5000)) + " me@h.org tail\nnext line 10.0.0.1 end. _@-.- x"
+    near = contexts(text, base_spans(text), 256)
+    assert [e for e, _, _ in near] == [["email:me@h.org", "kind:email"], ["ip:10.0.0.1", "kind:ip"], ["email:_@-.-", "kind:email"]]
+    assert "tail" in near[0][2] and len(near[0][2]) <= 256 and near[1][2] == ["end", "line", "next"] and near[2][2] == ["x"]
+    many = " ".join(f"u{k}@h.org name{k}" for k in range(20_000))
+    assert sum(len(e) * len(t) for e, _, t in contexts(many, base_spans(many), 256)) < 20_000 * 256

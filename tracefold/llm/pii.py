@@ -1,14 +1,16 @@
 """Personal data: fixed patterns, and terms that reveal protected entities by corpus co-occurrence.
 
 Base kinds (email, ip, card, phone) are found by pattern. Every distinct value found, and every kind, is a
-protected entity. The method then asks of each term near an entity how much it gives away:
+protected entity. The method then asks of each term in an entity's sentence how much it gives away:
 
-    disclosure(e, t) = PMI(e; t) / IC(e) = log2(N df(e,t) / (df(e) df(t))) / log2(N / df(e))
+    disclosure(e, t) = PMI(e; t) / IC(e) = log2(P(e|t) N / df(e)) / log2(N / df(e))
 
-df counts documents over the whole corpus (df(e,t): documents with t within ``reach`` words of e), so the
-figure is 1 where the term occurs only beside the entity and 0 where the two are independent. A pair also
-needs ``support`` different contexts, so that copies of one passage prove nothing. In the documents that
-hold the entity, terms from ``remove_at`` on are removed and from ``generalise_at`` on generalised.
+df counts documents over the whole corpus. P(e|t) is not the bare share df(e,t) / df(t) (df(e,t): documents
+with t in a sentence of e) but the lower end of its Wilson interval, so one or two documents count for what
+they prove and many count in full. Copies of one sentence are one case in both numbers. The figure nears 1
+where the term occurs only beside the entity and is 0 or less where the two are independent. In the documents
+that hold the entity, terms from ``remove_at`` on are removed and from ``generalise_at`` on generalised.
+A sentence ends at a line's end, at ``.!?`` before a blank, and after ``sentence_words`` words.
 
 Plan: one pass finds patterns and contexts (no shuffle) and keeps the text of those rows only that hold an
 entity; one pass counts document frequencies (per-task counts are added before the shuffle); the pairs are
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +38,7 @@ from tracefold.llm.common import spare, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
+KIND_PARTS = 64
 ORDER = {k: i for i, k in enumerate((*KINDS, TERM))}
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -43,13 +47,15 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 WORD = re.compile(r"[^\W_]+")
+END = re.compile(r"[.!?]+(?=\s)|\n")
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
 
 @dataclass(frozen=True)
 class Rules:
-    reach: int = 5
-    support: int = 3
+    sentence_words: int = 256
+    support: int = 1
+    z: float = 1.645  # one-sided 95 %
     generalise_at: float = 0.5
     remove_at: float = 0.8
 
@@ -98,25 +104,54 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tuple[str, int, list[str]]]:
-    """(entity, context hash, terms) of each span, for its value and for its kind."""
-    out = []
+def contexts(text: str, spans: list[tuple[str, int, int]], most: int) -> list[tuple[list[str], int, list[str]]]:
+    """(entities, context hash, terms) of each sentence with a span; the entities are its values and their kinds.
+
+    Words of the spans themselves are no terms. Linear in the text, since a sentence has ``most`` words at most.
+    """
+    if not spans:
+        return []
+    ends = [m.end() for m in END.finditer(text)]
+    covered: list[tuple[int, int]] = []
+    for _, a, b in spans:
+        if covered and a < covered[-1][1]:
+            covered[-1] = (covered[-1][0], max(b, covered[-1][1]))
+        else:
+            covered.append((a, b))
+    starts, sentences, words = [a for a, _ in covered], [], []
+    number, size, last, part = [], 0, -1, 0
+    for m in WORD.finditer(text):
+        at = bisect_right(ends, m.start())
+        part, size = (0, 0) if at != last else (part + 1, 0) if size == most else (part, size)
+        last, size = at, size + 1
+        words.append(m.start())
+        number.append((at, part))
+        k = bisect_right(starts, m.end() - 1) - 1
+        if k < 0 or covered[k][1] <= m.start():
+            sentences.append(((at, part), m[0].lower()))
+    held: dict[tuple[int, int], set[str]] = {}
     for kind, a, b in spans:
-        left = [w.lower() for w in WORD.findall(text, max(0, a - 40 * reach), a)][-reach:]
-        right = [w.lower() for w in WORD.findall(text, b, min(len(text), b + 40 * reach))][:reach]
-        terms = sorted({w for w in left + right if not w.isdigit()})
-        mark = int.from_bytes(hashlib.blake2b(" ".join([*left, "|", *right]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        out += [(entity(kind, text[a:b]), mark, terms), (f"kind:{kind}", mark, terms)]
+        k = bisect_right(words, b - 1) - 1
+        key = number[k] if k >= 0 and words[k] >= a else (bisect_right(ends, a), 0)
+        held.setdefault(key, set()).update((entity(kind, text[a:b]), f"kind:{kind}"))
+    free: dict[tuple[int, int], list[str]] = {key: [] for key in held}
+    for key, word in sentences:
+        if key in free:
+            free[key].append(word)
+    out = []
+    for key, entities in held.items():
+        mark = hashlib.blake2b(" ".join(free[key]).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        out.append((sorted(entities), int.from_bytes(mark, "little", signed=True), sorted({w for w in free[key] if not w.isdigit()})))
     return out
 
 
 FOUND = (
     "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
-    "contexts array<struct<entity:string,context:long,terms:array<string>>>"
+    "contexts array<struct<entities:array<string>,context:long,terms:array<string>>>"
 )
 
 
-def find(text: Column, reach: int) -> Column:
+def find(text: Column, sentence_words: int) -> Column:
     """Struct ``FOUND`` of a text column."""
 
     @F.pandas_udf(FOUND)
@@ -127,7 +162,7 @@ def find(text: Column, reach: int) -> Column:
             spans = base_spans(t)
             n = Counter(k for k, _, _ in spans)
             line = joined(spans)
-            near = [{"entity": e, "context": c, "terms": w} for e, c, w in contexts(t, spans, reach)]
+            near = [{"entities": e, "context": c, "terms": w} for e, c, w in contexts(t, spans, sentence_words)]
             rows.append((*(n[k] for k in KINDS), hashlib.sha256(line.encode()).hexdigest(), line, near))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in FOUND.split(", ")])
 
@@ -160,15 +195,23 @@ def row_key(id_col: str, text_col: str) -> Column:
 def disclosures(found: DataFrame, frequencies: DataFrame, n_docs: int, rules: Rules) -> DataFrame:
     """``(entity, term, disclosure)`` from ``rules.generalise_at`` on, over all documents."""
     near = found.where(F.size("contexts") > 0).select("row", F.explode("contexts").alias("c")).select("row", "c.*")
+    near = near.select("row", F.explode("entities").alias("entity"), "context", "terms")
     pairs = near.select("entity", "row", "context", F.explode("terms").alias("term"))
     # rows and contexts are counted after a distinct each, so a frequent entity is spread over its terms and rows
     together = pairs.groupBy("entity", "term", "row").agg(F.count("*").alias("_")).groupBy("entity", "term").agg(F.count("*").alias("both"))
     different = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("_")).groupBy("entity", "term").agg(F.count("*").alias("support"))
     held = near.groupBy("entity", "row").agg(F.count("*").alias("_")).groupBy("entity").agg(F.count("*").alias("df_e"))
-    rows = together.join(different.where(F.col("support") >= rules.support), ["entity", "term"]).join(held, "entity").join(frequencies, "term")
-    total = F.lit(float(n_docs))
+    # a kind stands beside very many terms: its few rows go to every part of them
+    part = F.when(F.col("entity").startswith("kind:"), F.pmod(F.hash("term"), F.lit(KIND_PARTS))).otherwise(0)
+    copies = F.when(F.col("entity").startswith("kind:"), F.sequence(F.lit(0), F.lit(KIND_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    counts = together.join(different.where(F.col("support") >= rules.support), ["entity", "term"]).join(frequencies, "term")
+    rows = counts.withColumn("part", part).join(held.withColumn("part", F.explode(copies)), ["entity", "part"])
+    total, z = F.lit(float(n_docs)), rules.z
+    hits = F.least("both", "support").cast("double")
+    cases = F.col("df") - F.col("both") + hits
+    share = (hits + z * z / 2 - z * F.sqrt(hits * (cases - hits) / cases + z * z / 4)) / (cases + z * z)
     content = F.log2(total / F.col("df_e"))
-    pmi = F.log2(total * F.col("both") / (F.col("df_e") * F.col("df")))
+    pmi = F.log2(share * total / F.col("df_e"))
     return rows.select("entity", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("disclosure")).where(F.col("disclosure") >= rules.generalise_at)
 
 
@@ -198,11 +241,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     """(rows, terms): ``rows`` has per document its id, ``row`` key, counts, ``base`` spans; ``terms`` has
     ``(row, spans)`` for the rows in which terms reveal an entity."""
     rules = rules or Rules()
-    marked = docs.select(F.col(id_col), F.col(text_col).alias("_t"), row_key(id_col, text_col).alias("row"), find(F.col(text_col), rules.reach).alias("f"))
+    marked = docs.select(F.col(id_col), F.col(text_col).alias("_t"), row_key(id_col, text_col).alias("row"), find(F.col(text_col), rules.sentence_words).alias("f"))
     found = written(marked.select(id_col, "row", "f.*", F.when(F.size("f.contexts") > 0, F.col("_t")).alias("held")), "pii")
     flagged = written(disclosures(found, document_frequencies(docs, text_col), docs.count(), rules), "disclosures")
     holders = found.where("held IS NOT NULL").dropDuplicates(["row"])
-    told = holders.select("row", F.explode("contexts.entity").alias("entity")).distinct().join(flagged, "entity")
+    told = holders.select("row", F.explode(F.flatten("contexts.entities")).alias("entity")).distinct().join(flagged, "entity")
     told = told.groupBy("row", "term").agg(F.max("disclosure").alias("d")).groupBy("row")
     told = told.agg(F.collect_list(F.struct("term", (F.col("d") >= rules.remove_at).alias("remove"))).alias("terms"))
     spans = holders.select("row", "held", "base").join(told, "row").select("row", _term_spans(F.col("held"), F.col("base"), F.col("terms")).alias("spans"))
