@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tracefold.llm.pii import Rules, base_spans, contexts, find_pii, joined, luhn, pii_report, sanitise
+from tracefold.llm.pii import Rules, base_spans, contexts, find_pii, joined, luhn, pii_report, revealing_terms, sanitise
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -122,3 +122,12 @@ def test_sentences_of_long_texts():
     assert "tail" in near[0][2] and len(near[0][2]) <= 256 and near[1][2] == ["end", "line", "next"] and near[2][2] == ["x"]
     many = " ".join(f"u{k}@h.org name{k}" for k in range(20_000))
     assert sum(len(e) * len(t) for e, _, t in contexts(many, base_spans(many), 256)) < 20_000 * 256
+
+
+def test_rows_meet_only_terms_they_have(spark):
+    """300 holders of a kind and 300 flagged terms of it: 300 rows come out of the join, not their product."""
+    near = [(k, f"word{k} Name{k} says", [(["kind:email", f"email:{k}"], 1, ["x"])]) for k in range(300)]
+    schema = "row long, held string, contexts array<struct<entities:array<string>,context:long,terms:array<string>>>"
+    flagged = [("kind:email", f"name{k}", 0.6) for k in range(300)] + [("email:7", "name7", 0.9), ("email:8", "name9", 0.9)]
+    out = revealing_terms(spark.createDataFrame(near, schema), spark.createDataFrame(flagged, "entity string, term string, disclosure double"))
+    assert {tuple(r) for r in out.collect()} == {(k, f"name{k}", 0.9 if k == 7 else 0.6) for k in range(300)}

@@ -14,7 +14,8 @@ A sentence ends at a line's end, at ``.!?`` before a blank, and after ``sentence
 
 Plan: one pass finds patterns and contexts (no shuffle) and keeps the text of those rows only that hold an
 entity; one pass counts document frequencies (per-task counts are added before the shuffle); the pairs are
-ordinary aggregations. Only rows with an entity are joined with their terms, so the corpus' text never moves.
+ordinary aggregations. Only rows with an entity are joined with flagged terms, and only by the words that they
+have, so the corpus' text never moves and a frequent entity's terms do not meet all of its rows.
 
 Edge cases: a null text is an empty text, without spans; very long texts are read whole and every scan is
 linear in the text; repeated rows get equal results; null ids keep their rows; an empty table gives an empty
@@ -237,6 +238,26 @@ def _term_spans(text: Column, base: Column, terms: Column) -> Column:
     return scan(text, base, terms)
 
 
+def _words(text: Column) -> Column:
+    """The distinct words of a text."""
+
+    @F.pandas_udf("array<string>")
+    def scan(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted({w.lower() for w in WORD.findall(t)}) for t in texts], dtype=object)
+
+    return scan(text)
+
+
+def revealing_terms(holders: DataFrame, flagged: DataFrame) -> DataFrame:
+    """``(row, term, disclosure)``: the flagged terms that a row has itself, by the entity they tell the most of.
+
+    Rows meet terms by the words they have, so an entity's terms are never dealt to all of its rows.
+    """
+    words = holders.select("row", F.explode(_words(F.col("held"))).alias("term")).join(flagged.select("term").distinct(), "term", "left_semi")
+    entities = holders.select("row", F.explode(F.array_distinct(F.flatten("contexts.entities"))).alias("entity"))
+    return words.join(entities, "row").join(flagged, ["entity", "term"]).groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, terms): ``rows`` has per document its id, ``row`` key, counts, ``base`` spans; ``terms`` has
     ``(row, spans)`` for the rows in which terms reveal an entity."""
@@ -245,9 +266,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     found = written(marked.select(id_col, "row", "f.*", F.when(F.size("f.contexts") > 0, F.col("_t")).alias("held")), "pii")
     flagged = written(disclosures(found, document_frequencies(docs, text_col), docs.count(), rules), "disclosures")
     holders = found.where("held IS NOT NULL").dropDuplicates(["row"])
-    told = holders.select("row", F.explode(F.flatten("contexts.entities")).alias("entity")).distinct().join(flagged, "entity")
-    told = told.groupBy("row", "term").agg(F.max("disclosure").alias("d")).groupBy("row")
-    told = told.agg(F.collect_list(F.struct("term", (F.col("d") >= rules.remove_at).alias("remove"))).alias("terms"))
+    told = revealing_terms(holders, flagged).groupBy("row")
+    told = told.agg(F.collect_list(F.struct("term", (F.col("disclosure") >= rules.remove_at).alias("remove"))).alias("terms"))
     spans = holders.select("row", "held", "base").join(told, "row").select("row", _term_spans(F.col("held"), F.col("base"), F.col("terms")).alias("spans"))
     return found.drop("contexts", "held"), spans.where(F.size("spans") > 0)
 
