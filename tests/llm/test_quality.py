@@ -63,3 +63,58 @@ def test_awkward_rows(awkward, empty):
     assert all(r.base_failed and not r.kept for r in rows if r.n_words == 0)
     assert next(r for r in rows if r.doc_id == 8).n_words == 60_000
     assert quality_rules(empty).count() == 0
+
+
+def prose(rng, size):
+    parts = [a + b for a in ("b", "d", "f", "gr", "kl", "l", "m", "st") for b in ("a", "en", "i", "or", "u", "ing")]
+    words = ["".join(rng.choice(parts, n)) for n in rng.integers(1, 4, 3000)]
+    odds = np.arange(1, 3001) ** -0.6
+    return " ".join(rng.choice(words, size, p=odds / odds.sum()).tolist())[:size]
+
+
+def coded(rng, size, width=76):
+    """base64 in lines or words of ``width``."""
+    import base64
+
+    code = base64.b64encode(rng.bytes(size)).decode()[:size]
+    return " ".join(code[k:k + width] for k in range(0, size, width))
+
+
+def test_coded_and_looped_parts_inside_prose():
+    import zstandard
+
+    packer, rng = zstandard.ZstdCompressor(level=3), np.random.default_rng(3)
+    long_text = prose(rng, 20_000)
+    assert measure(long_text, Bands(), packer)[-1]
+    with_code = long_text[:9000] + " " + coded(rng, 6_200) + " " + long_text[9000:]
+    row = measure(with_code, Bands(), packer)
+    assert not row[9] and row[8] >= 2 and not row[-1]
+    mostly = prose(rng, 6_000) + " " + coded(rng, 18_000)
+    assert not measure(mostly, Bands(), packer)[-1]
+    for size in (700, 1000, 1500, 2000):
+        assert not measure(coded(rng, size, 10), Bands(), packer)[-1]
+    loop = " ".join(f"{a}{b} same old part of the line here again" for a, b in zip("abc" * 50, "xyzuv" * 30, strict=True))
+    row = measure(long_text[:9000] + " " + loop + " " + long_text[9000:], Bands(), packer)
+    assert not row[9] and row[7] >= 2 and not row[-1]
+
+
+def test_limits_come_from_the_texts(spark):
+    """Texts that stand apart from their own length class go, though any fixed limit lets them through."""
+    rng = np.random.default_rng(4)
+    rows = [(k, prose(rng, 3000)) for k in range(260)]
+    few = sorted(set(prose(rng, 3000).split()))[:180]
+    rows += [(1000 + k, " ".join(rng.choice(few, 600).tolist())[:3000]) for k in range(5)]
+    out = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[k].kept for k in range(260))
+    odd = [out[k] for k in range(1000, 1005) if not out[k].base_failed]
+    assert odd and not any(r.kept for r in odd)
+    fixed = quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), bands=Bands()).where("doc_id >= 1000 AND NOT base_failed")
+    assert fixed.where("kept").count() == len(odd)
+
+
+def test_beyond_the_base_rules(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    gone = quality_rules(docs).where("NOT kept AND NOT base_failed").join(labels, "doc_id", "left")
+    assert gone.where("quality = 1").count() == 0
+    assert gone.where("quality = 0").count() > 50
