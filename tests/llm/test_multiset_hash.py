@@ -93,3 +93,13 @@ def test_sums_over_rows_are_the_same(spark):
     rows = spark.createDataFrame([(1, [f"p{k % 70}" for k in range(300)]), (2, []), (3, ["one"])], "k long, parts array<string>")
     want = {r.k: r.h for r in rows.select("k", M.multiset_hash(F.col("parts")).alias("h")).collect()}
     assert {r.k: r.fp for r in M.summed_hashes(rows, ["k"], "parts").collect()} == want
+
+
+def test_many_equal_paragraphs(spark):
+    """Sums beyond 2**14: 20,000 equal lines against 10,000 and against 16,384, which pack to nothing."""
+    docs = spark.createDataFrame([(3, "same line\n" * 20_000), (2, "same line\n" * 10_000), (1, "same line\n" * 16_384), (0, "")], "doc_id long, text string")
+    of = {r.doc_id: r for r in M.fingerprint_report(docs).collect()}
+    assert of[3].near_next == pytest.approx(2 * 2 * 1 / (4 + 1))
+    assert of[2].near_next == pytest.approx(2 * 10_000 * 16_384 / (10_000**2 + 16_384**2))
+    assert of[1].near_next == 0.0
+    assert of[1].near_edited == pytest.approx(2 * 16_384 * 8_192 / (16_384**2 + 8_192**2))

@@ -9,7 +9,9 @@ vector of +1 and -1; the fingerprint is the sum of the vectors, each component m
   0 to 1, 2 <a, b> / (<a, a> + <b, b>), that is exactly 1 for equal fingerprints.
 
 In a fingerprint, four components lie in one long, 16 bits apart. Sums are taken on all four at once; the two bits above each
-component take the carry, so that nothing runs over (Spark's arithmetic is checked).
+component take the carry, so that nothing runs over (Spark's arithmetic is checked). The likenesses of
+``fingerprint_report`` are taken from the sums before they are packed, 32 bits each, so that a paragraph repeated
+more than 2**13 times counts in full; the fingerprints themselves cannot tell 2**14 equal paragraphs from none.
 
 ``fingerprint_report`` also compares each document with the next one in descending order of ids. Ids are
 range-partitioned (never one global window); the first rows of the partitions, one per partition, close the
@@ -78,27 +80,36 @@ def without(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: _add(x, _negative(y)))
 
 
-def summed_hashes(rows: DataFrame, keys: list[str], parts: str) -> DataFrame:
-    """``keys`` and ``fp``: the fingerprints of the paragraph arrays in ``parts``, as ordinary sums.
+def bit_sums(rows: DataFrame, keys: list[str], parts: str) -> DataFrame:
+    """``keys``, ``n`` and ``bits`` of the paragraph arrays in ``parts``, as ordinary sums.
 
-    The same vectors as ``multiset_hash`` gives, with the paragraphs as rows: the set bits are summed, two to
-    a long 32 bits apart, and a component is twice its sum less the number of paragraphs.
+    ``n`` is the number of paragraphs; ``bits`` the sums of the hashes' set bits, two to a long 32 bits apart.
     """
     each = rows.select(*keys, F.explode_outer(parts).alias("_p"))
     hashed = each.select(*keys, F.col("_p").isNotNull().cast("long").alias("_n"), *[F.when(F.col("_p").isNull(), 0).otherwise(F.xxhash64("_p", F.lit(s))).alias(f"_h{s}") for s in range(HASHES)])
     bit = lambda s, j: F.shiftrightunsigned(f"_h{s}", j).bitwiseAND(F.lit(1 | 1 << 32))
-    sums = hashed.groupBy(*keys).agg(F.sum("_n").alias("_n"), *[F.sum(bit(s, j)).alias(f"_s{s}_{j}") for s in range(HASHES) for j in range(32)])
+    sums = hashed.groupBy(*keys).agg(F.sum("_n").alias("n"), *[F.sum(bit(s, j)).alias(f"_s{s}_{j}") for s in range(HASHES) for j in range(32)])
+    return sums.select(*keys, "n", F.array(*[F.col(f"_s{s}_{j}") for s in range(HASHES) for j in range(32)]).alias("bits"))
+
+
+def packed_sums(n: Column, bits: Column) -> Column:
+    """The fingerprint of bit sums: a component is twice its sum less the number of paragraphs."""
 
     def packed(s: int, j: int) -> Column:
         """Components j, j + 16, j + 32 and j + 48 of hash s in one long."""
         out = None
         for k in range(4):
-            total = F.shiftrightunsigned(f"_s{s}_{j + 16 * (k % 2)}", 32 * (k // 2)).bitwiseAND(F.lit((1 << 32) - 1))
-            cell = F.shiftleft((2 * total - F.col("_n")).bitwiseAND(F.lit((1 << BITS) - 1)), 16 * k)
+            total = F.shiftrightunsigned(bits[32 * s + j + 16 * (k % 2)], 32 * (k // 2)).bitwiseAND(F.lit((1 << 32) - 1))
+            cell = F.shiftleft((2 * total - n).bitwiseAND(F.lit((1 << BITS) - 1)), 16 * k)
             out = cell if out is None else out.bitwiseOR(cell)
         return out
 
-    return sums.select(*keys, F.array(*[packed(s, j) for s in range(HASHES) for j in range(16)]).alias("fp"))
+    return F.array(*[packed(s, j) for s in range(HASHES) for j in range(16)])
+
+
+def summed_hashes(rows: DataFrame, keys: list[str], parts: str) -> DataFrame:
+    """``keys`` and ``fp``: the vectors that ``multiset_hash`` gives, with the paragraphs as rows."""
+    return bit_sums(rows, keys, parts).select(*keys, packed_sums(F.col("n"), F.col("bits")).alias("fp"))
 
 
 def as_text(v: Column) -> Column:
@@ -112,14 +123,29 @@ def _components(v: Column) -> Column:
 
 
 def _product(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(_components(a), _components(b), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1; 1 for equal fingerprints."""
+def _alike(equal: Column, a: Column, b: Column) -> Column:
     both = _product(a, a) + _product(b, b)
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * _product(a, b) / both))
-    return F.when(a == b, 1.0).when(both == 0, 0.0).otherwise(share)
+    return F.when(equal, 1.0).when(both == 0, 0.0).otherwise(share)
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """0 to 1; 1 for equal fingerprints."""
+    return _alike(a == b, _components(a), _components(b))
+
+
+def _wide(n: Column, bits: Column) -> Column:
+    two = lambda x: F.array(*[(2 * F.shiftrightunsigned(x, k).bitwiseAND(F.lit((1 << 32) - 1)) - n).cast("double") for k in (0, 32)])
+    return F.flatten(F.transform(bits, two))
+
+
+def sums_likeness(a: tuple[str, str], b: tuple[str, str]) -> Column:
+    """The likeness of two texts by their columns ``(n, bits)``."""
+    (n, bits), (m, others) = (tuple(map(F.col, x)) for x in (a, b))
+    return _alike((n == m) & (bits == others), _wide(n, bits), _wide(m, others))
 
 
 def followers(ids: DataFrame, rows_per_part: int = 100_000) -> DataFrame:
@@ -158,15 +184,15 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keys = ["idk", "body", "id", "n_chars", "times", "sha"]
     # equal rows meet several times here; one of each is kept before anything is summed
     met = met.dropDuplicates(["idk", "body"]).select(*keys, F.explode(both).alias("v")).select(*keys, "v.kind", "v.parts")
-    prints = written(summed_hashes(met, [*keys, "kind"], "parts"), "prints")
+    prints = written(bit_sums(met, [*keys, "kind"], "parts"), "prints")
     own = prints.where("kind = 0").drop("kind")
-    edited = prints.where("kind = 1").select("idk", "body", F.col("fp").alias("efp"))
-    following = links.select("idk", "body", "nidk", "nbody").join(own.select(F.col("idk").alias("nidk"), F.col("body").alias("nbody"), F.col("fp").alias("nfp")), ["nidk", "nbody"])
-    met = own.join(edited, ["idk", "body"]).join(following.select("idk", "body", "nfp"), ["idk", "body"])
+    edited = prints.where("kind = 1").select("idk", "body", F.col("n").alias("en"), F.col("bits").alias("ebits"))
+    following = links.select("idk", "body", "nidk", "nbody").join(own.select(F.col("idk").alias("nidk"), F.col("body").alias("nbody"), F.col("n").alias("nn"), F.col("bits").alias("nbits")), ["nidk", "nbody"])
+    met = own.join(edited, ["idk", "body"]).join(following.select("idk", "body", "nn", "nbits"), ["idk", "body"])
     out = met.select(
         F.col("id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"),
-        as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("efp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"),
+        as_text(packed_sums(F.col("n"), F.col("bits"))).alias("fingerprint"), as_text(packed_sums(F.col("en"), F.col("ebits"))).alias("edited_fingerprint"),
+        sums_likeness(("n", "bits"), ("en", "ebits")).alias("near_edited"), sums_likeness(("n", "bits"), ("nn", "nbits")).alias("near_next"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_time"),  # equal rows come back
     )
     return out.drop("_time")
