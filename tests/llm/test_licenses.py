@@ -47,3 +47,17 @@ def test_awkward_rows(awkward, empty):
     rows = license_scan(awkward).collect()
     assert len(rows) == awkward.count()
     assert license_scan(empty).count() == 0
+
+
+def test_versions_and_variants_are_told_apart(spark):
+    gpl = "This work is licensed under the GNU General Public License"
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License"
+    want = {
+        f"{gpl}, version 2": "gpl,gpl-2.0", f"{gpl}, version 3": "gpl,gpl-3.0", f"{gpl}.": "gpl",
+        "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc", "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa",
+        "Licensed under CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa", "Licensed under CC BY-NC-ND 4.0": "cc-by,cc-by-nc-nd", "Licensed under CC BY-ND 4.0": "cc-by,cc-by-nd",
+        "Licensed under the Apache License, Version 2.0": "apache,apache-2.0", "Licensed under the Apache License, Version 1.1": "apache",
+        cc.format(""): "cc-by", cc.format("-NonCommercial"): "",
+    }
+    rows = license_scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).collect()
+    assert {list(want)[r.doc_id]: r.labels for r in rows} == want
