@@ -199,7 +199,7 @@ def q_map_filter_count(spark, sf_dir):
 
 @register("D4_repartition_cache", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag")
 def q_repartition_cache(spark, sf_dir):
-    li = read_table(spark, sf_dir, "lineitem").select("l_returnflag").repartition("l_returnflag")
+    li = read_table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber").repartition("l_orderkey", "l_linenumber")
     return li.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
