@@ -87,7 +87,7 @@ def _simulate_queue(seq):
 
 def test_cell_runs_ignore_idle_on_empty_queue(spark):
     seq = ["idle", "execute", "execute", "idle", "idle", "idle", "execute"]
-    got = cells.cell_runs(_signals(spark, seq), bucket_ms=3000).orderBy("run_no").collect()
+    got = cells.cell_runs(_signals(spark, seq)).orderBy("run_no").collect()
     started = [(r["start_ms"], r["end_ms"]) for r in got if r["start_ms"] is not None]
     assert started == _simulate_queue(seq)
     assert [r["run_no"] for r in got] == [1, 2, 3]
@@ -96,7 +96,7 @@ def test_cell_runs_ignore_idle_on_empty_queue(spark):
 def test_cell_runs_match_sequential_queue(spark):
     rnd = random.Random(7)
     seq = [rnd.choice(["execute", "idle", "idle"]) for _ in range(300)]
-    got = cells.cell_runs(_signals(spark, seq), bucket_ms=7000).collect()
+    got = cells.cell_runs(_signals(spark, seq)).collect()
     started = sorted((r["start_ms"], r["end_ms"]) for r in got if r["start_ms"] is not None)
     assert started == sorted(_simulate_queue(seq), key=lambda x: (x[0], x[1] is None, x[1]))
 
@@ -116,7 +116,7 @@ def test_retention_equals_one_by_one_eviction(spark, n, limit):
     items = spark.range(1, n + 1).select(
         F.lit("a").alias("app_id"), F.lit("completedJobs").alias("list"), F.col("id").cast("string").alias("item_key"),
         (F.col("id") * 10).alias("t"), F.lit(7).alias("kind_rank"), F.col("id").alias("tiebreak"))
-    got = sorted(r["arrival_no"] for r in retention.retain_recent(items, limit, bucket_ms=100).collect())
+    got = sorted(r["arrival_no"] for r in retention.retain_recent(items, limit).collect())
     assert got == _simulate_retention(n, limit)
 
 
@@ -164,7 +164,7 @@ def _shared_stage_lc(spark):
 def test_active_vs_planned_attribution(spark):
     lc = _shared_stage_lc(spark)
     jobs = entities.pair_jobs(lc)
-    act = {r["job_id"]: r for r in attribution.job_task_counts(lc, jobs, "active", bucket_ms=10).collect()}
+    act = {r["job_id"]: r for r in attribution.job_task_counts(lc, jobs, "active").collect()}
     pla = {r["job_id"]: r for r in attribution.job_task_counts(lc, jobs, "planned").collect()}
     # job 1 ends at 50: it sees both starts but only the end at 40
     assert (act[1]["n_started"], act[1]["n_succeeded"]) == (2, 1)
@@ -202,7 +202,7 @@ def test_idle_plus_busy_equals_capacity(spark, sf001):
     from tracefold.sources.testdata import TestdataTrace
 
     tr = TestdataTrace(spark, sf001)
-    for r in series.idle_core_time(tr.tasks, tr.executors, 30 * 86_400_000).collect():
+    for r in series.idle_core_time(tr.tasks, tr.executors).collect():
         assert r["idle_core_ms"] + r["busy_core_ms"] == r["capacity_core_ms"] or r["peak_active"] > r["peak_cores"]
 
 
@@ -210,7 +210,7 @@ def test_active_series_never_negative(spark, sf001):
     from tracefold.sources.testdata import TestdataTrace
 
     tr = TestdataTrace(spark, sf001)
-    s = series.active_tasks_series(tr.tasks, "step", 30 * 86_400_000)
+    s = series.active_tasks_series(tr.tasks, "step")
     assert s.where(F.col("active") < 0).count() == 0
 
 
@@ -228,7 +228,7 @@ def test_lanes_greedy_and_split_at_idle_gaps(spark):
     rows = [(1, "g", "a", 0, 10), (1, "g", "b", 1, 3), (1, "g", "c", 2, 12), (1, "g", "d", 4, 6),
             (1, "g", "e", 12, 13), (1, "g", "f", 20, 25), (1, "g", "h", 21, None)]
     items = spark.createDataFrame(rows, "app_id bigint, grp string, item_id string, start_ms bigint, end_ms bigint")
-    got = {r["item_id"]: (r["lane"], r["busy_period"]) for r in assign_lanes(items, bucket_ms=5).collect()}
+    got = {r["item_id"]: (r["lane"], r["busy_period"]) for r in assign_lanes(items).collect()}
     assert {k: v[0] for k, v in got.items()} == {"a": 0, "b": 1, "c": 2, "d": 1, "e": 0, "f": 0, "h": 1}
     # c ends at 12 when e starts: e opens a new busy period
     assert [got[k][1] for k in "abcdefh"] == [1, 1, 1, 1, 2, 3, 3]
@@ -244,7 +244,7 @@ def test_skipped_replanned_rule(spark):
     jobs = entities.pair_jobs(lc)
     listener = sorted((r["job_id"], r["stage_id"]) for r in attribution.skipped_stages(lc, jobs, "listener").collect())
     replanned = sorted((r["job_id"], r["stage_id"]) for r in
-                       attribution.skipped_stages(lc, jobs, "replanned", bucket_ms=7).collect())
+                       attribution.skipped_stages(lc, jobs, "replanned").collect())
     assert listener == []
     assert replanned == [(2, 10)]
 
@@ -260,7 +260,24 @@ def test_stage_retry_completed_set(spark):
           ("a", 11, 0, 50, 40, 2, None), ("a", 11, 1, 70, 60, 2, "lost")]
     lc = _lifecycle(spark, js, je, ss, sd, [], [])
     jobs = entities.pair_jobs(lc)
-    r = counters.job_stage_counters(lc, jobs, bucket_ms=7).collect()[0]
+    r = counters.job_stage_counters(lc, jobs).collect()[0]
     assert (r["completed_stages"], r["failed_stages"], r["active_stages"]) == (1, 2, 0)
     naive = counters.job_stage_counters_naive(lc, jobs).collect()[0]
     assert (naive["completed_stages"], naive["failed_stages"]) == (2, 2)
+
+
+def test_bucket_borders_follow_the_rows(spark):
+    """One dense hour in a year, one application with a third of all rows: no bucket is twice the mean."""
+    from tracefold.operators.sweep import BUCKET, running_sums, with_bucket
+
+    hour, year = 3_600_000, 31_536_000_000
+    i = F.col("id")
+    t = F.when(i % 10 < 9, F.lit(year // 2) + F.pmod(F.xxhash64("id"), F.lit(hour))).otherwise(F.pmod(F.xxhash64("id"), F.lit(year)))
+    df = spark.range(30_000).select(F.when(i % 3 == 0, 0).otherwise(i % 50).alias("app"), t.alias("t"), F.lit(1).alias("d"), "id")
+    sizes = [r["count"] for r in with_bucket(df, ["app"], "t", 64).groupBy(BUCKET).count().collect()]
+    assert len(sizes) >= 60 and max(sizes) < 2 * 30_000 / len(sizes)
+    got = running_sums(df, ["app"], "t", ["d"], tiebreak=["id"], next_time="nt", total_suffix="_all", buckets=64).toPandas().sort_values(["app", "t", "id"])
+    assert (got["d_run"] == got.groupby("app")["d"].cumsum()).all()
+    want = got.groupby("app")["t"].shift(-1)
+    assert (got["nt"].fillna(-1) == want.fillna(-1)).all()
+    assert (got["d_all"] == got.groupby("app")["d"].transform("sum")).all()

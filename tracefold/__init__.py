@@ -10,7 +10,7 @@ Typical use::
     lc = read_event_log(spark, "hdfs:///spark-history")      # ten typed event tables
     write_trace(lc, "hdfs:///traces/2026-12")                  # ingest once (events + entities)
     ent, ev = open_entities(spark, "hdfs:///traces/2026-12"), open_events(spark, "hdfs:///traces/2026-12")
-    idle = idle_core_time(ent.tasks, ent.executors, bucket_ms=60_000)
+    idle = idle_core_time(ent.tasks, ent.executors)
 """
 
 __version__ = "0.1.0"

@@ -22,7 +22,6 @@ from tracefold.operators.series import K_JOB_END, K_JOB_START, K_TASK_END, K_TAS
 from tracefold.operators.sweep import running_sums
 from tracefold.sources.lifecycle import Lifecycle
 
-DEFAULT_BUCKET_MS = 60_000
 END_OF_TIME = 9_000_000_000_000_000  # ms, later than any event
 TASK_COUNTS = ["n_started", "n_succeeded", "n_failed", "n_killed"]
 
@@ -71,7 +70,7 @@ def attribute_planned(lc: Lifecycle, jobs: DataFrame) -> DataFrame:
     return out.select("app_id", "job_id", "stage_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in TASK_COUNTS])
 
 
-def attribute_active(lc: Lifecycle, jobs: DataFrame, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
+def attribute_active(lc: Lifecycle, jobs: DataFrame) -> DataFrame:
     """Per (job, stage) the task counts of events inside the job's active interval."""
     pairs = job_stage_infos(jobs, ("completion_ms", "has_start")).withColumnRenamed("completion_ms", "end_t").where(
         F.col("has_start") & F.col("submission_ms").isNotNull())
@@ -91,7 +90,7 @@ def attribute_active(lc: Lifecycle, jobs: DataFrame, bucket_ms: int = DEFAULT_BU
         "*", F.lit(None).cast("long").alias("m_job"), F.lit(None).cast("string").alias("m_kind")
     )
     u = ev.unionByName(m_start).unionByName(m_end)
-    r = running_sums(u, ["app_id", "stage_id"], "t", TASK_COUNTS, bucket_ms, tiebreak=["kind_rank", "eid"])
+    r = running_sums(u, ["app_id", "stage_id"], "t", TASK_COUNTS, tiebreak=["kind_rank", "eid"])
     marks = r.where(F.col("m_job").isNotNull()).groupBy("app_id", F.col("m_job").alias("job_id"), "stage_id").agg(
         *[F.max(F.when(F.col("m_kind") == "s", F.col(f"{c}_run"))).alias(f"s_{c}") for c in TASK_COUNTS],
         *[F.max(F.when(F.col("m_kind") == "e", F.col(f"{c}_run"))).alias(f"e_{c}") for c in TASK_COUNTS],
@@ -102,9 +101,9 @@ def attribute_active(lc: Lifecycle, jobs: DataFrame, bucket_ms: int = DEFAULT_BU
     )
 
 
-def job_task_counts(lc: Lifecycle, jobs: DataFrame, mode: str = "active", bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
+def job_task_counts(lc: Lifecycle, jobs: DataFrame, mode: str = "active") -> DataFrame:
     """Per job: started / succeeded / failed / killed task events under the chosen rule."""
-    per = attribute_active(lc, jobs, bucket_ms) if mode == "active" else attribute_planned(lc, jobs)
+    per = attribute_active(lc, jobs) if mode == "active" else attribute_planned(lc, jobs)
     agg = per.groupBy("app_id", "job_id").agg(*[F.sum(c).cast("long").alias(c) for c in TASK_COUNTS])
     return jobs.select("app_id", "job_id").join(agg, ["app_id", "job_id"], "left").select(
         "app_id", "job_id", *[F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in TASK_COUNTS]
@@ -112,7 +111,7 @@ def job_task_counts(lc: Lifecycle, jobs: DataFrame, mode: str = "active", bucket
 
 
 # J8 ----------------------------------------------------------------------
-def skipped_stages(lc: Lifecycle, jobs: DataFrame, mode: str = "listener", bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
+def skipped_stages(lc: Lifecycle, jobs: DataFrame, mode: str = "listener") -> DataFrame:
     """Planned stages never submitted by the time the job ended.
 
     ``listener``: no submission of the stage id (by any job) before the job end.
@@ -147,8 +146,7 @@ def skipped_stages(lc: Lifecycle, jobs: DataFrame, mode: str = "listener", bucke
         ends = ended.select("app_id", "stage_id", F.col("completion_ms").alias("t"), F.lit(K_JOB_END).alias("kind_rank"),
                             F.col("job_id").alias("eid"), F.lit(0).alias("d_plan"), F.lit(0).alias("d_sub"),
                             F.col("job_id").alias("m_job"))
-        r = running_sums(plans.unionByName(sb).unionByName(ends), ["app_id", "stage_id"], "t", ["d_plan", "d_sub"],
-                         bucket_ms, tiebreak=["kind_rank", "eid"])
+        r = running_sums(plans.unionByName(sb).unionByName(ends), ["app_id", "stage_id"], "t", ["d_plan", "d_sub"], tiebreak=["kind_rank", "eid"])
         at_plan = r.where(F.col("kind_rank") == K_JOB_START).select(
             "app_id", "stage_id", F.col("d_plan_run").alias("k"), F.col("d_sub_run").alias("subs_at_plan"))
         at_end = r.where(F.col("m_job").isNotNull()).select(

@@ -16,19 +16,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefold.operators.sweep import running_sums
+from tracefold.operators.sweep import BUCKET, running_sums, with_bucket
 
-DEFAULT_BUCKET_MS = 86_400_000
 
 
-def _running_min(df: DataFrame, key: str, t: str, tiebreak: str, v: str, bucket_ms: int) -> DataFrame:
+def _running_min(df: DataFrame, key: str, t: str, tiebreak: str, v: str) -> DataFrame:
     """Add ``<v>_min`` (running min incl. the row) and ``<v>_min_prev`` (before the row), bucketed."""
-    b = df.withColumn("_b", F.floor(F.col(t) / F.lit(bucket_ms)).cast("long"))
-    bm = b.groupBy(key, "_b").agg(F.min(v).alias("_bmin"))
-    wb = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bm = bm.select(key, "_b", F.min("_bmin").over(wb).alias("_prev_min"))
-    j = b.join(bm, [key, "_b"])
-    w = Window.partitionBy(key, "_b").orderBy(t, tiebreak)
+    b = with_bucket(df, [key], t)
+    bm = b.groupBy(key, BUCKET).agg(F.min(v).alias("_bmin"))
+    wb = Window.partitionBy(key).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    bm = bm.select(key, BUCKET, F.min("_bmin").over(wb).alias("_prev_min"))
+    j = b.join(bm, [key, BUCKET])
+    w = Window.partitionBy(key, BUCKET).orderBy(t, tiebreak)
     incl = F.min(v).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     excl = F.min(v).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return j.select(
@@ -38,22 +37,22 @@ def _running_min(df: DataFrame, key: str, t: str, tiebreak: str, v: str, bucket_
     )
 
 
-def cell_runs(signals: DataFrame, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
+def cell_runs(signals: DataFrame) -> DataFrame:
     """(kernel_id, run_no, cell_id, exec_ms, start_ms, end_ms); end NULL = still running or queued."""
     s = signals.select(
         "kernel_id", "seq", "cell_id", "ts_ms", "signal",
         F.when(F.col("signal") == "execute", 1).otherwise(-1).alias("d"),
         F.when(F.col("signal") == "execute", 1).otherwise(0).alias("is_exec"),
     )
-    r = running_sums(s, ["kernel_id"], "ts_ms", ["d", "is_exec"], bucket_ms, tiebreak=["seq"])
+    r = running_sums(s, ["kernel_id"], "ts_ms", ["d", "is_exec"], tiebreak=["seq"])
     r = r.withColumnRenamed("d_run", "S").withColumnRenamed("is_exec_run", "exec_no")
-    r = _running_min(r, "kernel_id", "ts_ms", "seq", "S", bucket_ms)
+    r = _running_min(r, "kernel_id", "ts_ms", "seq", "S")
     zero = F.lit(0).cast("long")
     m = F.least(zero, F.col("S_min"))
     m_prev = F.least(zero, F.coalesce(F.col("S_min_prev"), zero))
     r = r.withColumn("eff", ((F.col("signal") == "idle") & (m == m_prev)).cast("int"))
     r = r.select("kernel_id", "seq", "cell_id", "ts_ms", "signal", "exec_no", "eff")
-    idles = running_sums(r.where(F.col("eff") == 1), ["kernel_id"], "ts_ms", ["eff"], bucket_ms, tiebreak=["seq"])
+    idles = running_sums(r.where(F.col("eff") == 1), ["kernel_id"], "ts_ms", ["eff"], tiebreak=["seq"])
     # the k-th effective idle ends run k and lets run k+1 start: one keyed aggregate, no self join
     ends = idles.select(
         "kernel_id",
@@ -84,7 +83,7 @@ def latest_run_per_cell(runs: DataFrame) -> DataFrame:
     ).select("kernel_id", "cell_id", "r.run_no", "r.start_ms", "r.end_ms", "num_runs")
 
 
-def attribute_cells(kernel_jobs: DataFrame, runs: DataFrame, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
+def attribute_cells(kernel_jobs: DataFrame, runs: DataFrame) -> DataFrame:
     """A job belongs to the cell running at its start (NULL if none: J12).
 
     As-of in set form: the number of run starts at or before the job start
@@ -96,7 +95,7 @@ def attribute_cells(kernel_jobs: DataFrame, runs: DataFrame, bucket_ms: int = DE
                            F.col("run_no").alias("eid"), F.lit(1).alias("d"), F.lit(None).cast("long").alias("job_id"))
     jobs = kernel_jobs.select("kernel_id", F.col("start_ms").alias("t"), F.lit(1).alias("kind"),
                               F.col("job_id").alias("eid"), F.lit(0).alias("d"), "job_id")
-    r = running_sums(marks.unionByName(jobs), ["kernel_id"], "t", ["d"], bucket_ms, tiebreak=["kind", "eid"])
+    r = running_sums(marks.unionByName(jobs), ["kernel_id"], "t", ["d"], tiebreak=["kind", "eid"])
     j = r.where(F.col("job_id").isNotNull()).select("kernel_id", "job_id", F.col("t").alias("start_ms"),
                                                     F.col("d_run").alias("run_no"))
     rr = started.select("kernel_id", "run_no", "cell_id", F.col("end_ms").alias("run_end_ms"))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tracefold.functions.columns import executor_group
 from tracefold.operators.attribution import (
-    DEFAULT_BUCKET_MS,
     attribute_planned,
     job_task_counts,
     routable_task_ends,
@@ -33,8 +32,8 @@ def job_num_tasks(jobs: DataFrame) -> DataFrame:
 
 
 # A1 ----------------------------------------------------------------------
-def job_task_counters(lc: Lifecycle, jobs: DataFrame, mode: str = "active", bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
-    c = job_task_counts(lc, jobs, mode, bucket_ms)
+def job_task_counters(lc: Lifecycle, jobs: DataFrame, mode: str = "active") -> DataFrame:
+    c = job_task_counts(lc, jobs, mode)
     n = job_num_tasks(jobs)
     return c.join(n, ["app_id", "job_id"], "left").select(
         "app_id", "job_id",
@@ -104,7 +103,7 @@ def _stage_events(lc: Lifecycle) -> DataFrame:
     return sub.unionByName(com)
 
 
-def job_stage_counters(lc: Lifecycle, jobs: DataFrame, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
+def job_stage_counters(lc: Lifecycle, jobs: DataFrame) -> DataFrame:
     """Listener rule: stage events inside the job's active interval; completed is a set
     (a stage is in it iff its last attributed submit-or-complete is a successful completion).
 
@@ -136,7 +135,7 @@ def job_stage_counters(lc: Lifecycle, jobs: DataFrame, bucket_ms: int = DEFAULT_
         F.lit(0).alias("fails"), F.lit(None).cast("boolean").alias("ok"), F.col("job_id").alias("m_job"),
         F.lit("e").alias("m_kind"))
     vals = ["n_ev", "subs", "comps", "fails"]
-    r = running_sums(ev.unionByName(marks_s).unionByName(marks_e), ["app_id", "stage_id"], "t", vals, bucket_ms,
+    r = running_sums(ev.unionByName(marks_s).unionByName(marks_e), ["app_id", "stage_id"], "t", vals,
                      tiebreak=["kind_rank", "eid"])
     events = r.where(F.col("m_job").isNull()).select("app_id", "stage_id", F.col("n_ev_run").alias("k"), "ok")
     m = r.where(F.col("m_job").isNotNull()).groupBy("app_id", "stage_id", F.col("m_job").alias("job_id")).agg(

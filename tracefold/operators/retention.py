@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from tracefold.operators.series import K_JOB_END, K_STAGE_COMPLETED
 from tracefold.operators.sweep import running_sums
 
-DEFAULT_BUCKET_MS = 60_000
 
 
 def finished_lists(jobs: DataFrame, stages: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
@@ -41,20 +40,20 @@ def finished_lists(jobs: DataFrame, stages: DataFrame, skipped: DataFrame | None
     return out
 
 
-def _arrivals(items: DataFrame, bucket_ms: int) -> DataFrame:
-    r = running_sums(items.withColumn("one", F.lit(1)), ["app_id", "list"], "t", ["one"], bucket_ms,
+def _arrivals(items: DataFrame) -> DataFrame:
+    r = running_sums(items.withColumn("one", F.lit(1)), ["app_id", "list"], "t", ["one"],
                      tiebreak=["kind_rank", "tiebreak"], total_suffix="_total")
     return r.select("app_id", "list", "item_key", "t", F.col("one_run").alias("arrival_no"), F.col("one_total").alias("n"))
 
 
-def arrival_order(items: DataFrame, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
+def arrival_order(items: DataFrame) -> DataFrame:
     """Arrival number per (app, list) in canonical order."""
-    return _arrivals(items, bucket_ms).drop("n")
+    return _arrivals(items).drop("n")
 
 
-def retain_recent(items: DataFrame, limit: int = 1000, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
+def retain_recent(items: DataFrame, limit: int = 1000) -> DataFrame:
     """Rows still retained after all appends, per (app, list)."""
-    a = _arrivals(items, bucket_ms)
+    a = _arrivals(items)
     k = max(1, limit // 10)
     evicted = F.when(F.col("n") <= limit, F.lit(0)).otherwise(
         F.lit(k) * (F.lit(1) + F.expr(f"(n - {limit} - 1) div {k}")))

@@ -15,7 +15,6 @@ from tracefold.operators.sweep import running_sums
 K_APP_START, K_EXEC_ADDED, K_JOB_START, K_STAGE_SUBMITTED = 0, 1, 2, 3
 K_TASK_START, K_TASK_END, K_STAGE_COMPLETED, K_JOB_END, K_EXEC_REMOVED, K_APP_END = 4, 5, 6, 7, 8, 9
 
-DEFAULT_BUCKET_MS = 60_000
 
 
 def event_points(tasks: DataFrame) -> DataFrame:
@@ -44,7 +43,7 @@ def capacity_points(executors: DataFrame) -> DataFrame:
     return added.unionByName(removed)
 
 
-def active_tasks_series(tasks: DataFrame, form: str = "step", bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
+def active_tasks_series(tasks: DataFrame, form: str = "step") -> DataFrame:
     """Number of running tasks per application over time.
 
     ``form="step"``: one row per distinct time, ``active`` after every event
@@ -54,10 +53,10 @@ def active_tasks_series(tasks: DataFrame, form: str = "step", bucket_ms: int = D
     pts = event_points(tasks)
     if form == "step":
         per_t = pts.groupBy("app_id", "t").agg(F.sum("delta").alias("delta"))
-        out = running_sums(per_t, ["app_id"], "t", ["delta"], bucket_ms)
+        out = running_sums(per_t, ["app_id"], "t", ["delta"])
         return out.select("app_id", "t", F.col("delta_run").alias("active"))
     if form == "chart":
-        out = running_sums(pts, ["app_id"], "t", ["delta"], bucket_ms, tiebreak=["kind_rank", "task_id"])
+        out = running_sums(pts, ["app_id"], "t", ["delta"], tiebreak=["kind_rank", "task_id"])
         after = F.col("delta_run")
         return out.select(
             "app_id", "task_id", "kind_rank", "t",
@@ -69,27 +68,27 @@ def active_tasks_series(tasks: DataFrame, form: str = "step", bucket_ms: int = D
     raise ValueError(f"unknown form {form!r}")
 
 
-def cores_series(executors: DataFrame, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
+def cores_series(executors: DataFrame) -> DataFrame:
     """Capacity (total executor cores) per application, one row per distinct change time."""
     per_t = capacity_points(executors).groupBy("app_id", "t").agg(F.sum("dcores").alias("dcores"))
-    out = running_sums(per_t, ["app_id"], "t", ["dcores"], bucket_ms)
+    out = running_sums(per_t, ["app_id"], "t", ["dcores"])
     return out.select("app_id", "t", F.col("dcores_run").alias("cores"))
 
 
-def capacity_sweep(tasks: DataFrame, executors: DataFrame, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
+def capacity_sweep(tasks: DataFrame, executors: DataFrame) -> DataFrame:
     """Merged step form: (app_id, t, active, cores, next_t) over all task and executor times."""
     a = event_points(tasks).select("app_id", "t", F.col("delta").alias("dactive"), F.lit(0).alias("dcores"))
     c = capacity_points(executors).select("app_id", "t", F.lit(0).alias("dactive"), "dcores")
     per_t = a.unionByName(c).groupBy("app_id", "t").agg(
         F.sum("dactive").alias("dactive"), F.sum("dcores").alias("dcores")
     )
-    out = running_sums(per_t, ["app_id"], "t", ["dactive", "dcores"], bucket_ms, next_time="next_t")
+    out = running_sums(per_t, ["app_id"], "t", ["dactive", "dcores"], next_time="next_t")
     return out.select(
         "app_id", "t", F.col("dactive_run").alias("active"), F.col("dcores_run").alias("cores"), "next_t"
     )
 
 
-def cores_asof(tasks: DataFrame, executors: DataFrame, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
+def cores_asof(tasks: DataFrame, executors: DataFrame) -> DataFrame:
     """Capacity known at each task event, in canonical order (one sweep, no as-of join).
 
     An executor added at the same millisecond counts, one removed at the same
@@ -103,7 +102,7 @@ def cores_asof(tasks: DataFrame, executors: DataFrame, bucket_ms: int = DEFAULT_
         "app_id", "t", "kind_rank", "entity", F.lit(None).cast("long").alias("task_id"),
         F.lit(0).alias("dactive"), "dcores",
     )
-    out = running_sums(t.unionByName(c), ["app_id"], "t", ["dactive", "dcores"], bucket_ms,
+    out = running_sums(t.unionByName(c), ["app_id"], "t", ["dactive", "dcores"],
                        tiebreak=["kind_rank", "entity"])
     return out.where(F.col("task_id").isNotNull()).select(
         "app_id", "task_id", "kind_rank", "t",
@@ -111,12 +110,12 @@ def cores_asof(tasks: DataFrame, executors: DataFrame, bucket_ms: int = DEFAULT_
     )
 
 
-def idle_core_time(tasks: DataFrame, executors: DataFrame, bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
+def idle_core_time(tasks: DataFrame, executors: DataFrame) -> DataFrame:
     """Per application, core-ms idle (cores above running tasks), busy and total capacity.
 
     Integrates the merged step function; the last open segment is dropped.
     """
-    s = capacity_sweep(tasks, executors, bucket_ms)
+    s = capacity_sweep(tasks, executors)
     dt = F.col("next_t") - F.col("t")
     return (
         s.where(F.col("next_t").isNotNull())

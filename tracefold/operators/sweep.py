@@ -1,29 +1,57 @@
-"""Bucketed prefix sums: the one building block of every series operator.
+"""Prefix sums over buckets of equal depth: the one building block of every series operator.
 
 A running sum ordered by time over a whole application would put the whole
 application in one task (and ``Window.orderBy`` without ``partitionBy`` would
 put the whole cluster history in one task). Instead:
 
-1. ``bucket = t div bucket_ms``;
-2. totals per ``(key, bucket)`` — a map-side-combined aggregate, one row per
-   non-empty bucket, so its size is bounded by the time span / ``bucket_ms``;
-3. a window over those totals per key gives each bucket its ``base`` (sum of
+1. a quantile sketch of all rows, in the order (hash of the key, time), gives the
+   borders of buckets of about equal depth, whatever the times look like and
+   whichever key holds most rows. The borders are a scalar subquery of a fixed
+   number of longs (``spark.sql.shuffle.partitions`` times ``PER_PARTITION``);
+2. a row's bucket is its place among the borders (two short searches);
+3. totals per ``(key, bucket)`` — a map-side-combined aggregate; a key has one row
+   for each border inside it, so keys without a border have one;
+4. a window over those totals per key gives each bucket its ``base`` (sum of
    all earlier buckets) and the first time of the next non-empty bucket;
-4. rows and totals meet in an equi-join on ``(key, bucket)``; the running sum
+5. rows and totals meet in an equi-join on ``(key, bucket)``; the running sum
    inside the bucket is a window partitioned by ``(key, bucket)`` that reuses
-   the join's hash partitioning (no extra exchange).
+   the join's hash partitioning (no extra exchange). Rows move once.
 
-A hot application is spread over as many tasks as it has buckets.
+A hot application, or one dense hour of it, is spread over as many groups as it
+has borders; small keys stay whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
+PER_PARTITION = 4
+TIME_BITS = 42  # epoch milliseconds up to the year 2109; later times share the last place
+
+
+def with_bucket(df: DataFrame, keys: Sequence[str], time_col: str, buckets: int | None = None) -> DataFrame:
+    """``df`` with ``BUCKET``: of equal depth over all rows, never decreasing with time inside a key.
+
+    A row without a time has none.
+    """
+    wanted = buckets or PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = max(2, math.isqrt(max(1, wanted - 1)) + 1)
+    t = F.least(F.greatest(F.col(time_col).cast("long"), F.lit(0)), F.lit((1 << TIME_BITS) - 1))
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << (63 - TIME_BITS))) * F.lit(1 << TIME_BITS) + t
+    fractions = [i / (side * side) for i in range(1, side * side)]
+    given = df.where(F.col(time_col).isNotNull()).select(place.alias("_place"))
+    borders = given.agg(F.percentile_approx("_place", fractions, max(10_000, 20 * side * side))).scalar()
+    rows = df.withColumns({"_place": place, "_borders": borders})
+    # every side-th border first, then those up to the next of these
+    passed = lambda part: F.size(F.filter(part, lambda b: b < F.col("_place")))
+    rows = rows.withColumn("_coarse", passed(F.filter("_borders", lambda b, i: (i + 1) % side == 0)))
+    bucket = F.col("_coarse") * side + passed(F.slice("_borders", F.col("_coarse") * side + 1, side - 1))
+    return rows.select(*df.columns, F.when(F.col(time_col).isNotNull(), bucket.cast("long")).alias(BUCKET))
 
 
 def running_sums(
@@ -31,11 +59,11 @@ def running_sums(
     keys: Sequence[str],
     time_col: str,
     values: Sequence[str],
-    bucket_ms: int,
     tiebreak: Sequence[str] = (),
     next_time: str | None = None,
     suffix: str = "_run",
     total_suffix: str | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add ``<v><suffix>`` = running sum of ``v`` over ``(time_col, *tiebreak)`` per ``keys``.
 
@@ -44,11 +72,12 @@ def running_sums(
     first. If ``next_time`` is given, adds the next row's time within the key
     (crossing bucket borders), NULL for the last row. If ``total_suffix`` is
     given, adds each value's total over the key (from the bucket totals).
+    ``buckets`` is the number of buckets of all keys together.
     """
     keys = list(keys)
     # the totals are combined before their small exchange; the rows move once, for
     # the join and the in-bucket window
-    b = df.withColumn(BUCKET, F.floor(F.col(time_col) / F.lit(bucket_ms)).cast("long"))
+    b = with_bucket(df, keys, time_col, buckets)
     aggs = [F.sum(v).alias(f"_tot_{v}") for v in values] + [F.min(time_col).alias("_first_t")]
     totals = b.groupBy(*keys, BUCKET).agg(*aggs)
     wb = Window.partitionBy(*keys).orderBy(BUCKET)

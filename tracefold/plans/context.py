@@ -23,9 +23,6 @@ from tracefold.sources.lifecycle import from_trace
 from tracefold.sources.store import LazyTables, open_entities, open_events, run_parallel, write_trace
 from tracefold.sources.testdata import TestdataTrace
 
-# test data spans years: 30-day buckets keep bucket totals small and buckets many
-BUCKET_MS = 30 * 86_400_000
-
 TRACE_TABLES = ["jobs", "tasks", "stages", "planned", "executors", "signals", "kernel_jobs"]
 
 _LOCK = threading.Lock()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracefold.operators import attribution, cells, retention, timeline
-from tracefold.plans.context import BUCKET_MS, Ctx
+from tracefold.plans.context import Ctx
 from tracefold.plans.oracle import with_adapter
 from tracefold.plans.q_entities import _SKIPPED
 from tracefold.plans.q_phases import _short
@@ -195,7 +195,7 @@ def _lists(c: Ctx):
 
 @register("T3_arrival_order", with_adapter("SELECT app_id, list, item_key, t, arrival_no FROM arr", _LISTS))
 def q_arrival_order(spark, sf_dir):
-    return retention.arrival_order(_lists(Ctx(spark, sf_dir)), BUCKET_MS)
+    return retention.arrival_order(_lists(Ctx(spark, sf_dir)))
 
 
 @register("W4_retain_recent", with_adapter(
@@ -204,7 +204,7 @@ def q_arrival_order(spark, sf_dir):
                                 ELSE {max(1, RETAINED // 10)} * (1 + (n - {RETAINED} - 1) // {max(1, RETAINED // 10)}) END""",
     _LISTS))
 def q_retain_recent(spark, sf_dir):
-    return retention.retain_recent(_lists(Ctx(spark, sf_dir)), RETAINED, BUCKET_MS)
+    return retention.retain_recent(_lists(Ctx(spark, sf_dir)), RETAINED)
 
 
 @register("W7_attempt_history", with_adapter(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracefold.operators import attribution, counters, entities
-from tracefold.plans.context import BUCKET_MS, Ctx
+from tracefold.plans.context import Ctx
 from tracefold.plans.oracle import with_adapter
 from tracefold.plans.registry import register
 
@@ -99,7 +99,7 @@ def q_attribute_planned(spark, sf_dir):
               CAST(n_failed AS BIGINT) AS n_failed, CAST(n_killed AS BIGINT) AS n_killed FROM act""", _ACTIVE_PAIRS))
 def q_attribute_active(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return attribution.attribute_active(c.lc, c.jobs, BUCKET_MS)
+    return attribution.attribute_active(c.lc, c.jobs)
 
 
 _NTASKS = """
@@ -122,7 +122,7 @@ ntasks AS (
     _ACTIVE_PAIRS + "," + _NTASKS))
 def q_job_task_counters(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return counters.job_task_counters(c.lc, c.jobs, "active", BUCKET_MS)
+    return counters.job_task_counters(c.lc, c.jobs, "active")
 
 
 _SKIPPED = """
@@ -375,4 +375,4 @@ def q_first_last_info(spark, sf_dir):
                            AND s.submission_ms >= e.replan_t AND s.submission_ms <= e.completion_ms)"""))
 def q_skipped_replanned(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return attribution.skipped_stages(c.lc, c.jobs, "replanned", BUCKET_MS)
+    return attribution.skipped_stages(c.lc, c.jobs, "replanned")

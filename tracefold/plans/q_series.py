@@ -7,7 +7,6 @@ from tracefold.plans.oracle import with_adapter
 from tracefold.plans.registry import register
 from tracefold.plans.context import Ctx
 
-from tracefold.plans.context import BUCKET_MS  # noqa: E402
 
 _POINTS = """
 pts AS (
@@ -31,7 +30,7 @@ def q_event_points(spark, sf_dir):
     ),
 )
 def q_active_tasks(spark, sf_dir):
-    return series.active_tasks_series(Ctx(spark, sf_dir).tasks, "step", BUCKET_MS)
+    return series.active_tasks_series(Ctx(spark, sf_dir).tasks, "step")
 
 
 @register(
@@ -46,7 +45,7 @@ def q_active_tasks(spark, sf_dir):
     ),
 )
 def q_active_chart(spark, sf_dir):
-    return series.active_tasks_series(Ctx(spark, sf_dir).tasks, "chart", BUCKET_MS)
+    return series.active_tasks_series(Ctx(spark, sf_dir).tasks, "chart")
 
 
 _CAP = """
@@ -68,7 +67,7 @@ cap AS (
     ),
 )
 def q_cores_series(spark, sf_dir):
-    return series.cores_series(Ctx(spark, sf_dir).executors, BUCKET_MS)
+    return series.cores_series(Ctx(spark, sf_dir).executors)
 
 
 @register(
@@ -90,7 +89,7 @@ def q_cores_series(spark, sf_dir):
 )
 def q_cores_asof(spark, sf_dir):
     tr = Ctx(spark, sf_dir)
-    return series.cores_asof(tr.tasks, tr.executors, BUCKET_MS)
+    return series.cores_asof(tr.tasks, tr.executors)
 
 
 IDLE_SQL = with_adapter(
@@ -119,7 +118,7 @@ IDLE_SQL = with_adapter(
 @register("A15_idle_core_time", IDLE_SQL)
 def q_idle_core_time(spark, sf_dir):
     tr = Ctx(spark, sf_dir)
-    return series.idle_core_time(tr.tasks, tr.executors, BUCKET_MS)
+    return series.idle_core_time(tr.tasks, tr.executors)
 
 
 @register(
