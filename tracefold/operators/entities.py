@@ -22,17 +22,22 @@ def _typed_null(df: DataFrame, struct_col: Column) -> Column:
     return F.lit(None).cast(dt)
 
 
-def _pair(start: DataFrame, end: DataFrame, keys: list[str], start_fields: list, end_fields: list) -> DataFrame:
+def _parts(start: DataFrame, end: DataFrame, keys: list[str], start_fields: list, end_fields: list) -> DataFrame:
+    """One row per event: the key and what it says of the start (``s``) or of the end (``e``)."""
     s_struct = F.struct(*start_fields)
     e_struct = F.struct(*end_fields)
-    s = start.select(*keys, s_struct.alias("s"), _typed_null(end, e_struct).alias("e"), F.col("t").alias("_t"))
-    e = end.select(*keys, _typed_null(start, s_struct).alias("s"), e_struct.alias("e"), F.col("t").alias("_t"))
-    u = s.unionByName(e)
-    first = F.struct(F.col("_t").isNull(), F.col("_t"), F.xxhash64("s"))
-    last = F.struct(F.col("_t").isNotNull(), F.col("_t"), F.xxhash64("e"))
-    return u.groupBy(*keys).agg(
+    s = start.select(*keys, s_struct.alias("s"), _typed_null(end, e_struct).alias("e"))
+    return s.unionByName(end.select(*keys, _typed_null(start, s_struct).alias("s"), e_struct.alias("e")))
+
+
+def merge_parts(parts: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """One row per key. Merging merged rows again, in any grouping and order, gives the same (live tables rely on it)."""
+    first = F.struct(F.col("s.t").isNull(), F.col("s.t"), F.xxhash64("s"))
+    last = F.struct(F.col("e.t").isNotNull(), F.col("e.t"), F.xxhash64("e"))
+    return parts.groupBy(*keys).agg(
         F.min_by("s", F.when(F.col("s").isNotNull(), first)).alias("s"),
         F.max_by("e", F.when(F.col("e").isNotNull(), last)).alias("e"),
+        *more,
     )
 
 
@@ -67,13 +72,19 @@ def task_status(end_reason: Column) -> Column:
 
 
 # J1 ----------------------------------------------------------------------
+JOB_KEY = ["app_id", "job_id"]
+
+
+def job_parts(lc: Lifecycle) -> DataFrame:
+    return _parts(lc.job_start, lc.job_end, JOB_KEY, ["t", "job_group", "name", "call_site", "stage_ids", "stage_infos"], ["t", "result"])
+
+
 def pair_jobs(lc: Lifecycle) -> DataFrame:
-    g = _pair(
-        lc.job_start, lc.job_end, ["app_id", "job_id"],
-        ["t", "job_group", "name", "call_site", "stage_ids", "stage_infos"],
-        ["t", "result"],
-    )
-    return g.select(
+    return jobs_of(merge_parts(job_parts(lc), JOB_KEY))
+
+
+def jobs_of(merged: DataFrame, *more: str) -> DataFrame:
+    return merged.select(
         "app_id", "job_id",
         F.col("s.job_group").alias("job_group"),
         F.col("s.name").alias("name"),
@@ -84,17 +95,25 @@ def pair_jobs(lc: Lifecycle) -> DataFrame:
         F.col("s").isNotNull().alias("has_start"),
         F.coalesce(F.col("s.stage_ids"), F.array().cast("array<bigint>")).alias("stage_ids"),
         F.col("s.stage_infos").alias("stage_infos"),
+        *more,
     )
 
 
 # J2 ----------------------------------------------------------------------
+STAGE_KEY = ["app_id", "stage_id", "stage_attempt"]
+
+
+def stage_parts(lc: Lifecycle) -> DataFrame:
+    return _parts(lc.stage_submitted, lc.stage_completed, STAGE_KEY, ["t", "name", "num_tasks", "parent_ids"],
+                  ["t", "submission_ms", "num_tasks", "failure_reason"])
+
+
 def pair_stages(lc: Lifecycle) -> DataFrame:
-    g = _pair(
-        lc.stage_submitted, lc.stage_completed, ["app_id", "stage_id", "stage_attempt"],
-        ["t", "name", "num_tasks", "parent_ids"],
-        ["t", "submission_ms", "num_tasks", "failure_reason"],
-    )
-    return g.select(
+    return stages_of(merge_parts(stage_parts(lc), STAGE_KEY))
+
+
+def stages_of(merged: DataFrame, *more: str) -> DataFrame:
+    return merged.select(
         "app_id", "stage_id", "stage_attempt",
         F.col("s.name").alias("name"),
         F.coalesce(F.col("s.num_tasks"), F.col("e.num_tasks")).alias("num_tasks"),
@@ -103,6 +122,7 @@ def pair_stages(lc: Lifecycle) -> DataFrame:
         stage_status(F.col("s").isNotNull(), F.col("e").isNotNull(), F.col("e.failure_reason")).alias("status"),
         F.col("e.failure_reason").alias("failure_reason"),
         F.coalesce(F.col("s.parent_ids"), F.array().cast("array<bigint>")).alias("parent_ids"),
+        *more,
     )
 
 
@@ -110,14 +130,21 @@ def pair_stages(lc: Lifecycle) -> DataFrame:
 TASK_INFO = ["stage_id", "stage_attempt", "task_index", "attempt", "executor_id", "host", "speculative"]
 
 
+TASK_KEY = ["app_id", "task_id"]
+
+
+def task_parts(lc: Lifecycle) -> DataFrame:
+    return _parts(lc.task_start, lc.task_end, TASK_KEY, ["t", *TASK_INFO],
+                  ["t", "launch_ms", *TASK_INFO, "task_type", "end_reason", "error_message", "getting_result_at", "metrics"])
+
+
 def pair_tasks(lc: Lifecycle) -> DataFrame:
-    g = _pair(
-        lc.task_start, lc.task_end, ["app_id", "task_id"],
-        ["t", *TASK_INFO],
-        ["t", "launch_ms", *TASK_INFO, "task_type", "end_reason", "error_message", "getting_result_at", "metrics"],
-    )
+    return tasks_of(merge_parts(task_parts(lc), TASK_KEY))
+
+
+def tasks_of(merged: DataFrame, *more: str) -> DataFrame:
     info = [F.coalesce(F.col(f"s.{c}"), F.col(f"e.{c}")).alias(c) for c in TASK_INFO]
-    return g.select(
+    return merged.select(
         "app_id", "task_id", *info,
         task_status(F.col("e.end_reason")).alias("status"),
         F.coalesce(F.col("s.t"), F.col("e.launch_ms")).alias("launch_ms"),
@@ -128,14 +155,15 @@ def pair_tasks(lc: Lifecycle) -> DataFrame:
         F.col("e.getting_result_at").alias("getting_result_at"),
         F.col("e.metrics").alias("metrics"),
         F.col("s").isNotNull().alias("has_start"),
+        *more,
     )
 
 
 # J4 ----------------------------------------------------------------------
 def pair_executors(lc: Lifecycle) -> DataFrame:
     """Added left-joined with removed (one groupBy); cores of an unknown executor count 0."""
-    g = _pair(lc.exec_added, lc.exec_removed, ["app_id", "executor_id"], ["t", "host", "cores"], ["t", "reason"])
-    return g.select(
+    parts = _parts(lc.exec_added, lc.exec_removed, ["app_id", "executor_id"], ["t", "host", "cores"], ["t", "reason"])
+    return merge_parts(parts, ["app_id", "executor_id"]).select(
         "app_id", "executor_id",
         F.col("s.host").alias("host"),
         F.coalesce(F.col("s.cores"), F.lit(0).cast("long")).alias("cores"),

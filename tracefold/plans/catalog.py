@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracefold.plans import q_cells, q_entities, q_misc, q_phases, q_series, q_sources  # noqa: F401
+from tracefold.plans import q_cells, q_entities, q_misc, q_phases, q_series, q_sources, q_streams  # noqa: F401
 from tracefold.plans.registry import REGISTRY, Query
 
 
