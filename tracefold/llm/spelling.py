@@ -15,7 +15,7 @@
 The own path is never searched for, and a state meets at most one edge per letter of the alphabet, so the work
 is words times letters; no two words are ever paired but through a path both have. Words of more than
 ``DEEP`` letters, which would need as many levels, meet by hashed one-deletion keys instead (``long_pairs``):
-exact as well, linear in their letters. Each level is written to the shared folder.
+exact as well, linear in their letters. The frontier is written to the shared folder after every ``LEVELS`` levels.
 
 Edge cases: a null text has no words; a null id counts as the text '' in the checksum; repeated rows count
 once each; texts without words, and an empty table, give an empty result; extra columns are not read.
@@ -39,6 +39,7 @@ MIN_COUNT = 5
 RATIO = 5
 SLIP = 199
 DEEP = 64
+LEVELS = 4
 FLUSH = 200_000
 
 #: Latin-1 bytes: A-Z to lower case, letters as they are, anything else a blank.
@@ -151,16 +152,26 @@ def frontier(words: DataFrame) -> DataFrame:
     last = (F.col("pos") + 1 == F.col("size")) | (here != _letter(F.col("pos") + 1))
     left = own.where((F.col("pos") < F.col("size")) & last).withColumn("pos", F.col("pos") + 1)
     left = left.join(edges.select(F.col("child").alias("node"), "mask", "ends"), "node")
-    now = written(_landed(taken.select(*STATE, "mask", "ends").unionByName(left.select(*STATE, "mask", "ends"))), "frontier")
-    found = [now]
-    while not now.where("met IS NULL").isEmpty():
-        ahead = now.where("met IS NULL").select("word", "s", "size", (F.col("pos") + 1).alias("pos"), F.xxhash64("node", _letter("pos")).alias("node"))
-        now = written(_landed(ahead.join(edges.select(F.col("child").alias("node"), "mask", "ends"), "node")), "frontier")
-        found.append(now)
+    now = _landed(taken.select(*STATE, "mask", "ends").unionByName(left.select(*STATE, "mask", "ends")))
+    nodes = edges.select(F.col("child").alias("at"), "mask", "ends")
+    over, found = F.col("met").isNotNull(), []
+    while True:
+        now = written(now, "frontier")
+        found.append(now.where(over).select("word", "met"))
+        now = now.where(~over)
+        if now.isEmpty():
+            break
+        for _ in range(LEVELS):
+            # states that are over ask for a node that is none, and stay
+            at = F.when(over, F.xxhash64("word", "node", F.lit("over"))).otherwise(F.xxhash64("node", _letter("pos")))
+            ahead = now.select("word", "s", "size", F.when(over, F.col("pos")).otherwise(F.col("pos") + 1).alias("pos"), at.alias("at"), "met")
+            step = ahead.join(nodes, "at", "left").where(over | (F.col("mask").isNotNull() & _alive()))
+            met = F.when(over, F.col("met")).when(F.col("pos") == F.col("size"), F.col("ends"))
+            now = step.select("word", "s", "size", "pos", F.col("at").alias("node"), met.alias("met"))
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionByName(more)
-    hits = hits.where("met IS NOT NULL").select("word", F.col("met.word").alias("near"), F.col("met.n").alias("n"))
+    hits = hits.select("word", F.col("met.word").alias("near"), F.col("met.n").alias("n"))
     return hits.where(F.levenshtein("word", "near") == 1).distinct()
 
 
