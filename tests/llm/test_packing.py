@@ -62,3 +62,21 @@ def test_patterns_cover_the_demand():
 def test_awkward_rows(awkward, empty):
     verify(pack(awkward, PATH).collect(), [(r.doc_id, r.text) for r in awkward.collect()])
     assert pack(empty, PATH).count() == 0
+
+
+def test_every_plain_letter_has_the_tokenizers_ids():
+    ours = WordTokenizer(PATH)
+    for code in range(1, 0x250):
+        c = chr(code)
+        for text in (c, f"a{c}b", f"A{c}", f"{c}B 1", f"'{c}'s", f"it{c}'ll", f"!{c}!", f"{c}{c.lower()} {c.upper()}", f"x {c} y", f"9{c}9"):
+            assert ours.ids(text).tolist() == ours.full.encode(text, add_special_tokens=False).ids, (hex(code), text)
+    for text in ("Ə! Əli", "aƁb", "İstanbul", "Ⱥ Ɐ K ſ"):
+        assert ours.ids(text).tolist() == ours.full.encode(text, add_special_tokens=False).ids
+
+
+def test_random_strings_of_plain_letters():
+    ours, rng = WordTokenizer(PATH), np.random.default_rng(5)
+    letters = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(161, 0x250))]
+    for _ in range(4000):
+        text = "".join(rng.choice(letters, int(rng.integers(1, 12))))
+        assert ours.ids(text).tolist() == ours.full.encode(text, add_special_tokens=False).ids, repr(text)

@@ -69,7 +69,10 @@ class WordTokenizer:
     def _learn(self, done: int) -> None:
         fresh = [*islice(reversed(self.known), len(self.known) - done)][::-1]  # the words added last
         coded = self.full.encode(" ".join(fresh), add_special_tokens=False)  # a blank parts words and has no id
-        sizes = np.bincount(np.asarray(coded.word_ids, np.int64), minlength=len(fresh))
+        sizes, ids = np.bincount(np.asarray(coded.word_ids, np.int64), minlength=len(fresh)), coded.ids
+        if len(sizes) != len(fresh):  # the tokenizer saw other words than we did: each is encoded alone
+            alone = self.full.encode_batch(fresh, add_special_tokens=False)
+            sizes, ids = np.array([len(c.ids) for c in alone], np.int64), [i for c in alone for i in c.ids]
         n = len(self.known)
         if n > len(self.start):
             self.start = np.concatenate([self.start, np.zeros(n, np.int64)])
@@ -79,16 +82,17 @@ class WordTokenizer:
             self.flat = np.concatenate([self.flat, np.zeros(self.used + total, np.uint32)])
         self.size[done:n] = sizes
         self.start[done:n] = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.flat[self.used : self.used + total] = coded.ids
+        self.flat[self.used : self.used + total] = ids
         self.used += total
 
     def ids(self, text: str) -> np.ndarray:
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        low = text.lower()  # some capital letters have their small one far away: Ə, Ɓ, Ⱥ
+        if not (PLAIN.fullmatch(text) and PLAIN.fullmatch(low)) or any(s in text for s in self.special):
             return np.asarray(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(self.known) > self.words:
             self._clear()
         known, done = self.known, len(self.known)
-        words = SPLIT.findall(text.lower())
+        words = SPLIT.findall(low)
         codes = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
         if len(known) > done:
             self._learn(done)
