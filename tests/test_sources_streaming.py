@@ -214,34 +214,6 @@ def test_rolling_event_log_layout(spark, scratch):
     assert (j["app_id"], j["job_group"]) == ("app-7", "g")
 
 
-def test_stream_completion_signal_equals_batch(spark, sf001, scratch):
-    from tracefold.operators import cells as batch_cells
-    from tracefold.streaming import cells as stream_cells
-
-    tr = TestdataTrace(spark, sf001)
-    rows = stream_cells.kernel_rows(tr.signals, tr.kernel_jobs)
-    src = os.path.join(scratch, "kernel_rows")
-    # time-sliced files so that every micro-batch is later than the previous one
-    rows.withColumn("slice", F.floor(F.col("t") / F.lit(5 * 86_400_000))).write.partitionBy("slice").parquet(src)
-    files = sorted(glob.glob(os.path.join(src, "slice=*")), key=lambda p: int(p.rsplit("=", 1)[1]))
-    land = os.path.join(scratch, "landing")
-    os.makedirs(land)
-    stream = spark.readStream.schema(rows.schema).parquet(land)  # one whole time slice per micro-batch
-    q = live.start(stream_cells.stream_completion_signal(stream), "completion_test", mode="append",
-                   trigger={"processingTime": "100 milliseconds"}, checkpoint=os.path.join(scratch, "c4"))
-    for i, f in enumerate(files):
-        for part in glob.glob(os.path.join(f, "*.parquet")):
-            os.link(part, os.path.join(land, f"{i:04d}-" + os.path.basename(part)))
-        q.processAllAvailable()
-    q.stop()
-    got = spark.table("completion_test")
-    runs = batch_cells.cell_runs(tr.signals)
-    jc = batch_cells.attribute_cells(tr.kernel_jobs, runs)
-    want = batch_cells.completion_signal(runs, jc, tr.kernel_jobs).where(F.col("completed_ms").isNotNull())
-    cols = ["kernel_id", "run_no", "cell_id", "end_ms", "num_jobs", "completed_ms"]
-    assert _rows(got, cols) == _rows(want, cols)
-
-
 def test_write_and_open_trace_store(spark, sf001, scratch):
     from tracefold.sources import store
 

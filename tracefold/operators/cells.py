@@ -22,11 +22,10 @@ from tracefold.operators.sweep import BUCKET, running_sums, with_bucket
 
 def _running_min(df: DataFrame, key: str, t: str, tiebreak: str, v: str) -> DataFrame:
     """Add ``<v>_min`` (running min incl. the row) and ``<v>_min_prev`` (before the row), bucketed."""
-    b = with_bucket(df, [key], t)
-    bm = b.groupBy(key, BUCKET).agg(F.min(v).alias("_bmin"))
+    bm = df.groupBy(key, BUCKET).agg(F.min(v).alias("_bmin"))
     wb = Window.partitionBy(key).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     bm = bm.select(key, BUCKET, F.min("_bmin").over(wb).alias("_prev_min"))
-    j = b.join(bm, [key, BUCKET])
+    j = df.join(bm, [key, BUCKET])
     w = Window.partitionBy(key, BUCKET).orderBy(t, tiebreak)
     incl = F.min(v).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     excl = F.min(v).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -44,6 +43,7 @@ def cell_runs(signals: DataFrame) -> DataFrame:
         F.when(F.col("signal") == "execute", 1).otherwise(-1).alias("d"),
         F.when(F.col("signal") == "execute", 1).otherwise(0).alias("is_exec"),
     )
+    s = with_bucket(s, ["kernel_id"], "ts_ms")  # one set of borders for all sweeps below
     r = running_sums(s, ["kernel_id"], "ts_ms", ["d", "is_exec"], tiebreak=["seq"])
     r = r.withColumnRenamed("d_run", "S").withColumnRenamed("is_exec_run", "exec_no")
     r = _running_min(r, "kernel_id", "ts_ms", "seq", "S")
@@ -51,7 +51,7 @@ def cell_runs(signals: DataFrame) -> DataFrame:
     m = F.least(zero, F.col("S_min"))
     m_prev = F.least(zero, F.coalesce(F.col("S_min_prev"), zero))
     r = r.withColumn("eff", ((F.col("signal") == "idle") & (m == m_prev)).cast("int"))
-    r = r.select("kernel_id", "seq", "cell_id", "ts_ms", "signal", "exec_no", "eff")
+    r = r.select("kernel_id", "seq", "cell_id", "ts_ms", "signal", "exec_no", "eff", BUCKET)
     idles = running_sums(r.where(F.col("eff") == 1), ["kernel_id"], "ts_ms", ["eff"], tiebreak=["seq"])
     # the k-th effective idle ends run k and lets run k+1 start: one keyed aggregate, no self join
     ends = idles.select(

@@ -6,8 +6,8 @@ put the whole cluster history in one task). Instead:
 
 1. a quantile sketch of all rows, in the order (hash of the key, time), gives the
    borders of buckets of about equal depth, whatever the times look like and
-   whichever key holds most rows. The borders are a scalar subquery of a fixed
-   number of longs (``spark.sql.shuffle.partitions`` times ``PER_PARTITION``);
+   whichever key holds most rows. The borders are one broadcast row of a fixed number
+   of longs (``spark.sql.shuffle.partitions`` times ``PER_PARTITION``);
 2. a row's bucket is its place among the borders (two short searches);
 3. totals per ``(key, bucket)`` — a map-side-combined aggregate; a key has one row
    for each border inside it, so keys without a border have one;
@@ -44,9 +44,11 @@ def with_bucket(df: DataFrame, keys: Sequence[str], time_col: str, buckets: int
     t = F.least(F.greatest(F.col(time_col).cast("long"), F.lit(0)), F.lit((1 << TIME_BITS) - 1))
     place = F.pmod(F.xxhash64(*keys), F.lit(1 << (63 - TIME_BITS))) * F.lit(1 << TIME_BITS) + t
     fractions = [i / (side * side) for i in range(1, side * side)]
-    given = df.where(F.col(time_col).isNotNull()).select(place.alias("_place"))
-    borders = given.agg(F.percentile_approx("_place", fractions, max(10_000, 20 * side * side))).scalar()
-    rows = df.withColumns({"_place": place, "_borders": borders})
+    placed = df.withColumn("_place", F.when(F.col(time_col).isNotNull(), place))
+    # one row, met by a key that is zero for every row with a time
+    borders = placed.agg(F.percentile_approx("_place", fractions, max(10_000, 20 * side * side)).alias("_borders"))
+    borders = borders.select("_borders", (F.size("_borders") * 0).cast("long").alias("_key"))
+    rows = placed.withColumn("_key", F.pmod(F.col("_place"), F.lit(1))).join(F.broadcast(borders), "_key", "left")
     # every side-th border first, then those up to the next of these
     passed = lambda part: F.size(F.filter(part, lambda b: b < F.col("_place")))
     rows = rows.withColumn("_coarse", passed(F.filter("_borders", lambda b, i: (i + 1) % side == 0)))
@@ -72,12 +74,13 @@ def running_sums(
     first. If ``next_time`` is given, adds the next row's time within the key
     (crossing bucket borders), NULL for the last row. If ``total_suffix`` is
     given, adds each value's total over the key (from the bucket totals).
-    ``buckets`` is the number of buckets of all keys together.
+    ``buckets`` is the number of buckets of all keys together. A frame that has its ``BUCKET`` already (by the same
+    keys and time) keeps it, so that sweeps over sweeps sketch their rows once.
     """
     keys = list(keys)
     # the totals are combined before their small exchange; the rows move once, for
     # the join and the in-bucket window
-    b = with_bucket(df, keys, time_col, buckets)
+    b = df if BUCKET in df.columns else with_bucket(df, keys, time_col, buckets)
     aggs = [F.sum(v).alias(f"_tot_{v}") for v in values] + [F.min(time_col).alias("_first_t")]
     totals = b.groupBy(*keys, BUCKET).agg(*aggs)
     wb = Window.partitionBy(*keys).orderBy(BUCKET)

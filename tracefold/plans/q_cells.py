@@ -141,8 +141,7 @@ def q_inherit_cell(spark, sf_dir):
     return cells.inherit_cell(ends, jc, ["kernel_id", "job_id"])
 
 
-@register("R6_completion_signal", with_adapter(
-    """SELECT r.kernel_id, r.run_no, r.cell_id, r.end_ms, coalesce(e.num_jobs, 0) AS num_jobs,
+R6_SQL = """SELECT r.kernel_id, r.run_no, r.cell_id, r.end_ms, coalesce(e.num_jobs, 0) AS num_jobs,
               CASE WHEN coalesce(e.open_jobs, 0) = 0 THEN greatest(r.end_ms, e.last_job_end_ms) END AS completed_ms
        FROM runs r LEFT JOIN (
          SELECT jc.kernel_id, jc.run_no, max(j.end_ms) AS last_job_end_ms, count(*) AS num_jobs,
@@ -150,7 +149,10 @@ def q_inherit_cell(spark, sf_dir):
          FROM jc JOIN v_kernel_jobs j ON j.kernel_id = jc.kernel_id AND j.job_id = jc.job_id
          WHERE jc.run_no IS NOT NULL GROUP BY jc.kernel_id, jc.run_no) e
          ON e.kernel_id = r.kernel_id AND e.run_no = r.run_no
-       WHERE r.end_ms IS NOT NULL""", _RUNS))
+       WHERE r.end_ms IS NOT NULL"""
+
+
+@register("R6_completion_signal", with_adapter(R6_SQL, _RUNS))
 def q_completion_signal(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     runs = _runs(c)
@@ -158,13 +160,15 @@ def q_completion_signal(spark, sf_dir):
     return cells.completion_signal(runs, jc, c.tr.kernel_jobs)
 
 
-@register("R10_cell_sessions", with_adapter(
-    f"""SELECT kernel_id, min(start_ms) AS first_ms, max(start_ms) AS last_ms, count(*) AS num_jobs
+R10_SQL = f"""SELECT kernel_id, min(start_ms) AS first_ms, max(start_ms) AS last_ms, count(*) AS num_jobs
         FROM (SELECT *, sum(CASE WHEN prev IS NULL OR start_ms - prev >= {SESSION_GAP_MS} THEN 1 ELSE 0 END)
                           OVER (PARTITION BY kernel_id ORDER BY start_ms, job_id ROWS UNBOUNDED PRECEDING) AS sid
               FROM (SELECT *, lag(start_ms) OVER (PARTITION BY kernel_id ORDER BY start_ms, job_id) AS prev
                     FROM v_kernel_jobs) a) b
-        GROUP BY kernel_id, sid"""))
+        GROUP BY kernel_id, sid"""
+
+
+@register("R10_cell_sessions", with_adapter(R10_SQL))
 def q_cell_sessions(spark, sf_dir):
     return cells.cell_sessions(Ctx(spark, sf_dir).tr.kernel_jobs, SESSION_GAP_MS)
 
