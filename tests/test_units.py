@@ -281,3 +281,32 @@ def test_bucket_borders_follow_the_rows(spark):
     want = got.groupby("app")["t"].shift(-1)
     assert (got["nt"].fillna(-1) == want.fillna(-1)).all()
     assert (got["d_all"] == got.groupby("app")["d"].transform("sum")).all()
+
+
+def test_merge_tree_takes_few_partials_at_a_time(spark):
+    """A user's merge sees at most FAN_IN partials, or one partition's own, of one key."""
+    from tracefold.operators import hist
+
+    spec = hist.HistSpec("h", "id", 0, 100, 4)
+    most = hist.FAN_IN
+
+    def merge(pdf):
+        assert len(pdf) <= most and pdf["bin"].nunique() == 1
+        return hist.add_counts(pdf)
+
+    got = hist.process_and_merge(spark.range(0, 100, 1, 40), hist.numpy_fill([spec]), merge=merge)
+    assert sorted((r["bin"], r["count"]) for r in got.collect()) == [(1, 25), (2, 25), (3, 25), (4, 25)]
+
+
+def test_median_by_rank(spark):
+    import statistics
+
+    from tracefold.operators.findings import stage_median_duration
+
+    rng = random.Random(4)
+    rows = [("a", s, 0, 0, rng.choice([rng.randrange(40), 7])) for s in range(12) for _ in range(rng.randrange(1, 40))]
+    tasks = spark.createDataFrame(rows, "app_id string, stage_id long, stage_attempt int, launch_ms long, finish_ms long")
+    med = stage_median_duration(tasks)
+    assert "percentile(" not in med._jdf.queryExecution().executedPlan().toString()
+    want = {s: (statistics.median(d), len(d)) for s in range(12) if (d := [r[4] for r in rows if r[1] == s])}
+    assert {r.stage_id: (r.median_ms, r.n_finished) for r in med.collect()} == want

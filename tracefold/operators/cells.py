@@ -84,25 +84,56 @@ def latest_run_per_cell(runs: DataFrame) -> DataFrame:
 
 
 def attribute_cells(kernel_jobs: DataFrame, runs: DataFrame) -> DataFrame:
-    """A job belongs to the cell running at its start (NULL if none: J12).
+    """A job belongs to the cell running at its start (NULL if none: J12)."""
+    return _running_cell(kernel_jobs.select("kernel_id", "job_id", "start_ms"), "job_id", "start_ms", runs)
 
-    As-of in set form: the number of run starts at or before the job start
-    is the run number of the latest started run; it owns the job iff the job
-    starts before that run ended.
+
+def attribute_stages(submissions: DataFrame, runs: DataFrame) -> DataFrame:
+    """J10 for stages: each submission ``(kernel_id, job_id, stage_id, t)`` belongs to the cell running at its time."""
+    own = submissions.select("kernel_id", "job_id", "stage_id", "t", F.xxhash64("stage_id", "job_id").alias("_id"))
+    at = _running_cell(own.select("kernel_id", "_id", "t"), "_id", "t", runs)
+    return own.join(at, ["kernel_id", "_id", "t"]).select("kernel_id", "stage_id", "job_id", "t", "run_no", "cell_id")
+
+
+def inherit_stage_cell(events: DataFrame, stage_cells: DataFrame) -> DataFrame:
+    """J11 for tasks: an event ``(kernel_id, stage_id, event_id, t, ...)`` takes the cell of the latest submission of its stage.
+
+    A stage may be submitted again from another cell, so this is an as-of look-up: one marker sweep per
+    (kernel, stage) numbers the submissions, an event reads the number before it and fetches that submission by an
+    equi-join. Submissions without a running cell leave the stage where it was; at equal times the submission is first.
+    """
+    known = stage_cells.where(F.col("cell_id").isNotNull())
+    carried = [c for c in events.columns if c not in ("kernel_id", "stage_id", "t", "event_id")]
+    marks = known.select("kernel_id", "stage_id", "t", F.lit(0).alias("kind"), F.col("job_id").alias("eid"), F.lit(1).alias("d"),
+                         *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in carried])
+    asks = events.select("kernel_id", "stage_id", "t", F.lit(1).alias("kind"), F.col("event_id").alias("eid"), F.lit(0).alias("d"), *carried)
+    r = running_sums(marks.unionByName(asks), ["kernel_id", "stage_id"], "t", ["d"], tiebreak=["kind", "eid"])
+    numbered = running_sums(known.withColumn("d", F.lit(1)), ["kernel_id", "stage_id"], "t", ["d"], tiebreak=["job_id"])
+    numbered = numbered.select("kernel_id", "stage_id", F.col("d_run").alias("k"), "run_no", "cell_id")
+    asked = r.where("kind = 1").select("kernel_id", "stage_id", "t", F.col("eid").alias("event_id"), *carried, F.col("d_run").alias("k"))
+    return asked.join(numbered, ["kernel_id", "stage_id", "k"], "left").drop("k")
+
+
+def _running_cell(events: DataFrame, key: str, time_col: str, runs: DataFrame) -> DataFrame:
+    """``events(kernel_id, key, time)`` with the run and cell that were running, or NULLs.
+
+    As-of in set form: the number of run starts at or before the event
+    is the run number of the latest started run; it owns the event iff that
+    comes before the run ended.
     """
     started = runs.where(F.col("start_ms").isNotNull())
     marks = started.select("kernel_id", F.col("start_ms").alias("t"), F.lit(0).alias("kind"),
-                           F.col("run_no").alias("eid"), F.lit(1).alias("d"), F.lit(None).cast("long").alias("job_id"))
-    jobs = kernel_jobs.select("kernel_id", F.col("start_ms").alias("t"), F.lit(1).alias("kind"),
-                              F.col("job_id").alias("eid"), F.lit(0).alias("d"), "job_id")
-    r = running_sums(marks.unionByName(jobs), ["kernel_id"], "t", ["d"], tiebreak=["kind", "eid"])
-    j = r.where(F.col("job_id").isNotNull()).select("kernel_id", "job_id", F.col("t").alias("start_ms"),
-                                                    F.col("d_run").alias("run_no"))
+                           F.col("run_no").alias("eid"), F.lit(1).alias("d"), F.lit(None).cast("long").alias("own_id"))
+    rows = events.select("kernel_id", F.col(time_col).alias("t"), F.lit(1).alias("kind"),
+                         F.col(key).alias("eid"), F.lit(0).alias("d"), F.col(key).alias("own_id"))
+    r = running_sums(marks.unionByName(rows), ["kernel_id"], "t", ["d"], tiebreak=["kind", "eid"])
+    j = r.where(F.col("kind") == 1).select("kernel_id", F.col("own_id").alias(key), F.col("t").alias(time_col),
+                                           F.col("d_run").alias("run_no"))
     rr = started.select("kernel_id", "run_no", "cell_id", F.col("end_ms").alias("run_end_ms"))
     out = j.join(rr, ["kernel_id", "run_no"], "left")
-    inside = F.col("cell_id").isNotNull() & (F.col("run_end_ms").isNull() | (F.col("start_ms") < F.col("run_end_ms")))
+    inside = F.col("cell_id").isNotNull() & (F.col("run_end_ms").isNull() | (F.col(time_col) < F.col("run_end_ms")))
     return out.select(
-        "kernel_id", "job_id", "start_ms",
+        "kernel_id", key, time_col,
         F.when(inside, F.col("run_no")).alias("run_no"), F.when(inside, F.col("cell_id")).alias("cell_id"),
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions.columns import error_message
+from tracefold.operators.sweep import running_sums
 
 STAGE_KEY = ["app_id", "stage_id", "stage_attempt"]
 
@@ -13,17 +14,23 @@ STAGE_KEY = ["app_id", "stage_id", "stage_attempt"]
 def stage_median_duration(tasks: DataFrame, approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Median task duration per stage attempt.
 
-    Exact form: counts are first combined per (stage, duration) so the final
-    aggregate holds one entry per distinct duration, not one per task.
-    ``approx=True`` uses ``percentile_approx`` (fixed memory per group).
+    Exact form, by rank: counts per (stage, duration), their running sum over the durations (bucketed, so a
+    stage of any size is spread over tasks), and the one or two durations in whose ranks the middle lies. No
+    group buffers its durations. ``approx=True`` uses ``percentile_approx`` (fixed memory per group).
     """
     d = tasks.where(F.col("finish_ms").isNotNull()).select(*STAGE_KEY, (F.col("finish_ms") - F.col("launch_ms")).alias("d"))
     if approx:
         return d.groupBy(*STAGE_KEY).agg(
             F.percentile_approx("d", 0.5, accuracy).cast("double").alias("median_ms"), F.count(F.lit(1)).alias("n_finished"))
     per_value = d.groupBy(*STAGE_KEY, "d").agg(F.count(F.lit(1)).alias("freq"))
-    return per_value.groupBy(*STAGE_KEY).agg(
-        F.percentile("d", F.lit(0.5), F.col("freq")).alias("median_ms"), F.sum("freq").alias("n_finished"))
+    r = running_sums(per_value, STAGE_KEY, "d", ["freq"], total_suffix="_all")
+    n, upto = F.col("freq_all"), F.col("freq_run")
+    below = upto - F.col("freq")
+    holds = lambda rank: (below <= rank) & (rank < upto)
+    lower, upper = F.floor((n - 1) / 2), F.floor(n / 2)  # ranks from 0; the same one if n is odd
+    middle = r.where(holds(lower) | holds(upper))
+    return middle.groupBy(*STAGE_KEY).agg(
+        ((F.min("d") + F.max("d")) / 2).cast("double").alias("median_ms"), F.max("freq_all").alias("n_finished"))
 
 
 def stragglers(tasks: DataFrame, factor: float = 1.5, approx: bool = False) -> DataFrame:

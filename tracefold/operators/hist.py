@@ -14,6 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
+
+
+FAN_IN = 16  # partials that one merge step takes
 
 
 @dataclass(frozen=True)
@@ -65,21 +69,44 @@ def numpy_fill(specs: list[HistSpec]) -> Callable[[Iterator[pd.DataFrame]], Iter
     return fill
 
 
+def add_counts(partials: pd.DataFrame) -> pd.DataFrame:
+    """A merge function for ``process_and_merge``: partials of one key added up."""
+    return partials.groupby(["hist", "bin"], as_index=False)["count"].sum()
+
+
 def process_and_merge(df: DataFrame, fill, merge: str = "sum",
                       schema: str = "hist string, bin bigint, count bigint") -> DataFrame:
     """User ``fill`` per partition (mapInPandas) then an associative merge by key.
 
     ``merge="sum"`` adds counts with a built-in aggregate (partial + final);
-    a callable merges the partial frames of one key in pandas (groupBy.applyInPandas).
+    a callable merges partial frames of one key in pandas. Each partition first merges its own partials, then they
+    are merged in levels, at most ``FAN_IN`` at a time, so no group grows with the number of partitions. The callable
+    gets and returns frames of ``schema`` with one key each, and must be associative.
     """
-    partial = df.mapInPandas(fill, schema)
     if merge == "sum":
+        partial = df.mapInPandas(fill, schema)
         return partial.groupBy("hist", "bin").agg(F.sum("count").cast("long").alias("count"))
 
-    def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return merge(pdf)
+    columns = [f.name for f in _parse_datatype_string(schema).fields]
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        given = [p for p in fill(batches) if len(p)]
+        if given:
+            merged = [merge(g[columns]) for _, g in pd.concat(given).groupby(["hist", "bin"], sort=False)]
+            yield pd.concat(merged).assign(_part=TaskContext.get().partitionId())
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = pdf["_part"].iloc[0] // FAN_IN
+        return (merge(pdf[columns]) if len(pdf) > 1 else pdf[columns]).assign(_part=part)
 
-    return partial.groupBy("hist", "bin").applyInPandas(_merge, schema)
+    left, parts = df.rdd.getNumPartitions(), df.mapInPandas(own, f"{schema}, _part bigint")
+    while True:
+        parts = parts.groupBy("hist", "bin", F.floor(F.col("_part") / FAN_IN)).applyInPandas(together, f"{schema}, _part bigint")
+        left = -(-left // FAN_IN)
+        if left <= 1:
+            return parts.select(*columns)
 
 
 def read_partitioned(spark: SparkSession, paths: list[str], n: int | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ from tracefold.sources.lifecycle import from_trace
 from tracefold.sources.store import LazyTables, open_entities, open_events, run_parallel, write_trace
 from tracefold.sources.testdata import TestdataTrace
 
-TRACE_TABLES = ["jobs", "tasks", "stages", "planned", "executors", "signals", "kernel_jobs"]
+TRACE_TABLES = ["jobs", "tasks", "stages", "planned", "executors", "signals", "kernel_jobs", "kernel_stages", "kernel_task_events"]
 
 _LOCK = threading.Lock()
 _STORE: dict[tuple[str, str], str] = {}

@@ -141,6 +141,37 @@ def q_inherit_cell(spark, sf_dir):
     return cells.inherit_cell(ends, jc, ["kernel_id", "job_id"])
 
 
+_STAGE_CELLS = _RUNS + """,
+sc AS (
+  SELECT j.kernel_id, j.job_id % 5 AS stage_id, j.job_id, j.start_ms + 1000 AS t, r.run_no, r.cell_id
+  FROM v_kernel_jobs j LEFT JOIN runs r ON r.kernel_id = j.kernel_id AND r.start_ms IS NOT NULL
+       AND r.start_ms <= j.start_ms + 1000 AND (r.end_ms IS NULL OR j.start_ms + 1000 < r.end_ms)),
+tev AS (
+  SELECT kernel_id, job_id % 5 AS stage_id, job_id * 2 + i AS task_id, 'task_start' AS event, start_ms + 2000 + i * 1000 AS t
+  FROM v_kernel_jobs CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1) x
+  UNION ALL
+  SELECT kernel_id, job_id % 5, job_id * 2 + i, 'task_end', end_ms + 3000 + i * 500
+  FROM v_kernel_jobs CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1) x)
+"""
+
+
+@register("J10_attribute_stages", with_adapter("SELECT kernel_id, stage_id, job_id, t, run_no, cell_id FROM sc", _STAGE_CELLS))
+def q_attribute_stages(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return cells.attribute_stages(c.tr.kernel_stages, _runs(c))
+
+
+@register("J11_inherit_task_cells", with_adapter(
+    """SELECT e.kernel_id, e.stage_id, e.task_id, e.event, e.t, s.run_no, s.cell_id
+       FROM tev e ASOF LEFT JOIN (SELECT * FROM sc WHERE cell_id IS NOT NULL) s
+         ON e.kernel_id = s.kernel_id AND e.stage_id = s.stage_id AND e.t >= s.t""", _STAGE_CELLS))
+def q_inherit_task_cells(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    at = cells.attribute_stages(c.tr.kernel_stages, _runs(c))
+    events = c.tr.kernel_task_events.withColumn("event_id", F.col("task_id") * 2 + (F.col("event") == "task_end").cast("int"))
+    return cells.inherit_stage_cell(events, at).select("kernel_id", "stage_id", "task_id", "event", "t", "run_no", "cell_id")
+
+
 R6_SQL = """SELECT r.kernel_id, r.run_no, r.cell_id, r.end_ms, coalesce(e.num_jobs, 0) AS num_jobs,
               CASE WHEN coalesce(e.open_jobs, 0) = 0 THEN greatest(r.end_ms, e.last_job_end_ms) END AS completed_ms
        FROM runs r LEFT JOIN (

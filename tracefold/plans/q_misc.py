@@ -35,6 +35,13 @@ def q_process_and_merge(spark, sf_dir):
     return hist.process_and_merge(df, hist.numpy_fill(hist.LINEITEM_HISTS))
 
 
+@register("D1_user_merge", HIST_SQL)
+def q_user_merge(spark, sf_dir):
+    """The same with a merge of the user's own, over many partials: a tree of merges."""
+    df = hist.read_partitioned(spark, [f"{sf_dir}/lineitem.parquet"]).select(*{s.column for s in hist.LINEITEM_HISTS})
+    return hist.process_and_merge(df.repartition(40), hist.numpy_fill(hist.LINEITEM_HISTS), merge=hist.add_counts)
+
+
 @register("S6_read_partitioned",
           "SELECT count(*) AS num_rows, CAST(sum(l_quantity) AS DOUBLE) AS sum_quantity FROM lineitem")
 def q_read_partitioned(spark, sf_dir):

@@ -237,6 +237,21 @@ class TestdataTrace:
             F.when(F.col("event_type") == "error", "FAILED").otherwise("SUCCEEDED").alias("status"),
         )
 
+    @cached_property
+    def kernel_stages(self) -> DataFrame:
+        """Adapter extension: stage submissions of the kernel jobs; a kernel has five stages, submitted again and again."""
+        return self.kernel_jobs.select("kernel_id", (F.col("job_id") % 5).alias("stage_id"), "job_id", (F.col("start_ms") + 1000).alias("t"))
+
+    @cached_property
+    def kernel_task_events(self) -> DataFrame:
+        """Adapter extension: two tasks per kernel job; they may end after their stage was submitted again."""
+        j = self.kernel_jobs.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1))))
+        ev = F.explode(F.array(
+            F.struct(F.lit("task_start").alias("event"), (F.col("start_ms") + 2000 + F.col("i") * 1000).alias("t")),
+            F.struct(F.lit("task_end").alias("event"), (F.col("end_ms") + 3000 + F.col("i") * 500).alias("t")))).alias("e")
+        return j.select("kernel_id", (F.col("job_id") % 5).alias("stage_id"), (F.col("job_id") * 2 + F.col("i")).alias("task_id"), ev).select(
+            "kernel_id", "stage_id", "task_id", "e.event", "e.t")
+
 
 def load(spark: SparkSession, sf_dir: str) -> TestdataTrace:
     return TestdataTrace(spark, sf_dir)
