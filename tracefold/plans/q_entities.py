@@ -287,7 +287,8 @@ def q_executor_load(spark, sf_dir):
               count(*) FILTER (WHERE status IN ('FAILED', 'KILLED')) AS failed_tasks, count(*) FILTER (WHERE status = 'RUNNING') AS active_tasks
        FROM v_tasks GROUP BY ROLLUP (app_id, job_id, stage_id)"""))
 def q_rollup_counters(spark, sf_dir):
-    return counters.rollup_counters(Ctx(spark, sf_dir).tr.tasks).withColumn("level", F.col("level").cast("long"))
+    c = Ctx(spark, sf_dir)
+    return counters.rollup_counters(c.tasks, c.jobs).withColumn("level", F.col("level").cast("long"))
 
 
 @register("P24_routable_task_ends", with_adapter(
