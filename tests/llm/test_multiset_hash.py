@@ -36,20 +36,20 @@ def test_against_plain_edits(spark):
 
 def plain_hash(spark, parts):
     """Sums component by component, with hashes taken one at a time."""
-    total = [0] * (4 * M.LONGS)
+    total = [0] * (2 * M.LONGS)
     for p in parts:
         hs = spark.range(1).select(*[F.xxhash64(F.lit(p), F.lit(s)) for s in range(M.HASHES)]).first()
         for s, h in enumerate(hs):
-            for j in range(16):
-                for k in range(4):
-                    total[(16 * s + j) * 4 + k] += 1 if (h >> (j + 16 * k)) & 1 else -1
+            for j in range(32):
+                for k in range(2):
+                    total[(32 * s + j) * 2 + k] += 1 if (h >> (j + 32 * k)) & 1 else -1
     return [x % 2**M.BITS for x in total]
 
 
 def test_sums_modulo(spark):
     parts = ["one", "two", "two", "drei.", "x" * 500]
     got = spark.range(1).select(M.multiset_hash(F.array(*map(F.lit, parts)))).first()[0]
-    assert [(x >> (16 * k)) & 0xFFFF for x in got for k in range(4)] == plain_hash(spark, parts)
+    assert [(x >> (32 * k)) & 0xFFFFFFFF for x in got for k in range(2)] == plain_hash(spark, parts)
 
 
 def test_order_insertion_and_deletion(spark):
@@ -96,10 +96,20 @@ def test_sums_over_rows_are_the_same(spark):
 
 
 def test_many_equal_paragraphs(spark):
-    """Sums beyond 2**14: 20,000 equal lines against 10,000 and against 16,384, which pack to nothing."""
+    """Sums beyond 2**14: 20,000 equal lines against 10,000, and 16,384 against none."""
     docs = spark.createDataFrame([(3, "same line\n" * 20_000), (2, "same line\n" * 10_000), (1, "same line\n" * 16_384), (0, "")], "doc_id long, text string")
     of = {r.doc_id: r for r in M.fingerprint_report(docs).collect()}
     assert of[3].near_next == pytest.approx(2 * 2 * 1 / (4 + 1))
     assert of[2].near_next == pytest.approx(2 * 10_000 * 16_384 / (10_000**2 + 16_384**2))
-    assert of[1].near_next == 0.0
+    assert of[1].near_next == 0.0 and of[1].fingerprint != of[0].fingerprint
     assert of[1].near_edited == pytest.approx(2 * 16_384 * 8_192 / (16_384**2 + 8_192**2))
+
+
+def test_likeness_is_that_of_the_fingerprints_and_copies_stay_single(spark):
+    """Equal neighbours are alike, whatever their number; copies of both texts give one row a copy."""
+    docs = [(7, "a. b. c.")] * 30 + [(6, "a. b. c.")] * 20 + [(5, "x\n" * 16_385), (4, "x"), (3, "x")]
+    rows = M.fingerprint_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in docs)
+    of = {r.doc_id: r for r in rows}
+    assert of[7].fingerprint == of[6].fingerprint and of[7].near_next == of[4].near_next == 1.0
+    assert of[5].fingerprint != of[4].fingerprint and of[5].near_next == pytest.approx(2 * 16_385 / (16_385**2 + 1))

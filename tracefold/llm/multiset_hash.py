@@ -1,17 +1,16 @@
 """Document fingerprints: a homomorphic multiset hash, in DataFrame operations only.
 
 A text is the multiset of its paragraphs (lines, and the sentences of a line). Each paragraph hashes to a wide
-vector of +1 and -1; the fingerprint is the sum of the vectors, each component modulo 2**14. So
+vector of +1 and -1; the fingerprint is the sum of the vectors, each component modulo 2**30. So
 
 * the order of the paragraphs does not matter, and equal multisets have equal fingerprints;
 * paragraphs can be put in or taken out later by adding or subtracting their vectors (``combine``, ``without``);
 * the scalar product of two fingerprints estimates how many paragraphs they share, which gives a likeness from
   0 to 1, 2 <a, b> / (<a, a> + <b, b>), that is exactly 1 for equal fingerprints.
 
-In a fingerprint, four components lie in one long, 16 bits apart. Sums are taken on all four at once; the two bits above each
-component take the carry, so that nothing runs over (Spark's arithmetic is checked). The likenesses of
-``fingerprint_report`` are taken from the sums before they are packed, 32 bits each, so that a paragraph repeated
-more than 2**13 times counts in full; the fingerprints themselves cannot tell 2**14 equal paragraphs from none.
+In a fingerprint, two components lie in one long, 32 bits apart; the two bits above each component take the carry, so that
+nothing runs over (Spark's arithmetic is checked). A text has fewer paragraphs than 2**30, so no component wraps, and the
+likenesses are those of the fingerprints.
 
 ``fingerprint_report`` also compares each document with the next one in descending order of ids. Ids are
 range-partitioned (never one global window); the first rows of the partitions, one per partition, close the
@@ -31,10 +30,10 @@ from pyspark.sql import functions as F
 from tracefold.llm.common import written
 
 HASHES = 2
-LONGS = 16 * HASHES  # of four components each
-BITS = 14
-ONES = 0x0001_0001_0001_0001
-MASK = 0x3FFF_3FFF_3FFF_3FFF
+LONGS = 32 * HASHES  # of two components each
+BITS = 30  # a text of 2 GB has fewer paragraphs than 2**30
+ONES = 0x0000_0001_0000_0001
+MASK = 0x3FFF_FFFF_3FFF_FFFF
 HALF = 1 << (BITS - 1)
 BORDER = r"\n+|(?<=[.!?]) +"
 
@@ -44,7 +43,7 @@ def paragraphs(text: Column) -> Column:
 
 
 def _add(a: Column, b: Column) -> Column:
-    """Sum of four components each, modulo 2**14."""
+    """Sum of two components each, modulo 2**30."""
     return (a + b).bitwiseAND(F.lit(MASK))
 
 
@@ -53,7 +52,7 @@ def _negative(a: Column) -> Column:
 
 
 def _signs(h: Column, j: int) -> Column:
-    """Four bits of a hash as components 1 (set) and -1."""
+    """Two bits of a hash as components 1 (set) and -1."""
     bits = F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ONES))
     clear = bits.bitwiseXOR(F.lit(ONES))
     return bits + (F.shiftleft(clear, BITS) - clear)
@@ -66,7 +65,7 @@ def zero() -> Column:
 def multiset_hash(parts: Column) -> Column:
     """Fingerprint (array of longs) of an array of paragraphs."""
     hashed = F.transform(parts, lambda p: F.struct(*[F.xxhash64(p, F.lit(s)).alias(f"h{s}") for s in range(HASHES)]))
-    step = lambda acc, x: F.array(*[_add(acc[16 * s + j], _signs(x[f"h{s}"], j)) for s in range(HASHES) for j in range(16)])
+    step = lambda acc, x: F.array(*[_add(acc[32 * s + j], _signs(x[f"h{s}"], j)) for s in range(HASHES) for j in range(32)])
     return F.aggregate(hashed, zero(), step)
 
 
@@ -96,15 +95,12 @@ def packed_sums(n: Column, bits: Column) -> Column:
     """The fingerprint of bit sums: a component is twice its sum less the number of paragraphs."""
 
     def packed(s: int, j: int) -> Column:
-        """Components j, j + 16, j + 32 and j + 48 of hash s in one long."""
-        out = None
-        for k in range(4):
-            total = F.shiftrightunsigned(bits[32 * s + j + 16 * (k % 2)], 32 * (k // 2)).bitwiseAND(F.lit((1 << 32) - 1))
-            cell = F.shiftleft((2 * total - n).bitwiseAND(F.lit((1 << BITS) - 1)), 16 * k)
-            out = cell if out is None else out.bitwiseOR(cell)
-        return out
+        """Components j and j + 32 of hash s in one long."""
+        total = [F.shiftrightunsigned(bits[32 * s + j], k).bitwiseAND(F.lit((1 << 32) - 1)) for k in (0, 32)]
+        low, high = [(2 * t - n).bitwiseAND(F.lit((1 << BITS) - 1)) for t in total]
+        return low.bitwiseOR(F.shiftleft(high, 32))
 
-    return F.array(*[packed(s, j) for s in range(HASHES) for j in range(16)])
+    return F.array(*[packed(s, j) for s in range(HASHES) for j in range(32)])
 
 
 def summed_hashes(rows: DataFrame, keys: list[str], parts: str) -> DataFrame:
@@ -118,34 +114,20 @@ def as_text(v: Column) -> Column:
 
 def _components(v: Column) -> Column:
     """The components as signed numbers."""
-    four = lambda x: F.array(*[((F.shiftright(x, 16 * k) + HALF).bitwiseAND(F.lit(2 * HALF - 1)) - HALF).cast("double") for k in range(4)])
-    return F.flatten(F.transform(v, four))
+    two = lambda x: F.array(*[((F.shiftright(x, k) + HALF).bitwiseAND(F.lit(2 * HALF - 1)) - HALF).cast("double") for k in (0, 32)])
+    return F.flatten(F.transform(v, two))
 
 
 def _product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _alike(equal: Column, a: Column, b: Column) -> Column:
-    both = _product(a, a) + _product(b, b)
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * _product(a, b) / both))
-    return F.when(equal, 1.0).when(both == 0, 0.0).otherwise(share)
-
-
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1; 1 for equal fingerprints."""
-    return _alike(a == b, _components(a), _components(b))
-
-
-def _wide(n: Column, bits: Column) -> Column:
-    two = lambda x: F.array(*[(2 * F.shiftrightunsigned(x, k).bitwiseAND(F.lit((1 << 32) - 1)) - n).cast("double") for k in (0, 32)])
-    return F.flatten(F.transform(bits, two))
-
-
-def sums_likeness(a: tuple[str, str], b: tuple[str, str]) -> Column:
-    """The likeness of two texts by their columns ``(n, bits)``."""
-    (n, bits), (m, others) = (tuple(map(F.col, x)) for x in (a, b))
-    return _alike((n == m) & (bits == others), _wide(n, bits), _wide(m, others))
+    x, y = _components(a), _components(b)
+    both = _product(x, x) + _product(y, y)
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * _product(x, y) / both))
+    return F.when(a == b, 1.0).when(both == 0, 0.0).otherwise(share)
 
 
 def followers(ids: DataFrame, rows_per_part: int = 100_000) -> DataFrame:
@@ -177,22 +159,23 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     given = needs.join(rows, ["idk", "body"]).select(
         F.col("to_idk").alias("idk"), F.col("to_body").alias("body"), "id", "n_chars", "times", F.expr("left(text, int(n_chars div 2))").alias("tail")
     )
-    met = rows.join(given, ["idk", "body"])
+    # copies of the next text met here: one of each goes on
+    met = rows.join(given.dropDuplicates(["idk", "body"]), ["idk", "body"])
     met = met.withColumn("edited", F.concat(F.expr("left(text, int(n_chars - n_chars div 2))"), F.col("tail")))
     met = met.withColumn("sha", F.sha2(F.col("edited").cast("binary"), 256))
     both = F.array(*[F.struct(F.lit(k).alias("kind"), paragraphs(F.col(c)).alias("parts")) for k, c in enumerate(("text", "edited"))])
     keys = ["idk", "body", "id", "n_chars", "times", "sha"]
-    # equal rows meet several times here; one of each is kept before anything is summed
+    # and one of each copy of the own text is kept before anything is summed
     met = met.dropDuplicates(["idk", "body"]).select(*keys, F.explode(both).alias("v")).select(*keys, "v.kind", "v.parts")
-    prints = written(bit_sums(met, [*keys, "kind"], "parts"), "prints")
+    prints = written(summed_hashes(met, [*keys, "kind"], "parts"), "prints")
     own = prints.where("kind = 0").drop("kind")
-    edited = prints.where("kind = 1").select("idk", "body", F.col("n").alias("en"), F.col("bits").alias("ebits"))
-    following = links.select("idk", "body", "nidk", "nbody").join(own.select(F.col("idk").alias("nidk"), F.col("body").alias("nbody"), F.col("n").alias("nn"), F.col("bits").alias("nbits")), ["nidk", "nbody"])
-    met = own.join(edited, ["idk", "body"]).join(following.select("idk", "body", "nn", "nbits"), ["idk", "body"])
+    edited = prints.where("kind = 1").select("idk", "body", F.col("fp").alias("efp"))
+    following = links.select("idk", "body", "nidk", "nbody").join(own.select(F.col("idk").alias("nidk"), F.col("body").alias("nbody"), F.col("fp").alias("nfp")), ["nidk", "nbody"])
+    met = own.join(edited, ["idk", "body"]).join(following.select("idk", "body", "nfp"), ["idk", "body"])
     out = met.select(
         F.col("id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"),
-        as_text(packed_sums(F.col("n"), F.col("bits"))).alias("fingerprint"), as_text(packed_sums(F.col("en"), F.col("ebits"))).alias("edited_fingerprint"),
-        sums_likeness(("n", "bits"), ("en", "ebits")).alias("near_edited"), sums_likeness(("n", "bits"), ("nn", "nbits")).alias("near_next"),
+        as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("efp")).alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_time"),  # equal rows come back
     )
     return out.drop("_time")
