@@ -118,3 +118,18 @@ def test_beyond_the_base_rules(spark):
     gone = quality_rules(docs).where("NOT kept AND NOT base_failed").join(labels, "doc_id", "left")
     assert gone.where("quality = 1").count() == 0
     assert gone.where("quality = 0").count() > 50
+
+
+def test_one_ratio_more_or_less_hardly_moves_a_limit():
+    from tracefold.llm.quality_rules import Bands, fences, length_class
+
+    last = None
+    for n in (0, 1, 50, 199, 200, 201, 5_000, 1_000_000):
+        fitted = {length_class(3000): f} if (f := fences([(500, n)] if n else [], Bands())) else {}
+        low, high = Bands(fitted=fitted).band(3000)
+        assert 0.32 <= low <= 0.4505 and 0.55 <= high <= 0.68
+        if n in (200, 201):
+            assert abs(low - last[0]) < 0.001 and abs(high - last[1]) < 0.001
+        assert last is None or (low >= last[0] and high <= last[1])
+        last = low, high
+    assert low > 0.45 and high < 0.551

@@ -53,7 +53,8 @@ class Bands:
     They hold for any corpus; ``fitted`` and ``chunk_fitted`` have narrower ones per half octave of the length.
     ``chunk_bytes``-sized chunks (a shorter rest joins the last one) are held against the limits of chunks, a
     text of one chunk against those of texts; a text whose share of chunks outside exceeds ``max_bad_chunks`` is
-    rejected. A class is fitted from ``least_rows`` ratios on, and never closer to its median than ``margin``.
+    rejected. Fences are never closer to a class's median than ``margin``, and n ratios move the limits of their class
+    n / (n + ``settling``) of the way from the fixed ones to the fences, so no number of neighbours switches a rule.
     """
 
     limits: Limits = (
@@ -71,14 +72,15 @@ class Bands:
     level: int = 3
     fence: float = 3.0
     margin: float = 0.05
-    least_rows: int = 200
-    fitted: Mapping[int, tuple[float, float]] = field(default_factory=dict)
-    chunk_fitted: Mapping[int, tuple[float, float]] = field(default_factory=dict)
+    settling: int = 30
+    fitted: Mapping[int, tuple[float, float, int]] = field(default_factory=dict)
+    chunk_fitted: Mapping[int, tuple[float, float, int]] = field(default_factory=dict)
 
     def band(self, size: int, chunk: bool = False) -> tuple[float, float]:
         _, least, most = next(x for x in (self.chunk_limits if chunk else self.limits) if size < x[0])
-        low, high = (self.chunk_fitted if chunk else self.fitted).get(length_class(size), (least, most))
-        return max(least, low), min(most, high)
+        low, high, n = (self.chunk_fitted if chunk else self.fitted).get(length_class(size), (least, most, 0))
+        weight = n / (n + self.settling)
+        return least + weight * max(0.0, low - least), most - weight * max(0.0, most - high)
 
 
 def length_class(size: int) -> int:
@@ -86,14 +88,14 @@ def length_class(size: int) -> int:
     return int(2 * math.log2(size)) if size else -1
 
 
-def fences(counts: Iterable[tuple[int, int]], bands: Bands) -> tuple[float, float] | None:
-    """Outer fences of ratios given as (thousandth, how many); none for too few of them."""
+def fences(counts: Iterable[tuple[int, int]], bands: Bands) -> tuple[float, float, int] | None:
+    """Outer fences of ratios given as (thousandth, how many), and their number; none for none."""
     rows = sorted(counts)
     upto = np.cumsum([n for _, n in rows])
-    if not rows or upto[-1] < bands.least_rows:
+    if not rows:
         return None
     q1, q2, q3 = ((rows[bisect_right(upto, q * (upto[-1] - 1))][0] + 0.5) / 1000 for q in (0.25, 0.5, 0.75))
-    return min(q1 - bands.fence * (q3 - q1), q2 - bands.margin), max(q3 + bands.fence * (q3 - q1), q2 + bands.margin)
+    return min(q1 - bands.fence * (q3 - q1), q2 - bands.margin), max(q3 + bands.fence * (q3 - q1), q2 + bands.margin), int(upto[-1])
 
 
 def repeated_windows(words: list[bytes], width: int = 3) -> int:
