@@ -1,6 +1,6 @@
 """Personal data: fixed patterns, and terms that reveal protected entities by corpus co-occurrence.
 
-Base kinds (email, ip, card, phone) are found by pattern. Every distinct value found, and every kind, is a
+Base kinds (email, ip, card, phone) are found by pattern. Every distinct value found is a
 protected entity. The method then asks of each term in an entity's sentence how much it gives away:
 
     disclosure(e, t) = PMI(e; t) / IC(e) = log2(P(e|t) N / df(e)) / log2(N / df(e))
@@ -39,7 +39,6 @@ from tracefold.llm.common import spare, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-KIND_PARTS = 64
 ORDER = {k: i for i, k in enumerate((*KINDS, TERM))}
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -106,7 +105,9 @@ def entity(kind: str, value: str) -> str:
 
 
 def contexts(text: str, spans: list[tuple[str, int, int]], most: int) -> list[tuple[list[str], int, list[str]]]:
-    """(entities, context hash, terms) of each sentence with a span; the entities are its values and their kinds.
+    """(entities, context hash, terms) of each sentence with a span; the entities are its values.
+
+    A kind is no entity: its mask stays in the text and tells it anyway, and ordinary words beside many addresses reveal none of them.
 
     Words of the spans themselves are no terms. Linear in the text, since a sentence has ``most`` words at most.
     """
@@ -134,7 +135,7 @@ def contexts(text: str, spans: list[tuple[str, int, int]], most: int) -> list[tu
     for kind, a, b in spans:
         k = bisect_right(words, b - 1) - 1
         key = number[k] if k >= 0 and words[k] >= a else (bisect_right(ends, a), 0)
-        held.setdefault(key, set()).update((entity(kind, text[a:b]), f"kind:{kind}"))
+        held.setdefault(key, set()).add(entity(kind, text[a:b]))
     free: dict[tuple[int, int], list[str]] = {key: [] for key in held}
     for key, word in sentences:
         if key in free:
@@ -202,11 +203,8 @@ def disclosures(found: DataFrame, frequencies: DataFrame, n_docs: int, rules: Ru
     together = pairs.groupBy("entity", "term", "row").agg(F.count("*").alias("_")).groupBy("entity", "term").agg(F.count("*").alias("both"))
     different = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("_")).groupBy("entity", "term").agg(F.count("*").alias("support"))
     held = near.groupBy("entity", "row").agg(F.count("*").alias("_")).groupBy("entity").agg(F.count("*").alias("df_e"))
-    # a kind stands beside very many terms: its few rows go to every part of them
-    part = F.when(F.col("entity").startswith("kind:"), F.pmod(F.hash("term"), F.lit(KIND_PARTS))).otherwise(0)
-    copies = F.when(F.col("entity").startswith("kind:"), F.sequence(F.lit(0), F.lit(KIND_PARTS - 1))).otherwise(F.array(F.lit(0)))
     counts = together.join(different.where(F.col("support") >= rules.support), ["entity", "term"]).join(frequencies, "term")
-    rows = counts.withColumn("part", part).join(held.withColumn("part", F.explode(copies)), ["entity", "part"])
+    rows = counts.join(held, "entity")
     total, z = F.lit(float(n_docs)), rules.z
     hits = F.least("both", "support").cast("double")
     cases = F.col("df") - F.col("both") + hits
