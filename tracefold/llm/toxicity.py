@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+WORDS_KEPT = 100_000  # written forms whose gates a scoring task keeps, some 300 bytes each
 EDGES = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>*#$%&|-_/\\=+~`^"
 
 
@@ -392,7 +393,7 @@ def toxicity(text: Column | str, net: Network) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache: dict = {}
         for texts in batches:
-            if len(cache.get("raw", ())) > 400_000:
+            if len(cache.get("raw", ())) > WORDS_KEPT:
                 cache = {}
             yield pd.Series(net.scores(net.text_logits(texts, cache)), dtype="float64")
 
