@@ -77,7 +77,7 @@ def test_links_of_odd_markup(spark):
 
 def test_sweep_moves_its_rows_once(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"), F.lit(1).alias("v"))
-    out = running_sums(df, ["k"], "t", ["v"], 100, total_suffix="_all")
+    out = running_sums(df, ["k"], "t", ["v"], total_suffix="_all")
     assert out.where("v_all NOT IN (333, 334) OR v_run != t div 3 + 1").count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION" not in plan
