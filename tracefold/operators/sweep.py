@@ -47,11 +47,12 @@ def with_bucket(df: DataFrame, keys: Sequence[str], time_col: str, buckets: int
     placed = df.withColumn("_place", F.when(F.col(time_col).isNotNull(), place))
     # one row, met by a key that is zero for every row with a time
     borders = placed.agg(F.percentile_approx("_place", fractions, max(10_000, 20 * side * side)).alias("_borders"))
-    borders = borders.select("_borders", (F.size("_borders") * 0).cast("long").alias("_key"))
+    firsts = F.filter("_borders", lambda b, i: (i + 1) % side == 0)  # every side-th border, taken once
+    borders = borders.select("_borders", firsts.alias("_firsts"), (F.size("_borders") * 0).cast("long").alias("_key"))
     rows = placed.withColumn("_key", F.pmod(F.col("_place"), F.lit(1))).join(F.broadcast(borders), "_key", "left")
-    # every side-th border first, then those up to the next of these
+    # these first, then the borders up to the next of them
     passed = lambda part: F.size(F.filter(part, lambda b: b < F.col("_place")))
-    rows = rows.withColumn("_coarse", passed(F.filter("_borders", lambda b, i: (i + 1) % side == 0)))
+    rows = rows.withColumn("_coarse", passed("_firsts"))
     bucket = F.col("_coarse") * side + passed(F.slice("_borders", F.col("_coarse") * side + 1, side - 1))
     return rows.select(*df.columns, F.when(F.col(time_col).isNotNull(), bucket.cast("long")).alias(BUCKET))
 
