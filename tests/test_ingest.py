@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tracefold.operators import entities
@@ -10,6 +11,7 @@ from tracefold.plans.context import Ctx
 from tracefold.session import unsorted_folders
 from tracefold.sources import eventlog, messages
 from tracefold.sources.lifecycle import from_trace
+from tracefold.sources.store import StoredTables
 from tracefold.sources.testdata import TestdataTrace
 from tracefold.streaming.state import Versions
 
@@ -55,3 +57,25 @@ def test_folders_are_written_without_a_sort(spark, scratch):
     rows = spark.range(100).select("id", F.pmod("id", F.lit(3)).alias("side"))
     out = Versions(spark, f"{scratch}/versions", ("side",)).write(rows, 0)
     assert out.exceptAll(rows.select("id", "side")).isEmpty() and out.count() == 100
+
+
+def test_folders_are_written_in_small_row_groups(spark, scratch):
+    """A task holds a row group of each file that it writes, and whoever reads a split of the file all of its groups."""
+    noise = F.concat(*[F.sha2(F.concat_ws("-", "id", F.lit(k)), 512) for k in range(8)])
+    rows = spark.range(0, 100_000, 1, 1).select("id", (F.col("id") % 2 == 0).alias("held"), noise.alias("value"))
+    Versions(spark, f"{scratch}/v", ("held",)).write(rows, 0)
+    for held in ("true", "false"):
+        [path] = glob.glob(f"{scratch}/v/batch=000000000/held={held}/*.parquet")
+        meta = pq.ParquetFile(path).metadata
+        assert meta.num_rows == 50_000 and meta.num_row_groups > 1
+    assert spark.read.parquet(f"{scratch}/v/batch=000000000").agg(F.sum("id")).first()[0] == sum(range(100_000))
+
+
+def test_stored_tables_are_compressed_well(spark, scratch):
+    class Source:
+        plain = spark.range(10)
+
+    stored = StoredTables(spark, scratch, Source(), ["plain"])
+    assert stored.plain.count() == 10
+    [path, *_] = glob.glob(f"{scratch}/plain/*.parquet")
+    assert pq.ParquetFile(path).metadata.row_group(0).column(0).compression == "ZSTD"
