@@ -1,5 +1,6 @@
 import numpy as np
 
+from tracefold.llm import toxicity as toxicity_module
 from tracefold.llm.toxicity import Network, Settings, Vocabulary, fit, fold, score_toxicity, train, window_table
 
 
@@ -82,3 +83,17 @@ def test_awkward_rows(spark, awkward, empty):
         rows = score_toxicity(awkward, fit(awkward, known)).collect()
         assert len(rows) == awkward.count() and all(0 <= r.score <= 1 for r in rows)
     assert score_toxicity(empty, fit(empty, labels)).count() == 0
+
+
+def test_what_is_kept_is_bounded_inside_a_batch(monkeypatch):
+    """A batch may hold all rows of a task, so its words must not be kept until it ends."""
+    net = Network.fresh(Settings())
+    texts = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(200)] + [None, ""]
+    whole = net.scores(net.text_logits(texts))
+    monkeypatch.setattr(toxicity_module, "WORDS_KEPT", 400)
+    monkeypatch.setattr(toxicity_module, "TEXTS_AT_ONCE", 10)
+    cache: dict = {}
+    got = toxicity_module.text_scores(net, texts, cache)
+    assert np.allclose(got, whole, atol=1e-6) and len(cache["raw"]) <= 400 + 10 * 40
+    assert len(cache["gates"]["f"]) < 200 * 40 + 8192
+    assert len(toxicity_module.text_scores(net, [], {})) == 0

@@ -21,7 +21,7 @@ read. Null labels are not used.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS_KEPT = 100_000  # written forms whose gates a scoring task keeps, some 300 bytes each
+TEXTS_AT_ONCE = 250  # texts that a task scores before it looks at what it keeps
 EDGES = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>*#$%&|-_/\\=+~`^"
 
 
@@ -393,13 +394,21 @@ def toxicity(text: Column | str, net: Network) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache: dict = {}
         for texts in batches:
-            if len(cache.get("raw", ())) > WORDS_KEPT:
-                cache = {}
-            yield pd.Series(net.scores(net.text_logits(texts, cache)), dtype="float64")
+            yield pd.Series(text_scores(net, texts, cache), dtype="float64")
 
     return score(text)
 
 
+def text_scores(net: Network, texts: Sequence[str | None], cache: dict) -> np.ndarray:
+    """Scores of a batch. What is kept of its words is bounded inside the batch too, which may hold a whole task's rows."""
+    out = [np.zeros(0)]
+    for a in range(0, len(texts), TEXTS_AT_ONCE):
+        if len(cache.get("raw", ())) > WORDS_KEPT:
+            cache.clear()
+        out.append(net.scores(net.text_logits(texts[a : a + TEXTS_AT_ONCE], cache)))
+    return np.concatenate(out)
+
+
 def score_toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``held_out``, ``score`` and ``predicted`` (1 from 0.5 on)."""
     scored = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), toxicity(F.col(text_col), net).alias("score"))
