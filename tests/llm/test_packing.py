@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tracefold.llm.packing import WordTokenizer, pack, patterns
+from tracefold.llm.packing import WordTokenizer, own_tokenizer, pack, patterns
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -80,3 +80,15 @@ def test_random_strings_of_plain_letters():
     for _ in range(4000):
         text = "".join(rng.choice(letters, int(rng.integers(1, 12))))
         assert ours.ids(text).tolist() == ours.full.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_words_are_learnt_once_in_a_process():
+    """Tasks of one worker share a tokenizer, and its ids stay the same when it forgets all words in between."""
+    ours, full = own_tokenizer(PATH), Tokenizer.from_file(PATH)
+    text = "It's 42 words' worth: we'll SAY they've 'dined, 'tis naïve\tÀ1²"
+    want = full.encode(text, add_special_tokens=False).ids
+    assert ours.ids(text).tolist() == want and ours.ids("plain it's they'll 7x 'm 're!").tolist() == full.encode("plain it's they'll 7x 'm 're!", add_special_tokens=False).ids
+    known = len(ours.known)
+    assert own_tokenizer(PATH) is ours and ours.ids(text).tolist() == want and len(ours.known) == known
+    ours._clear()
+    assert ours.ids(text).tolist() == want

@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,9 @@ SEED = 3
 #: Letters and numbers below U+0250 (fixed by Unicode), where the tokenizer's rules need no tables.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 NUMBERS = "0-9²³¹¼-¾"
-SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
+# no two branches but the last two begin alike, so the most frequent one stands first
+SPLIT = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^\\s{LETTERS}{NUMBERS}]+")
+SPLIT_ASCII = re.compile("[a-z]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\\sa-z0-9]+")  # of a small-letter text
 PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
 
 
@@ -60,7 +63,7 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = defaultdict(count().__next__)  # a word that is looked up gets the next number
         self.start = np.zeros(1024, np.int64)
         self.size = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
@@ -87,13 +90,14 @@ class WordTokenizer:
 
     def ids(self, text: str) -> np.ndarray:
         low = text.lower()  # some capital letters have their small one far away: Ə, Ɓ, Ⱥ
-        if not (PLAIN.fullmatch(text) and PLAIN.fullmatch(low)) or any(s in text for s in self.special):
+        ascii_only = text.isascii()
+        if not (PLAIN.fullmatch(text) and (ascii_only or PLAIN.fullmatch(low))) or any(s in text for s in self.special):
             return np.asarray(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(self.known) > self.words:
             self._clear()
         known, done = self.known, len(self.known)
-        words = SPLIT.findall(low)
-        codes = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+        words = (SPLIT_ASCII if ascii_only else SPLIT).findall(low)
+        codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         if len(known) > done:
             self._learn(done)
         sizes = self.size[codes]
@@ -102,6 +106,16 @@ class WordTokenizer:
         return self.flat[at]
 
 
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def own_tokenizer(path: str) -> WordTokenizer:
+    """This process's tokenizer: tasks that a Python worker runs one after the other share the words it knows."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
+
 PIECES = "doc_tokens long, pieces array<struct<start:long,length:long,crc:long>>"
 
 
@@ -110,7 +124,7 @@ def cut(text: Column, path: str, capacity: int = CAPACITY, end_id: int = END_ID)
 
     @F.pandas_udf(PIECES)
     def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = own_tokenizer(path)
         for texts in batches:
             rows = []
             for t in texts:
