@@ -98,3 +98,11 @@ def test_awkward_rows(spark, awkward, empty):
         assert known is labels or all(r.predicted == 1 for r in rows)
         assert len({r.score for r in rows if r.doc_id == 1}) == 1
     assert score_quality(empty, fit(empty, labels)).count() == 0
+
+
+def test_equal_texts_score_alike_in_any_batch():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 500, int(rng.integers(1, 300)))) for _ in range(60)]
+    model = Model.fresh(Settings())
+    alone = [float(model.scores([t])[0]) for t in texts]
+    assert alone == model.scores(texts).tolist() == model.scores(texts[::-1]).tolist()[::-1]

@@ -202,13 +202,13 @@ class Model:
 
     def _score(self, out, blocks, owner) -> None:
         x, home = read_passages(blocks, self.s)
-        out[owner] = self.forward((x - self.mean) / self.scale, np.searchsorted(home, np.arange(len(blocks))))[0]
+        out[owner] = self.forward(((x - self.mean) / self.scale).astype(np.float64), np.searchsorted(home, np.arange(len(blocks))))[0]
 
     def _score_long(self, out, blocks, k) -> None:
         """The softmax over a text of many blocks, block by block."""
         p, most, total, z = self.p, -np.inf, 0.0, np.zeros(self.s.width)
         for block in blocks:
-            x = (read_passages([block], self.s)[0] - self.mean) / self.scale
+            x = ((read_passages([block], self.s)[0] - self.mean) / self.scale).astype(np.float64)
             h = np.tanh(x @ p["code"] + p["code0"])
             e = (np.tanh(h @ p["tan"]) * _sig(h @ p["log"])) @ p["att"]
             top = max(most, float(e.max()))
@@ -220,7 +220,8 @@ class Model:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.base is not None:
             return np.full(len(texts), self.base)
-        return _sig(self.logits(texts) - self.shift)
+        # in double precision and rounded, so that equal texts score alike whatever stands beside them in a batch
+        return np.round(_sig(self.logits(texts) - self.shift), 9)
 
 
 def train(bags: list[np.ndarray], labels: list[int], s: Settings | None = None) -> Model:
