@@ -113,34 +113,29 @@ def job_stage_counters(lc: Lifecycle, jobs: DataFrame) -> DataFrame:
     end marker (fetched by an equi-join on (app, stage, k)) when k is above the
     number read at the start marker.
     """
-    from tracefold.operators.attribution import END_OF_TIME
+    from tracefold.operators.attribution import END_OF_TIME, MARKS, kind_of
     from tracefold.operators.sweep import running_sums
 
     pairs = job_stage_infos(jobs, ("completion_ms", "has_start")).withColumnRenamed("completion_ms", "end_t").where(
         F.col("has_start") & F.col("submission_ms").isNotNull())
-    none = F.lit(None).cast("long")
-    ev = _stage_events(lc).select(
-        "app_id", "stage_id", "t", "kind_rank", F.col("stage_attempt").cast("long").alias("eid"),
-        F.lit(1).alias("n_ev"), F.col("is_submit").cast("int").alias("subs"), (~F.col("is_submit")).cast("int").alias("comps"),
-        F.col("failed").cast("int").alias("fails"), F.col("ok").alias("ok"), none.alias("m_job"),
-        F.lit(None).cast("string").alias("m_kind"))
-    marks_s = pairs.select(
-        "app_id", "stage_id", F.col("submission_ms").alias("t"), F.lit(K_JOB_START).alias("kind_rank"),
-        F.col("job_id").alias("eid"), F.lit(0).alias("n_ev"), F.lit(0).alias("subs"), F.lit(0).alias("comps"),
-        F.lit(0).alias("fails"), F.lit(None).cast("boolean").alias("ok"), F.col("job_id").alias("m_job"),
-        F.lit("s").alias("m_kind"))
-    marks_e = pairs.select(
-        "app_id", "stage_id", F.coalesce("end_t", F.lit(END_OF_TIME)).alias("t"), F.lit(K_JOB_END).alias("kind_rank"),
-        F.col("job_id").alias("eid"), F.lit(0).alias("n_ev"), F.lit(0).alias("subs"), F.lit(0).alias("comps"),
-        F.lit(0).alias("fails"), F.lit(None).cast("boolean").alias("ok"), F.col("job_id").alias("m_job"),
-        F.lit("e").alias("m_kind"))
-    vals = ["n_ev", "subs", "comps", "fails"]
-    r = running_sums(ev.unionByName(marks_s).unionByName(marks_e), ["app_id", "stage_id"], "t", vals,
-                     tiebreak=["kind_rank", "eid"])
-    events = r.where(F.col("m_job").isNull()).select("app_id", "stage_id", F.col("n_ev_run").alias("k"), "ok")
-    m = r.where(F.col("m_job").isNotNull()).groupBy("app_id", "stage_id", F.col("m_job").alias("job_id")).agg(
-        *[F.max(F.when(F.col("m_kind") == "s", F.col(f"{v}_run"))).alias(f"s_{v}") for v in vals],
-        *[F.max(F.when(F.col("m_kind") == "e", F.col(f"{v}_run"))).alias(f"e_{v}") for v in vals],
+    # a row is (app, stage, time, mark, id); a mark is the event's kind and, for a completion, whether it succeeded or failed
+    submitted, completed, began, over = (k * MARKS for k in (K_STAGE_SUBMITTED, K_STAGE_COMPLETED, K_JOB_START, K_JOB_END))
+    row = lambda df, t, mark, eid: df.select("app_id", "stage_id", t.alias("t"), mark.alias("mark"), F.col(eid).cast("long").alias("eid"))
+    ev = _stage_events(lc)
+    u = (
+        row(ev, F.col("t"), F.col("kind_rank") * MARKS + F.when(F.col("ok"), 1).when(F.col("failed"), 2).otherwise(0), "stage_attempt")
+        .unionByName(row(pairs, F.col("submission_ms"), F.lit(began), "job_id"))
+        .unionByName(row(pairs, F.coalesce("end_t", F.lit(END_OF_TIME)), F.lit(over), "job_id"))
+    )
+    mark = F.col("mark")
+    of_stage = kind_of(mark).isin(K_STAGE_SUBMITTED, K_STAGE_COMPLETED)
+    counts = {"n_ev": of_stage, "subs": mark == submitted, "comps": kind_of(mark) == K_STAGE_COMPLETED, "fails": mark == completed + 2}
+    vals = list(counts)
+    r = running_sums(u, ["app_id", "stage_id"], "t", {v: c.cast("int") for v, c in counts.items()}, tiebreak=[kind_of(mark), "eid"])
+    events = r.where(of_stage).select("app_id", "stage_id", F.col("n_ev_run").alias("k"), (mark == completed + 1).alias("ok"))
+    m = r.where(~of_stage & F.col("eid").isNotNull()).groupBy("app_id", "stage_id", F.col("eid").alias("job_id")).agg(
+        *[F.max(F.when(mark == began, F.col(f"{v}_run"))).alias(f"s_{v}") for v in vals],
+        *[F.max(F.when(mark == over, F.col(f"{v}_run"))).alias(f"e_{v}") for v in vals],
     )
     per_stage = m.join(events.withColumnRenamed("k", "e_n_ev"), ["app_id", "stage_id", "e_n_ev"], "left").select(
         "app_id", "job_id",
