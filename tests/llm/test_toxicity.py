@@ -97,3 +97,16 @@ def test_what_is_kept_is_bounded_inside_a_batch(monkeypatch):
     assert np.allclose(got, whole, atol=1e-6) and len(cache["raw"]) <= 400 + 10 * 40
     assert len(cache["gates"]["f"]) < 200 * 40 + 8192
     assert len(toxicity_module.text_scores(net, [], {})) == 0
+
+
+def test_training_never_holds_the_whole_vocabulary(monkeypatch):
+    """Texts of many different words: the input vectors are made for some windows at a time."""
+    from tracefold.llm import toxicity as module
+
+    monkeypatch.setattr(module, "TRAINED_AT_ONCE", 8, raising=False)
+    most, inputs = [0], Network.inputs
+    monkeypatch.setattr(Network, "inputs", lambda net, words: (most.append(len(words.word)), inputs(net, words))[1])
+    s = Settings(passes=1, batch=8)
+    texts = [" ".join(f"w{k}x{i}" for i in range(64)) + (" bad" if k % 2 else "") for k in range(40)]
+    net = train(texts, [k % 2 for k in range(40)], s)
+    assert max(most) <= 8 * s.window and len(net.text_logits(texts)) == 40

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 WORDS_KEPT = 100_000  # written forms whose gates a scoring task keeps, some 300 bytes each
 TEXTS_AT_ONCE = 250  # texts that a task scores before it looks at what it keeps
+TRAINED_AT_ONCE = 4096  # windows whose words the training works out at once
 EDGES = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>*#$%&|-_/\\=+~`^"
 
 
@@ -295,12 +296,19 @@ def _start_from_log_odds(net: Network, vocab: Vocabulary, codes: list[np.ndarray
     net.p["char"][:, 0] = np.clip(np.log(rate[1] / rate[0]), -3, 3) * np.minimum(1, grams.sum(0) / 8)
 
 
+def _logits(net: Network, vocab: Vocabulary, idx: np.ndarray) -> np.ndarray:
+    """Logits of some windows; only their own words are worked out, so the memory does not follow the sample's vocabulary."""
+    used = np.unique(idx[idx >= 0])
+    if not len(used):
+        used = np.zeros(1, np.int64)
+    return net.forward(net.gates(net.inputs(vocab.part(used))), np.where(idx >= 0, np.searchsorted(used, idx), -1))
+
+
 def _tops(net: Network, vocab: Vocabulary, windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Largest logit of each text and the window that has it."""
-    gates = net.gates(net.inputs(vocab))
     sizes = np.array([len(w) for w in windows])
     flat = np.concatenate(windows)
-    logit = np.concatenate([net.forward(gates, flat[a : a + 8192]) for a in range(0, len(flat), 8192)])
+    logit = np.concatenate([_logits(net, vocab, flat[a : a + TRAINED_AT_ONCE]) for a in range(0, len(flat), TRAINED_AT_ONCE)])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     best = np.array([a + int(np.argmax(logit[a : a + n])) for a, n in zip(starts, sizes, strict=True)])
     return logit[best], best - starts
