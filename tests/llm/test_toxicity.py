@@ -99,14 +99,19 @@ def test_what_is_kept_is_bounded_inside_a_batch(monkeypatch):
     assert len(toxicity_module.text_scores(net, [], {})) == 0
 
 
-def test_training_never_holds_the_whole_vocabulary(monkeypatch):
-    """Texts of many different words: the input vectors are made for some windows at a time."""
-    from tracefold.llm import toxicity as module
-
-    monkeypatch.setattr(module, "TRAINED_AT_ONCE", 8, raising=False)
-    most, inputs = [0], Network.inputs
-    monkeypatch.setattr(Network, "inputs", lambda net, words: (most.append(len(words.word)), inputs(net, words))[1])
-    s = Settings(passes=1, batch=8)
-    texts = [" ".join(f"w{k}x{i}" for i in range(64)) + (" bad" if k % 2 else "") for k in range(40)]
-    net = train(texts, [k % 2 for k in range(40)], s)
-    assert max(most) <= 8 * s.window and len(net.text_logits(texts)) == 40
+def test_trigrams_are_looked_up_for_some_words_at_a_time(monkeypatch):
+    words = [f"w{k}x{k % 7}" for k in range(100)] + ["", "é"]
+    s = Settings()
+    net, vocab = Network.fresh(s), Vocabulary.of(words, s)
+    whole = net.inputs(vocab)
+    most = []
+
+    class Rows(np.ndarray):
+        def __getitem__(self, at):
+            most.append(len(at))
+            return np.asarray(self)[at]
+
+    monkeypatch.setattr(toxicity_module, "WORDS_AT_ONCE", 8, raising=False)
+    net.p["char"] = net.p["char"].view(Rows)
+    assert (net.inputs(vocab) == whole).all()
+    assert max(most) <= 8 * max(len(w) or 1 for w in words)

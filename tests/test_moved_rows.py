@@ -25,3 +25,14 @@ def test_counting_types_decodes_one_field(spark):
     counts = messages.type_counts(messages.parse_messages(records.unionByName(records)))
     assert {(r.kind, r.msgtype, r.n) for r in counts.collect()} == {("known", "sparkJobStart", 4), ("unknown", "new", 2), ("missing", None, 4)}
     assert "jobId" not in counts._jdf.queryExecution().optimizedPlan().toString().split("from_json", 1)[1].split("LogicalRDD")[0].split("Scan")[0]
+
+
+def test_rows_without_a_time_count_first(spark):
+    """They are before all others of their key, whether it has one bucket or several, and are not given back."""
+    rows = spark.range(4_000).select(F.when(F.col("id") % 4 > 0, -1).otherwise(F.col("id") % 400).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("t"), F.lit(1).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([(None, 5, 1), (None, None, 1)], "k long, t long, v int"))
+    want = rows.selectExpr("k", "t", "v", "sum(v) OVER (PARTITION BY k ORDER BY t) AS v_run", "count(*) OVER (PARTITION BY k) AS v_all",
+                           "lead(t) OVER (PARTITION BY k ORDER BY t) AS n").where("k IS NOT NULL AND t IS NOT NULL")
+    for buckets in (4, 64):
+        got = running_sums(rows, ["k"], "t", ["v"], next_time="n", total_suffix="_all", buckets=buckets).select(want.columns)
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 WORDS_KEPT = 100_000  # written forms whose gates a scoring task keeps, some 300 bytes each
 TEXTS_AT_ONCE = 250  # texts that a task scores before it looks at what it keeps
-TRAINED_AT_ONCE = 4096  # windows whose words the training works out at once
+WORDS_AT_ONCE = 8192  # words whose trigrams are looked up at once
 EDGES = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>*#$%&|-_/\\=+~`^"
 
 
@@ -116,16 +116,24 @@ class Network:
         return Network(s, p)
 
     def inputs(self, words: Vocabulary) -> np.ndarray:
-        """Input vectors of words."""
-        second = np.add.reduceat(self.p["char"][words.char], words.starts, axis=0) / words.counts[:, None]
-        return np.concatenate([self.p["word"][words.word], second], axis=1).astype(np.float32)
+        """Input vectors of words; the rows of their trigrams, many more, are taken for some words at a time."""
+        n, e = len(words.word), self.s.width
+        x = np.empty((n, 2 * e), np.float32)
+        x[:, :e] = self.p["word"][words.word]
+        for a in range(0, n, WORDS_AT_ONCE):
+            starts, counts = words.starts[a : a + WORDS_AT_ONCE], words.counts[a : a + WORDS_AT_ONCE]
+            char = words.char[starts[0] : starts[-1] + counts[-1]]
+            x[a : a + len(starts), e:] = np.add.reduceat(self.p["char"][char], starts - starts[0], axis=0) / counts[:, None]
+        return x
 
     def gates(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """Input part of the gates, once per distinct word; the last row is the padding's."""
         out = {}
         for d in "fb":
-            g = x @ self.p[f"wx{d}"] + self.p[f"b{d}"]
-            out[d] = np.concatenate([g, np.zeros((1, g.shape[1]), np.float32)])
+            w = self.p[f"wx{d}"]
+            out[d] = np.zeros((len(x) + 1, w.shape[1]), np.result_type(x, w))
+            np.matmul(x, w, out=out[d][:-1])
+            out[d][:-1] += self.p[f"b{d}"]
         return out
 
     def forward(self, gates: dict[str, np.ndarray], idx: np.ndarray, keep: bool = False):
@@ -296,19 +304,12 @@ def _start_from_log_odds(net: Network, vocab: Vocabulary, codes: list[np.ndarray
     net.p["char"][:, 0] = np.clip(np.log(rate[1] / rate[0]), -3, 3) * np.minimum(1, grams.sum(0) / 8)
 
 
-def _logits(net: Network, vocab: Vocabulary, idx: np.ndarray) -> np.ndarray:
-    """Logits of some windows; only their own words are worked out, so the memory does not follow the sample's vocabulary."""
-    used = np.unique(idx[idx >= 0])
-    if not len(used):
-        used = np.zeros(1, np.int64)
-    return net.forward(net.gates(net.inputs(vocab.part(used))), np.where(idx >= 0, np.searchsorted(used, idx), -1))
-
-
 def _tops(net: Network, vocab: Vocabulary, windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Largest logit of each text and the window that has it."""
+    gates = net.gates(net.inputs(vocab))
     sizes = np.array([len(w) for w in windows])
     flat = np.concatenate(windows)
-    logit = np.concatenate([_logits(net, vocab, flat[a : a + TRAINED_AT_ONCE]) for a in range(0, len(flat), TRAINED_AT_ONCE)])
+    logit = np.concatenate([net.forward(gates, flat[a : a + 8192]) for a in range(0, len(flat), 8192)])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     best = np.array([a + int(np.argmax(logit[a : a + n])) for a, n in zip(starts, sizes, strict=True)])
     return logit[best], best - starts
