@@ -2,11 +2,13 @@
 
 import glob
 import os
+from types import SimpleNamespace
 
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from tracefold.operators import entities
+from tracefold.operators import entities, report
+from tracefold.plans.catalog import all_queries
 from tracefold.plans.context import Ctx
 from tracefold.session import unsorted_folders
 from tracefold.sources import eventlog, messages
@@ -79,3 +81,46 @@ def test_stored_tables_are_compressed_well(spark, scratch):
     assert stored.plain.count() == 10
     [path, *_] = glob.glob(f"{scratch}/plain/*.parquet")
     assert pq.ParquetFile(path).metadata.row_group(0).column(0).compression == "ZSTD"
+
+
+def _events(spark):
+    info = "stage_id long, stage_attempt int, task_index int, attempt long, executor_id string, host string, speculative boolean"
+    rows = [(1, 5, 10, 3, 0, 1, 0, "a", "h", False), (1, 5, 10, 3, 0, 1, 0, "b", None, False), (1, 5, 9, 3, 0, 1, 0, None, "g", False),
+            (1, 6, None, 3, 0, 1, 0, "c", "h", True), (None, 7, 4, 3, 0, 1, 0, "d", "i", None), (1, None, 4, 3, 0, 1, 0, "e", "j", None)]
+    start = spark.createDataFrame(rows, f"app_id int, task_id long, t long, {info}")
+    ended = spark.createDataFrame([*rows[:4], (1, 8, 7, 3, 0, 1, 0, "z", "y", False)], start.schema).select(
+        "*", F.col("t").alias("launch_ms"), F.lit("R").alias("task_type"), F.lit("Success").alias("end_reason"), F.lit(None).cast("string").alias("error_message"),
+        F.lit(0).alias("getting_result_at"), F.lit(None).cast("long").alias("metrics"))
+    stage = spark.createDataFrame([(1, 1, 0, 5, "n", 2), (1, 1, 0, 5, "m", 2), (1, 2, 0, None, "n", 2), (None, 3, 1, 5, "n", 2)],
+                                  "app_id int, stage_id long, stage_attempt int, t long, name string, num_tasks long").withColumn("parent_ids", F.array(F.lit(1)))
+    done = spark.createDataFrame([(1, 1, 0, 9, 5, 2, None), (1, 1, 0, 9, 5, 2, "bad"), (1, 1, 0, 8, 5, 2, "bad"), (1, 2, 0, None, 5, 2, "bad"), (1, 4, None, 9, 5, 2, None)],
+                                 "app_id int, stage_id long, stage_attempt int, t long, submission_ms long, num_tasks long, failure_reason string")
+    return SimpleNamespace(task_start=start, task_end=ended, stage_submitted=stage, stage_completed=done)
+
+
+def test_narrow_pairing_gives_the_rows_of_the_whole(spark):
+    lc = _events(spark)
+    for whole, narrow in ((entities.pair_tasks(lc).select("app_id", "task_id", "executor_id", "host"), entities.pair_task_info(lc, "executor_id", "host")),
+                          (entities.pair_stages(lc).select(*entities.STAGE_KEY, "status"), entities.pair_stage_status(lc))):
+        assert narrow.exceptAll(whole).isEmpty() and narrow.count() == whole.count()
+        plan = narrow._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and not {"task_type", "parent_ids"} & set(plan.split("Exchange")[0].replace("#", " ").split())
+
+
+def test_groups_and_job_table_write_no_wide_tables(spark, sf001, scratch):
+    path = os.path.join(scratch, "sf")
+    os.symlink(sf001, path)
+    groups = all_queries()["P15_executor_group"].fn(spark, path)
+    assert groups.count() > 0
+    table = all_queries()["T1_job_table"].fn(spark, path)
+    assert table.count() > 0
+    written = Ctx(spark, path)._ent.written
+    assert written("jobs") and not written("tasks") and not written("stages")
+
+
+def test_job_texts_do_not_move_with_each_stage(spark, sf001):
+    c = Ctx(spark, sf001)
+    table = report.job_table(c.lc, c.jobs, c.stage_status)
+    plan = table._jdf.queryExecution().explainString(table._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = [block.split("Input", 1)[1].splitlines()[0] for block in plan.split("\n\n") if ") Exchange" in block and "stage_id" in block.split("Arguments", 1)[-1]]
+    assert moved and not any(f"{name}#" in m for m in moved for name in (" name", "[name", "stage_name", "call_site"))

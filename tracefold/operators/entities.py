@@ -102,17 +102,30 @@ def jobs_of(merged: DataFrame, *more: str) -> DataFrame:
 
 # J2 ----------------------------------------------------------------------
 STAGE_KEY = ["app_id", "stage_id", "stage_attempt"]
+COMPLETED_FIELDS = ["t", "submission_ms", "num_tasks", "failure_reason"]
 
 
 def stage_parts(lc: Lifecycle) -> DataFrame:
-    return _parts(lc.stage_submitted, lc.stage_completed, STAGE_KEY, ["t", "name", "num_tasks", "parent_ids"],
-                  ["t", "submission_ms", "num_tasks", "failure_reason"])
+    return _parts(lc.stage_submitted, lc.stage_completed, STAGE_KEY, ["t", "name", "num_tasks", "parent_ids"], COMPLETED_FIELDS)
 
 
 def pair_stages(lc: Lifecycle) -> DataFrame:
     return stages_of(merge_parts(stage_parts(lc), STAGE_KEY))
 
 
+def pair_stage_status(lc: Lifecycle) -> DataFrame:
+    """J2 cut to the status: the rows of ``pair_stages`` with their key and status. Of a submission only its key moves, of a
+    completion its time, the hash of the whole event and whether it failed; the rows of a stage's attempts lie together."""
+    s = lc.stage_submitted.select(*STAGE_KEY, F.lit(None).cast("struct<timed:boolean,t:bigint,h:bigint>").alias("last"), F.lit(None).cast("boolean").alias("failed"))
+    e = lc.stage_completed.select(
+        *STAGE_KEY, F.struct(F.col("t").isNotNull().alias("timed"), "t", F.xxhash64(F.struct(*COMPLETED_FIELDS)).alias("h")).alias("last"),
+        F.col("failure_reason").isNotNull().alias("failed"))
+    merged = s.unionByName(e).repartition("app_id", "stage_id").groupBy(*STAGE_KEY).agg(
+        F.count_if(F.col("last").isNull()).alias("n_submitted"), F.max_by("failed", "last").alias("failed"))
+    reason = F.when(F.col("failed"), "failed")
+    return merged.select(*STAGE_KEY, stage_status(F.col("n_submitted") > 0, F.col("failed").isNotNull(), reason).alias("status"))
+
+
 def stages_of(merged: DataFrame, *more: str) -> DataFrame:
     return merged.select(
         "app_id", "stage_id", "stage_attempt",
@@ -132,17 +145,33 @@ TASK_INFO = ["stage_id", "stage_attempt", "task_index", "attempt", "executor_id"
 
 
 TASK_KEY = ["app_id", "task_id"]
+START_FIELDS = ["t", *TASK_INFO]
+END_FIELDS = ["t", "launch_ms", *TASK_INFO, "task_type", "end_reason", "error_message", "getting_result_at", "metrics"]
 
 
 def task_parts(lc: Lifecycle) -> DataFrame:
-    return _parts(lc.task_start, lc.task_end, TASK_KEY, ["t", *TASK_INFO],
-                  ["t", "launch_ms", *TASK_INFO, "task_type", "end_reason", "error_message", "getting_result_at", "metrics"])
+    return _parts(lc.task_start, lc.task_end, TASK_KEY, START_FIELDS, END_FIELDS)
 
 
 def pair_tasks(lc: Lifecycle) -> DataFrame:
     return tasks_of(merge_parts(task_parts(lc), TASK_KEY))
 
 
+def pair_task_info(lc: Lifecycle, *info: str) -> DataFrame:
+    """J3 for some columns of ``TASK_INFO``: the rows and values of ``pair_tasks``, but only these columns, the event's time
+    and the hash of the whole event (which tells equal times apart) move."""
+
+    def part(events: DataFrame, is_end: bool, *fields: str) -> DataFrame:
+        return events.select(*TASK_KEY, F.lit(is_end).alias("is_end"), "t", F.xxhash64(F.struct(*fields)).alias("h"), *info)
+
+    parts = part(lc.task_start, False, *START_FIELDS).unionByName(part(lc.task_end, True, *END_FIELDS))
+    is_end, x = F.col("is_end"), F.struct(*info)
+    merged = parts.repartition(*TASK_KEY).groupBy(*TASK_KEY).agg(
+        F.min_by(x, F.when(~is_end, F.struct(F.col("t").isNull(), "t", "h"))).alias("s"),
+        F.max_by(x, F.when(is_end, F.struct(F.col("t").isNotNull(), "t", "h"))).alias("e"))
+    return merged.select(*TASK_KEY, *[F.coalesce(F.col(f"s.{c}"), F.col(f"e.{c}")).alias(c) for c in info])
+
+
 def tasks_of(merged: DataFrame, *more: str) -> DataFrame:
     info = [F.coalesce(F.col(f"s.{c}"), F.col(f"e.{c}")).alias(c) for c in TASK_INFO]
     return merged.select(

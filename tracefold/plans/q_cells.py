@@ -58,7 +58,7 @@ def q_open_intervals(spark, sf_dir):
     """SELECT DISTINCT app_id, concat_ws('-', CAST(executor_id AS VARCHAR), host) AS grp,
               concat('Tasks: ', executor_id, ' ', host) AS label FROM v_tasks"""))
 def q_executor_groups(spark, sf_dir):
-    return timeline.executor_groups(Ctx(spark, sf_dir).tasks)
+    return timeline.executor_groups(Ctx(spark, sf_dir).task_info("executor_id", "host"))
 
 
 @register("P17_item_class_counts", with_adapter(

@@ -73,6 +73,9 @@ class StoredTables:
         self._dfs: dict[str, DataFrame] = {}
         self._locks = {n: threading.RLock() for n in stored}  # a table is written once, others meanwhile
 
+    def written(self, name: str) -> bool:
+        return name in self._dfs
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
