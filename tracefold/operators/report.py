@@ -51,68 +51,54 @@ def stage_summary_text(done: Column, total: Column, skipped: Column, active: Col
 
 
 def job_table(lc: Lifecycle, jobs: DataFrame, stages: DataFrame) -> DataFrame:
-    """T1 in three shuffles.
+    """T1 in narrow shuffles: strings of a job move once, with its own row.
 
-    1. One ``groupBy(app, stage)`` over the union of task deltas, stage events,
-       stage attempts and planned pairs gives every per-stage fact (task counts,
-       first submission, stage completions, last status, first-planned task count).
-    2. The (job, stage) pairs are exploded from the jobs table (jobs without
-       stages kept) and joined to those facts on (app, stage).
-    3. One ``groupBy(app, job)`` computes all counters, texts and the stage list.
+    1. Per (app, stage), each as an aggregate of its own that carries only its numbers: task counts and stage events,
+       the last status, the task count of the job that planned it first.
+    2. The (job, stage) pairs, ids and times only, are joined to those facts on (app, stage).
+    3. One ``groupBy(app, job)`` over the pairs' results and the jobs computes all counters, texts and the stage list.
     """
+    stage = ["app_id", "stage_id"]
+    none, z = F.lit(None), F.lit(0).cast("long")
     td = task_deltas(lc).select(
-        "app_id", "stage_id", "n_started", "n_succeeded", "n_failed",
-        F.lit(None).cast("long").alias("sub_t"), F.lit(0).alias("subs"), F.lit(0).alias("oks"), F.lit(0).alias("fails"),
-        F.lit(None).cast("string").alias("st_status"), F.lit(None).cast("int").alias("st_attempt"),
-        F.lit(None).cast("long").alias("info_tasks"), F.lit(None).cast("struct<s:bigint,j:bigint>").alias("info_ord"))
+        *stage, "n_started", "n_succeeded", "n_failed", none.cast("long").alias("sub_t"), F.lit(0).alias("subs"),
+        F.lit(0).alias("oks"), F.lit(0).alias("fails"))
     se = _stage_events(lc).select(
-        "app_id", "stage_id", F.lit(0).alias("n_started"), F.lit(0).alias("n_succeeded"), F.lit(0).alias("n_failed"),
+        *stage, F.lit(0).alias("n_started"), F.lit(0).alias("n_succeeded"), F.lit(0).alias("n_failed"),
         F.when(F.col("is_submit"), F.col("t")).alias("sub_t"), F.col("is_submit").cast("int").alias("subs"),
-        (~F.col("is_submit") & ~F.col("failed")).cast("int").alias("oks"), F.col("failed").cast("int").alias("fails"),
-        F.lit(None).cast("string").alias("st_status"), F.lit(None).cast("int").alias("st_attempt"),
-        F.lit(None).cast("long").alias("info_tasks"), F.lit(None).cast("struct<s:bigint,j:bigint>").alias("info_ord"))
-    sa = stages.select(
-        "app_id", "stage_id", F.lit(0).alias("n_started"), F.lit(0).alias("n_succeeded"), F.lit(0).alias("n_failed"),
-        F.lit(None).cast("long").alias("sub_t"), F.lit(0).alias("subs"), F.lit(0).alias("oks"), F.lit(0).alias("fails"),
-        F.col("status").alias("st_status"), F.col("stage_attempt").cast("int").alias("st_attempt"),
-        F.lit(None).cast("long").alias("info_tasks"), F.lit(None).cast("struct<s:bigint,j:bigint>").alias("info_ord"))
-    pairs = jobs.select(
-        "app_id", "job_id", "name", "status", "submission_ms", "completion_ms",
-        F.explode_outer("stage_infos").alias("i"))
-    pi = pairs.where(F.col("i").isNotNull()).select(
-        "app_id", F.col("i.stage_id").alias("stage_id"), F.lit(0).alias("n_started"), F.lit(0).alias("n_succeeded"),
-        F.lit(0).alias("n_failed"), F.lit(None).cast("long").alias("sub_t"), F.lit(0).alias("subs"), F.lit(0).alias("oks"),
-        F.lit(0).alias("fails"), F.lit(None).cast("string").alias("st_status"), F.lit(None).cast("int").alias("st_attempt"),
-        F.col("i.num_tasks").alias("info_tasks"),
-        F.struct(F.col("submission_ms").alias("s"), F.col("job_id").alias("j")).alias("info_ord"))
-    facts = td.unionByName(se).unionByName(sa).unionByName(pi).groupBy("app_id", "stage_id").agg(
+        (~F.col("is_submit") & ~F.col("failed")).cast("int").alias("oks"), F.col("failed").cast("int").alias("fails"))
+    facts = td.unionByName(se).groupBy(*stage).agg(
         F.sum("n_started").alias("n_started"), F.sum("n_succeeded").alias("n_succeeded"), F.sum("n_failed").alias("n_failed"),
-        F.min("sub_t").alias("first_sub"), F.sum("subs").alias("subs"), F.sum("oks").alias("oks"),
-        F.sum("fails").alias("fails"), F.max_by("st_status", "st_attempt").alias("last_status"),
-        F.min_by("info_tasks", "info_ord").alias("first_info_tasks"))
-    p = pairs.select("app_id", "job_id", "name", "status", "submission_ms", "completion_ms",
-                     F.col("i.stage_id").alias("stage_id"), F.col("i.num_tasks").alias("num_tasks"),
-                     F.col("i.name").alias("stage_name"), F.col("i.completion_ms").alias("known_ms"))
-    pj = p.join(facts, ["app_id", "stage_id"], "left")
-    has_stage = F.col("stage_id").isNotNull()
+        F.min("sub_t").alias("first_sub"), F.sum("subs").alias("subs"), F.sum("oks").alias("oks"), F.sum("fails").alias("fails"))
+    last = stages.groupBy(*stage).agg(F.max_by("status", F.col("stage_attempt").cast("int")).alias("last_status"))
+    p = jobs.select("app_id", "job_id", "submission_ms", "completion_ms", F.explode("stage_infos").alias("i")).select(
+        "app_id", "job_id", "submission_ms", "completion_ms", F.col("i.stage_id").alias("stage_id"), F.col("i.num_tasks").alias("num_tasks"))
+    p = p.where(F.col("stage_id").isNotNull())
+    planned = p.groupBy(*stage).agg(F.min_by("num_tasks", F.struct("submission_ms", "job_id")).alias("first_info_tasks"))
+    pj = p.drop("submission_ms").join(facts, stage, "left").join(last, stage, "left").join(planned, stage, "left")
     # J8 listener rule: no submission of the stage before the job end (a submission at the same ms comes first)
-    skipped = has_stage & F.col("completion_ms").isNotNull() & (
-        F.col("first_sub").isNull() | (F.col("first_sub") > F.col("completion_ms")))
+    skipped = F.col("completion_ms").isNotNull() & (F.col("first_sub").isNull() | (F.col("first_sub") > F.col("completion_ms")))
     st = F.when(skipped, "SKIPPED").otherwise(F.coalesce("last_status", F.lit("PENDING")))
-    z = F.lit(0).cast("long")
-    g = pj.groupBy("app_id", "job_id").agg(
-        F.any_value("name").alias("name"), F.any_value("status").alias("status"),
-        F.any_value("submission_ms").alias("submission_ms"), F.any_value("completion_ms").alias("completion_ms"),
-        F.coalesce(F.sum("n_succeeded"), z).cast("long").alias("c"),
-        F.coalesce(F.sum(F.col("n_started") - F.col("n_succeeded") - F.col("n_failed")), z).cast("long").alias("a"),
-        F.coalesce(F.sum(F.when(F.col("known_ms").isNull(), F.col("num_tasks"))), z).cast("long").alias("num_tasks"),
-        F.count_if(has_stage).alias("num_stages"),
-        F.count_if(skipped).alias("ss"),
-        F.coalesce(F.sum(F.when(skipped, F.coalesce("first_info_tasks", "num_tasks"))), z).cast("long").alias("stk"),
-        F.coalesce(F.sum(F.coalesce(F.col("subs") - F.col("oks") - F.col("fails"), F.lit(0))), z).cast("long").alias("act_st"),
-        F.coalesce(F.sum(F.coalesce("oks", F.lit(0))), z).cast("long").alias("done_st"),
-        F.max_by("stage_name", "stage_id").alias("last_stage_name"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(has_stage, F.struct("stage_id", st.alias("st"))))),
+    found = pj.select(
+        "app_id", "job_id", F.struct("stage_id", st.alias("st")).alias("stage"), F.col("n_succeeded").alias("c"),
+        (F.col("n_started") - F.col("n_succeeded") - F.col("n_failed")).alias("a"),
+        F.when(skipped, 1).otherwise(0).alias("ss"),
+        F.when(skipped, F.coalesce("first_info_tasks", "num_tasks")).alias("stk"),
+        (F.col("subs") - F.col("oks") - F.col("fails")).alias("act_st"), F.col("oks").alias("done_st"))
+    infos = F.coalesce("stage_infos", F.array())
+    own = jobs.select(
+        "app_id", "job_id", "name", "status", "submission_ms", "completion_ms",
+        F.aggregate(infos, z, lambda n, i: n + F.when(i["completion_ms"].isNull(), F.coalesce(i["num_tasks"], z)).otherwise(z)).alias("num_tasks"),
+        F.size(F.filter(infos, lambda i: i["stage_id"].isNotNull())).alias("num_stages"),
+        F.array_max(F.transform(F.filter(infos, lambda i: i["stage_id"].isNotNull()), lambda i: F.struct(i["stage_id"], i["name"].alias("name")))).alias("last_stage"))
+    # rows of a job lie in many places, so combining before the exchange would only widen them
+    rows = own.unionByName(found, allowMissingColumns=True).repartition("app_id", "job_id")
+    total = lambda c: F.coalesce(F.sum(c), z).cast("long").alias(c)
+    g = rows.groupBy("app_id", "job_id").agg(
+        *[F.any_value(c, True).alias(c) for c in ("name", "status", "submission_ms", "completion_ms")],
+        *[total(c) for c in ("c", "a", "num_tasks", "num_stages", "ss", "stk", "act_st", "done_st")],
+        F.max("last_stage")["name"].alias("last_stage_name"),
+        F.array_join(F.transform(F.sort_array(F.collect_list("stage")),
                                  lambda x: F.concat(x["stage_id"].cast("string"), F.lit(":"), x["st"])), ",").alias("stage_list"),
     )
     sn = short_name(F.col("name"))

@@ -258,4 +258,4 @@ t1 AS (
         FROM t1""", _T1))
 def q_job_table(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return report.job_table(c.lc, c.jobs, c.stages)
+    return report.job_table(c.lc, c.jobs, c.stage_status)
