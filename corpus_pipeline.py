@@ -23,6 +23,7 @@ from tracefold.llm.packing import pack
 from tracefold.llm.pii import sanitise
 from tracefold.llm.simhash import keep_one
 from tracefold.llm.toxicity import fit, toxicity
+from tracefold.session import with_conf
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOKENIZER = "word_bpe_49k.json"
@@ -68,8 +69,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Whole texts that pass between Spark and a Python worker at once: what both sides hold of them stays some MB.
+TEXTS_PER_BATCH = 500
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with with_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch=TEXTS_PER_BATCH):
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -6,6 +6,7 @@ import sys
 from collections import Counter, defaultdict
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from test_mixing import plain_targets
 from test_packing import verify
 from test_pii import plain_spans
@@ -78,3 +79,15 @@ def test_awkward_rows(spark, awkward, tmp_path):
     awkward.write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (2, 1, 1), (9, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     assert P.run(spark, sf).count() > 0
+
+
+def test_few_texts_pass_at_once(spark, tmp_path, monkeypatch):
+    rows = spark.range(3 * P.TEXTS_PER_BATCH + 1, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    sizes = lambda spark, docs, sf_dir: docs.coalesce(1).mapInPandas(lambda batches: (b.iloc[:1].assign(n=len(b))[["n"]] for b in batches), "n long")
+    monkeypatch.setattr(P, "STAGES", [("sizes", sizes)])
+    got = [r.n for r in P.run(spark, str(tmp_path)).collect()]
+    assert sum(got) == rows.count() and max(got) <= P.TEXTS_PER_BATCH
+    assert spark.conf.get(key) == before
