@@ -50,3 +50,60 @@ def test_lanes_move_the_items_once_for_both_counts(spark):
             lane = next((k for k, x in enumerate(open_until) if x <= s), len(open_until))
             open_until[lane:lane + 1] = [float("inf") if e is None else e]
             assert got[a, g, i] == lane
+
+
+def _records():
+    return [("a", '{"msgtype":"sparkJobStart","jobId":1,"submissionTime":5,"stageIds":[1]}'), ("a", '{"msgtype":"sparkJobEnd","jobId":1,"completionTime":9,"status":"SUCCEEDED"}'),
+            ("b", '{"msgtype":"other"}'), ("b", "not json"), ("b", '{"jobId":3}')]
+
+
+def test_stored_records_are_decoded_once_and_keep_the_quarantine(spark, tmp_path):
+    from tracefold.sources import messages
+
+    parsed = messages.parse_messages(spark.createDataFrame(_records(), "app_id string, value string"))
+    messages.store_parsed(parsed, f"{tmp_path}/parsed")
+    stored = messages.open_parsed(spark, f"{tmp_path}/parsed", messages.by_type(parsed).schema)
+    assert {r["raw"] for r in messages.quarantine(stored).collect()} == {"not json", '{"jobId":3}'}
+    was, now = messages.to_lifecycle(parsed), messages.to_lifecycle(stored)
+    for kind in was.kinds():
+        assert sorted(map(str, getattr(now, kind).collect())) == sorted(map(str, getattr(was, kind).collect()))
+    assert "from_json" not in _plan(now.job_start) and "msgtype" in now.job_start._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+    assert sorted(map(str, messages.type_counts(stored).collect())) == sorted(map(str, messages.type_counts(parsed).collect()))
+
+
+def test_routes_do_not_decode_the_records_for_each_route(spark):
+    from tracefold.plans.catalog import all_queries
+
+    assert "from_json" not in _plan(all_queries()["S3_routes"].fn(spark, "/root/testdata/sf0.001"))
+
+
+def test_slices_are_written_once_and_moved_to_the_landing_folder(spark, tmp_path):
+    from tracefold.session import land
+    from tracefold.sources import messages
+    from tracefold.streaming import live
+
+    rows = [(a, i, 1, v, k) for i, (a, v) in enumerate(_records()) for k in (0, 2)]
+    messages.write_messages(spark.createDataFrame(rows, "app_id string, t long, kind_rank int, value string, slice int"), f"{tmp_path}/sliced", compression="gzip", by=("slice",))
+    seen = []
+    for k in range(3):  # nothing was written for slice 1
+        land(spark, f"{tmp_path}/sliced/slice={k}", f"{tmp_path}/landing", f"slice={k}")
+        live.start(live.stream_records(spark, f"{tmp_path}/landing"), f"moved-{k}", mode="append", trigger={"availableNow": True},
+                   sink=lambda df, n: seen.append(sorted((r["app_id"], r["value"]) for r in df.collect())), checkpoint=f"{tmp_path}/checkpoint").awaitTermination()
+    assert seen == [sorted(_records())] * 2
+    spark.range(3).write.parquet(f"{tmp_path}/plain/slice=0")
+    spark.range(4).write.parquet(f"{tmp_path}/plain/slice=1")
+    for k in range(2):
+        land(spark, f"{tmp_path}/plain/slice={k}", f"{tmp_path}/files")
+    assert spark.read.parquet(f"{tmp_path}/files").count() == 7
+
+
+def test_late_ends_are_told_without_decoding_other_messages(spark):
+    from tracefold.plans.q_streams import FIRST_MS, LATE_BY, LATE_EVERY, LATE_REST, sliced_messages
+    from tracefold.plans.context import Ctx
+
+    out = sliced_messages(Ctx(spark, "/root/testdata/sf0.001").lc)
+    plan = _plan(out)
+    assert "$.msgtype" not in plan and plan.count("$.taskId") == 1  # the branches of other types are folded away
+    late = out.where(F.get_json_object("value", "$.msgtype") == "sparkTaskEnd").select("t", "slice", F.get_json_object("value", "$.taskId").cast("long").alias("id")).collect()
+    own = lambda t: min(max((t - FIRST_MS) // 51926400000, 0), 3)
+    assert late and all(r["slice"] == min(3, own(r["t"]) + (LATE_BY if r["id"] % LATE_EVERY == LATE_REST else 0)) for r in late)
