@@ -107,3 +107,29 @@ def test_late_ends_are_told_without_decoding_other_messages(spark):
     late = out.where(F.get_json_object("value", "$.msgtype") == "sparkTaskEnd").select("t", "slice", F.get_json_object("value", "$.taskId").cast("long").alias("id")).collect()
     own = lambda t: min(max((t - FIRST_MS) // 51926400000, 0), 3)
     assert late and all(r["slice"] == min(3, own(r["t"]) + (LATE_BY if r["id"] % LATE_EVERY == LATE_REST else 0)) for r in late)
+
+
+def test_waiting_bytes_are_kept_by_the_last_two_batches_alone(spark, tmp_path):
+    import os
+
+    from tracefold.streaming.chunks import ChunkedRecords
+
+    text = b"".join(b"record %d;EOD:" % i for i in range(40)) + b"tail"
+    chunks = [("a", at, text[at:at + 16]) for at in range(0, len(text), 16)]
+    out = ChunkedRecords(spark, str(tmp_path))
+    for n, part in enumerate([chunks[5::2], chunks[5::2], chunks[4::2], chunks[2:4], chunks[:3]]):  # behind gaps, and again
+        batch = spark.createDataFrame([(a, at, bytearray(b)) for a, at, b in part], "app_id string, offset long, content binary")
+        out.on_batch(batch, n)
+        if n == 2:
+            out.on_batch(batch, n)  # repeated
+    assert sorted(r["value"] for r in out.records.all().collect()) == sorted(f"record {i}" for i in range(40))
+    assert [bytes(r["content"]) for r in out.unfinished().collect()] == [b"tail"]
+    assert sorted(d for d in os.listdir(tmp_path / "tails")) == ["batch=000000003", "batch=000000004"]
+    assert not [d for d in os.listdir(tmp_path / "taken") if d.startswith("batch=")]
+
+
+def test_job_messages_are_made_and_decoded_once(spark):
+    from tracefold.plans.catalog import all_queries
+
+    plan = _plan(all_queries()["S3_parse_messages"].fn(spark, "/root/testdata/sf0.001"))
+    assert "from_json" not in plan and "to_json" not in plan
