@@ -133,3 +133,21 @@ def test_job_messages_are_made_and_decoded_once(spark):
 
     plan = _plan(all_queries()["S3_parse_messages"].fn(spark, "/root/testdata/sf0.001"))
     assert "from_json" not in plan and "to_json" not in plan
+
+
+def test_planners_of_stages_need_no_texts_of_jobs(spark):
+    from types import SimpleNamespace
+
+    from tracefold.operators import entities
+    from tracefold.sources.messages import active_planners
+
+    start = "app_id string, job_id long, t long, job_group string, name string, call_site string, stage_ids array<long>, stage_infos array<struct<stage_id:long>>"
+    lc = SimpleNamespace(
+        job_start=spark.createDataFrame([("a", 1, 5, "g", "n", "c", [1, 2], []), ("a", 1, 5, "g", "m", "c", [3], []), ("a", 2, None, None, None, None, [1], None), ("a", 2, 8, None, None, None, None, None)], start),
+        job_end=spark.createDataFrame([("a", 1, 9, "JobSucceeded"), ("a", 1, None, "x"), ("a", 1, 7, "y"), ("a", 4, 9, "z")], "app_id string, job_id long, t long, result string"),
+        stage_submitted=spark.createDataFrame([("a", 1, 0, 6), ("a", 3, 0, 9), ("a", 1, 1, 10)], "app_id string, stage_id long, stage_attempt int, t long"))
+    cols = ["app_id", "job_id", "submission_ms", "completion_ms", "stage_ids"]
+    was = entities.pair_jobs(lc).where("has_start").select(*cols)
+    assert sorted(map(str, entities.pair_job_plans(lc).collect())) == sorted(map(str, was.collect()))
+    moved = active_planners(lc)._jdf.queryExecution().executedPlan().toString()
+    assert not any("call_site" in line for line in moved.splitlines() if "hashpartitioning" in line or "min_by" in line)
